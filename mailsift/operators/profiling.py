@@ -137,16 +137,19 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every ordered pair, null for a constant column.
 
     All sums come from one pass over one scan. Rows with a null in either column are left out of
-    that pair, as pairwise-complete correlation wants.
+    that pair, as pairwise-complete correlation wants; columns that cannot be null share their
+    deviations between pairs.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    x = {c: F.col(c).cast("double") for c in columns}
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    nullable = {f.name for f in df.schema if f.nullable}
 
     def one(a: str, b: str) -> Column:
-        both = x[a].isNotNull() & x[b].isNotNull()
-        xa, xb = F.when(both, x[a]), F.when(both, x[b])
-        spread = F.stddev_samp(xa) * F.stddev_samp(xb)
-        return F.covar_samp(xa, xb) / F.nullif(spread, F.lit(0.0))
+        xa, xb = F.col(a), F.col(b)
+        if a != b and (a in nullable or b in nullable):
+            both = xa.isNotNull() & xb.isNotNull()
+            xa, xb = F.when(both, xa), F.when(both, xb)
+        return F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
 
     row = df.agg(F.array(*[
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), one(a, b).alias("r")) for a, b in pairs
