@@ -1 +1,71 @@
-"""placeholder"""
+"""Noise, private fits, averaged fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mailsift import fixed
+from mailsift.catalog.inputs import app_points, predictions, predictions_ctes
+from mailsift.catalog.registry import laplace, query, r, rounded
+from mailsift.operators import metrics, prep, privacy
+from mailsift.session import cut_lineage
+from mailsift.sources import table
+
+
+@query("laplace_noise", "SELECT doc_id, " + r(f"n_chars + {laplace('noise-n_chars', 1.0, 'doc_id')}") + " AS n_chars FROM documents")
+def _(spark, folder):
+    df = table(spark, folder, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
+    return rounded(privacy.laplace_noise(df, ["n_chars"], 1.0, "doc_id"))
+
+
+@query("laplace_noise_lineitem", "SELECT l_orderkey, l_linenumber, " + r(
+    f"l_quantity + {laplace('noise-l_quantity', 2.0, 'l_orderkey')}") + " AS l_quantity FROM lineitem")
+def _(spark, folder):
+    df = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return rounded(privacy.laplace_noise(df, ["l_quantity"], 0.5, "l_orderkey"))
+
+
+def _parts(spark, folder):
+    points = app_points(spark, folder, fixed.APP_FEATURES).withColumnRenamed("id", "email_id")
+    split = cut_lineage(prep.stratified_split(points, {"train": 0.8, "test": 0.2}))
+    return split.where("split = 'train'"), split.where("split = 'test'")
+
+
+@query("dp_logreg")
+def _(spark, folder):
+    train, test = _parts(spark, folder)
+    fits = privacy.private_fits(train, [1.0])
+    return privacy.score_linear(test, {str(e): w for e, w in fits.items()})
+
+
+@query("epsilon_sweep")
+def _(spark, folder):
+    return privacy.epsilon_sweep(*_parts(spark, folder))
+
+
+@query("epsilon_recommended")
+def _(spark, folder):
+    return privacy.recommend(privacy.epsilon_sweep(*_parts(spark, folder)))
+
+
+@query("federated_avg")
+def _(spark, folder):
+    return privacy.averaged(*_parts(spark, folder))
+
+
+@query("privacy_compare")
+def _(spark, folder):
+    train, test = _parts(spark, folder)
+    plain = metrics.weighted_metrics(privacy.score_linear(test, {"baseline": privacy.plain_fit(train)}), ["model"])
+    avg = privacy.averaged(train, test).where("who = 'averaged'")
+    return privacy.compare_methods(
+        privacy.epsilon_sweep(train, test), plain.select("accuracy").scalar(), avg.select("accuracy").scalar())
+
+
+@query("accuracy_loss", f"""WITH {predictions_ctes()}, a AS (SELECT model, avg(CAST(label = prediction AS DOUBLE)) AS accuracy FROM predictions GROUP BY 1)
+SELECT model, {r("((SELECT accuracy FROM a WHERE model = 'c') - accuracy) * 100")} AS loss_pct FROM a""")
+def _(spark, folder):
+    t = metrics.binary_metrics(predictions(spark, folder), ["model"]).select("model", "accuracy")
+    base = t.where("model = 'c'").select("accuracy").scalar()
+    return rounded(t.withColumn("base", base).select(
+        "model", privacy.accuracy_loss(F.col("base"), F.col("accuracy")).alias("loss_pct")))
