@@ -1 +1,108 @@
-"""placeholder"""
+"""Scan log, its reports, and the streaming scanner."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mailsift import fixed
+from mailsift.catalog.inputs import scans, scans_ctes
+from mailsift.catalog.learning import prepared
+from mailsift.catalog.registry import B, S, query, r, rounded, with_emails
+from mailsift.operators import models, scoring
+from mailsift.session import scratch_path
+from mailsift.sources import emails, sinks, table
+from mailsift.streaming import hourly_counts, read_emails, run_to_table, running_totals, score_stream, write_scans
+
+
+@query("reject_empty", with_emails(f"SELECT email_id FROM emails WHERE {S} = '' AND {B} = ''"))
+def _(spark, folder):
+    return scoring.rejected(emails(spark, folder)).select("email_id")
+
+
+@query("scannable", with_emails(f"SELECT email_id FROM emails WHERE {S} <> '' OR {B} <> ''"))
+def _(spark, folder):
+    return scoring.scannable(emails(spark, folder)).select("email_id")
+
+
+@query("threat_log", f"WITH {scans_ctes()} SELECT * FROM scans WHERE is_phishing")
+def _(spark, folder):
+    return scoring.threat_log(scans(spark, folder))
+
+
+@query("threat_rate", f"""WITH {scans_ctes()} SELECT count(*) AS total, CAST(count_if(is_phishing) AS BIGINT) AS threats,
+  CAST(count(*) - count_if(is_phishing) AS BIGINT) AS safe, {r('count_if(is_phishing) * 100.0::DOUBLE / count(*)')} AS rate FROM scans""")
+def _(spark, folder):
+    return rounded(scoring.threat_rate(scans(spark, folder)))
+
+
+@query("last_scans", f"WITH {scans_ctes()} SELECT * FROM scans ORDER BY timestamp DESC NULLS LAST, email_id DESC LIMIT 3")
+def _(spark, folder):
+    return scoring.last_scans(scans(spark, folder))
+
+
+@query("scan_history", f"""WITH {scans_ctes()} SELECT timestamp AS Timestamp, subject AS Subject, sender AS Sender,
+  printf('%.1f%%', probability * 100) AS "Threat Score", CASE WHEN is_phishing THEN 'Phishing' ELSE 'Safe' END AS Status, model AS Model FROM scans""")
+def _(spark, folder):
+    return scoring.display(scans(spark, folder))
+
+
+@query("history_export", f"""WITH {scans_ctes()} SELECT CASE WHEN is_phishing THEN 'Phishing' ELSE 'Safe' END AS Status, count(*) AS n FROM scans GROUP BY 1""")
+def _(spark, folder):
+    path = scratch_path(spark, "history")
+    sinks.export_history(scoring.display(scans(spark, folder)), path)
+    back = spark.read.csv(path, header=True, multiLine=True, escape="\\")
+    return back.groupBy("Status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("verdicts", f"WITH {scans_ctes()} SELECT CASE WHEN is_phishing THEN 'Phishing' ELSE 'Safe' END AS verdict, count(*) AS n FROM scans GROUP BY 1")
+def _(spark, folder):
+    return scoring.verdicts(scans(spark, folder))
+
+
+@query("scans_by_hour", f"""WITH {scans_ctes()} SELECT CAST(hour(timestamp) AS INT) AS hour, CASE WHEN is_phishing THEN 'Phishing' ELSE 'Safe' END AS type,
+  count(*) AS n FROM scans WHERE timestamp IS NOT NULL GROUP BY 1, 2""")
+def _(spark, folder):
+    return scoring.scans_by_hour(scans(spark, folder).where("timestamp IS NOT NULL"))
+
+
+def _scorer(spark, folder):
+    data = prepared(spark, folder, fixed.APP_FEATURES[:8])
+    return data.pipeline(models.fit_classifier("Logistic Regression", data.train)), data.columns
+
+
+@query("score_batch")
+def _(spark, folder):
+    model, columns = _scorer(spark, folder)
+    return scoring.score(emails(spark, folder), model, columns, "Logistic Regression")
+
+
+# --- streams -----------------------------------------------------------------------------
+
+def _event_stream(spark, folder):
+    """Every event as a scan: flagged where its type is an error."""
+    schema = table(spark, folder, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return rows.select(F.col("ts").cast("timestamp").alias("timestamp"), (F.col("event_type") == "error").alias("is_phishing"))
+
+
+@query("stream_totals", "SELECT count(*) AS total, CAST(count_if(event_type = 'error') AS BIGINT) AS threats FROM events")
+def _(spark, folder):
+    return run_to_table(running_totals(_event_stream(spark, folder)), "complete", "totals")
+
+
+@query("stream_hourly", "SELECT date_trunc('hour', ts) AS hour_start, event_type = 'error' AS is_phishing, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, folder):
+    out = run_to_table(hourly_counts(_event_stream(spark, folder), "timestamp", ["is_phishing"]), "complete", "hourly")
+    return out.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
+
+
+@query("stream_scores")
+def _(spark, folder):
+    """The mails, written once as files, scored as a stream into the scan log."""
+    model, columns = _scorer(spark, folder)
+    source, sink = scratch_path(spark, "mail-in"), scratch_path(spark, "scan-log")
+    mails = emails(spark, folder)
+    mails.write.parquet(source)
+    found = score_stream(read_emails(spark, source, mails.schema), model, columns, "Logistic Regression")
+    write_scans(found, sink, f"{sink}-state").awaitTermination()
+    return spark.read.parquet(sink)

@@ -65,10 +65,17 @@ def last_scans(scans: DataFrame, n: int = 3, key: str = "email_id") -> DataFrame
     return scans.orderBy(F.desc("timestamp"), F.desc(key)).limit(n)
 
 
+def percent_text(p: Column) -> Column:
+    """One decimal, ties to even on the binary value (the plain formatter rounds them up)."""
+    x = p * 100
+    whole = F.floor(x).cast("double")
+    return F.format_string("%.1f%%", whole + F.rint((x - whole) * 10) / 10)
+
+
 def display(scans: DataFrame) -> DataFrame:
     return scans.select(
         F.col("timestamp").alias("Timestamp"), F.col("subject").alias("Subject"), F.col("sender").alias("Sender"),
-        F.format_string("%.1f%%", F.col("probability") * 100).alias("Threat Score"),
+        percent_text(F.col("probability")).alias("Threat Score"),
         F.when(F.col("is_phishing"), "Phishing").otherwise("Safe").alias("Status"), F.col("model").alias("Model"))
 
 
