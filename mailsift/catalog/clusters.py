@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailsift import fixed
 from mailsift.catalog.inputs import VECTORS, app_points, vectors
 from mailsift.catalog.registry import query, r, rounded
 from mailsift.operators import cluster_metrics, clustering, neighbours, prep, profiling
@@ -60,47 +59,47 @@ def _(spark, folder):
 
 @query("dbscan_emails")
 def _(spark, folder):
-    points = app_points(spark, folder, fixed.APP_FEATURES)
+    points = app_points(spark, folder)
     return clustering.dbscan(points.select("id", "x"), 0.5, 5)
 
 
 @query("kmeans")
 def _(spark, folder):
-    return clustering.kmeans(app_points(spark, folder, fixed.APP_FEATURES).select("id", "x"), 5)
+    return clustering.kmeans(app_points(spark, folder).select("id", "x"), 5)
 
 
 @query("k_search")
 def _(spark, folder):
-    return clustering.k_search(app_points(spark, folder, fixed.APP_FEATURES).select("id", "x"))
+    return clustering.k_search(app_points(spark, folder).select("id", "x"))
 
 
 @query("bisecting")
 def _(spark, folder):
-    return clustering.bisecting(app_points(spark, folder, fixed.APP_FEATURES).select("id", "x"), 5)
+    return clustering.bisecting(app_points(spark, folder).select("id", "x"), 5)
 
 
 @query("agglomerative")
 def _(spark, folder):
-    return clustering.ward(app_points(spark, folder, fixed.APP_FEATURES).select("id", "x"), 5)
+    return clustering.ward(app_points(spark, folder).select("id", "x"), 5)
 
 
 @query("birch_cf")
 def _(spark, folder):
-    return clustering.micro_clusters(app_points(spark, folder, fixed.APP_FEATURES).select("id", "x"))[1]
+    return clustering.micro_clusters(app_points(spark, folder).select("id", "x"))[1]
 
 
 @query("birch")
 def _(spark, folder):
-    return clustering.birch(app_points(spark, folder, fixed.APP_FEATURES).select("id", "x"), 5)
+    return clustering.birch(app_points(spark, folder).select("id", "x"), 5)
 
 
 @query("spectral")
 def _(spark, folder):
-    return clustering.spectral(app_points(spark, folder, fixed.APP_FEATURES).select("id", "x"), 5)
+    return clustering.spectral(app_points(spark, folder).select("id", "x"), 5)
 
 
 def _scaled(spark, folder):
-    points = app_points(spark, folder, fixed.APP_FEATURES)
+    points = app_points(spark, folder)
     return points.select(F.col("id").alias("email_id"), "label", prep.array_to_vector("x").alias("scaled"))
 
 
@@ -133,7 +132,7 @@ def _(spark, folder):
 
 @query("cluster_evaluation")
 def _(spark, folder):
-    points = app_points(spark, folder, fixed.APP_FEATURES).persist()
+    points = app_points(spark, folder).persist()
     out = None
     for name in ("kmeans", "dbscan", "agglomerative", "spectral"):
         found = clustering.run(points.select("id", "x"), name, 5).persist()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mailsift import fixed
 from mailsift.functions import addresses, seeded
 from mailsift.operators import cleaning, features
-from mailsift.session import use_utc
+from mailsift.operators.prep import standardise
+from mailsift.session import cut_lineage, use_utc
 from mailsift.sources import emails, table
 
 MODELS = {"a": 0.2, "b": 0.35, "c": 0.45}  # how much of the score comes from the label
@@ -87,9 +89,14 @@ VECTORS = (
 )
 
 
-def app_points(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """(id, x, label): standardised upload features as an array."""
-    from mailsift.operators.prep import standardise
+def app_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Upload features without the texts, stored once: fits read them many times."""
     df = features.app_features(emails(spark, folder))
-    z = standardise(df.select("email_id", "label", *columns), columns)
-    return z.select(F.col("email_id").alias("id"), F.array(*columns).alias("x"), "label")
+    return cut_lineage(df.select("email_id", "label", *fixed.APP_FEATURES))
+
+
+def app_points(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, x, label): standardised upload features as an array."""
+    df = app_features(spark, folder)
+    z = standardise(df, fixed.APP_FEATURES)
+    return cut_lineage(z.select(F.col("email_id").alias("id"), F.array(*fixed.APP_FEATURES).alias("x"), "label"))

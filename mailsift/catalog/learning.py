@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailsift import fixed
-from mailsift.catalog.inputs import app_points
+from mailsift.catalog.inputs import app_features, app_points
 from mailsift.catalog.registry import query
-from mailsift.operators import features, metrics, models, prep
+from mailsift.operators import metrics, models, prep
 from mailsift.session import scratch_path
-from mailsift.sources import emails, sinks
+from mailsift.sources import sinks
 
 
 def prepared(spark, folder, columns=None) -> models.Prepared:
-    return models.Prepared(features.app_features(emails(spark, folder)), columns or fixed.APP_FEATURES)
+    return models.Prepared(app_features(spark, folder), columns or fixed.APP_FEATURES)
 
 
 def _one(name: str):
@@ -32,7 +32,7 @@ query("boosted_trees")(_one("Boosted Trees"))
 
 @query("smote")
 def _(spark, folder):
-    points = app_points(spark, folder, fixed.APP_FEATURES).withColumnRenamed("id", "email_id")
+    points = app_points(spark, folder).withColumnRenamed("id", "email_id")
     return prep.balance_by_synthesis(points, "x").groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 

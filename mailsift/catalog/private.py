@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailsift import fixed
 from mailsift.catalog.inputs import app_points, predictions, predictions_ctes
 from mailsift.catalog.registry import laplace, query, r, rounded
 from mailsift.operators import metrics, prep, privacy
@@ -26,7 +25,7 @@ def _(spark, folder):
 
 
 def _parts(spark, folder):
-    points = app_points(spark, folder, fixed.APP_FEATURES).withColumnRenamed("id", "email_id")
+    points = app_points(spark, folder).withColumnRenamed("id", "email_id")
     split = cut_lineage(prep.stratified_split(points, {"train": 0.8, "test": 0.2}))
     return split.where("split = 'train'"), split.where("split = 'test'")
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mailsift import fixed
-from mailsift.fixed import WS
+from mailsift.functions.text import SPACE
 
 
 def extract(body: Column) -> Column:
     """All links of a body as an array."""
-    return F.regexp_extract_all(body, F.lit(f"(https?://[^{WS}]+)"), F.lit(1))
+    return F.regexp_extract_all(body, F.lit(f"(?U)(https?://[^{SPACE}]+)"), F.lit(1))
 
 
 def joined(body: Column) -> Column:
@@ -28,17 +28,17 @@ def suspicious(links: Column) -> Column:
 
 
 def count_batch(body: Column) -> Column:
-    return F.regexp_count(body, F.lit(f"http[^{WS}]+"))
+    return F.regexp_count(body, F.lit(f"(?U)http[^{SPACE}]+"))
 
 
 def count_single(body: Column) -> Column:
-    return F.regexp_count(body, F.lit(f"https?://[^{WS}]+"))
+    return F.regexp_count(body, F.lit(f"(?U)https?://[^{SPACE}]+"))
 
 
 def has_ip(body: Column) -> Column:
     """A link with four dotted numbers in it; one scan of the body, no array of links."""
-    return body.rlike(rf"https?://[^{WS}]*\p{{Nd}}+\.\p{{Nd}}+\.\p{{Nd}}+\.\p{{Nd}}").cast("int")
+    return body.rlike(rf"(?U)https?://[^{SPACE}]*\p{{Nd}}+\.\p{{Nd}}+\.\p{{Nd}}+\.\p{{Nd}}").cast("int")
 
 
 def has_shortener(body: Column) -> Column:
-    return body.rlike(f"https?://[^{WS}]*{fixed.SHORTENERS}").cast("int")
+    return body.rlike(f"(?U)https?://[^{SPACE}]*{fixed.SHORTENERS}").cast("int")

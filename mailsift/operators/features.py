@@ -76,7 +76,7 @@ def app_features(df: DataFrame) -> DataFrame:
         "subject_num_special": text.num_special(s),
         "subject_upper_words": text.upper_words(s),
         "body_length": F.length(b),
-        "body_word_count": text.word_count(F.col("clean_content")),
+        "body_word_count": text.squeezed_word_count(F.col("clean_content")),
         "body_num_digits": text.num_digits(b),
         "body_num_exclaim": text.count_char(b, "!"),
         "body_num_question": text.count_char(b, "?"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailsift.session import use_utc
-from mailsift.sources.readers import table
+from mailsift.sources.readers import spread_if_few_files, table
 
 EMAILS = """
 SELECT
@@ -45,6 +45,7 @@ LEFT JOIN labels l ON l.doc_id = d.doc_id
 def emails(spark: SparkSession, folder: str) -> DataFrame:
     use_utc(spark)
     docs, events, labels = (table(spark, folder, n) for n in ("documents", "events", "labels"))
+    docs = spread_if_few_files(docs)
     sql = f"WITH slot_events AS ({slot_events_sql('DIV', 'min_by')}) {EMAILS}"
     for name in ("documents", "events", "labels"):
         sql = sql.replace(f"FROM {name}", "FROM {" + name + "}").replace(f"JOIN {name}", "JOIN {" + name + "}")
