@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift import fixed
 from mailsift.operators import metrics, prep
-from mailsift.session import cut_lineage, keep
+from mailsift.session import cut_lineage, keep, spread
 
 FEATURES = "scaled"
 
@@ -100,12 +100,14 @@ def rbf_svm(df: DataFrame, n: int) -> list:
 
 
 def random_forest(df: DataFrame, n: int) -> list:
-    return [RandomForestClassifier(featuresCol=FEATURES, numTrees=100, maxDepth=30,
-                                   featureSubsetStrategy="sqrt", seed=fixed.SEED, maxMemoryInMB=512)]
+    """Deep trees: node ids are kept with the rows instead of walking all trees for every level."""
+    return [RandomForestClassifier(featuresCol=FEATURES, numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt",
+                                   seed=fixed.SEED, maxMemoryInMB=1024, cacheNodeIds=True)]
 
 
 def boosted_trees(df: DataFrame, n: int) -> list:
-    return [GBTClassifier(featuresCol=FEATURES, maxIter=100, stepSize=0.1, maxDepth=6, seed=fixed.SEED)]
+    return [GBTClassifier(featuresCol=FEATURES, maxIter=100, stepSize=0.1, maxDepth=6, seed=fixed.SEED,
+                          cacheNodeIds=True)]
 
 
 REGISTRY = {
@@ -139,7 +141,7 @@ class Prepared:
         self.columns, self.key = prep_columns(df, columns), key
         slim = df.select(key, F.col("label").cast("double").alias("label"), *self.columns)
         # The split is used by many fits: stored once, not derived again for each of them.
-        self.split = cut_lineage(prep.stratified_split(as_double(slim, self.columns), shares, key=key))
+        self.split = cut_lineage(spread(prep.stratified_split(as_double(slim, self.columns), shares, key=key), key))
         raw_train = self.split.where("split = 'train'")
         self.preparation = preparation(raw_train, self.columns)
         scaled = self.preparation.transform(self.split).select(key, "label", "split", FEATURES)
@@ -149,7 +151,7 @@ class Prepared:
             arrays = train.withColumn("x", vector_to_array(FEATURES))
             both = prep.balance_by_synthesis(arrays, "x", key=key)
             train = both.withColumn(FEATURES, array_to_vector("x")).drop("x")
-        self.train = cut_lineage(train)
+        self.train = cut_lineage(spread(train, FEATURES))
 
     def part(self, name: str) -> DataFrame:
         return self.scaled.where(F.col("split") == name).select(self.key, "label", FEATURES)

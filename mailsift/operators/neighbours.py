@@ -222,7 +222,7 @@ def core_links(parts: Parts, flagged: DataFrame, eps: float) -> DataFrame:
 NEAR = "near array<struct<dist:double,id:bigint,w:bigint,x:array<double>>>"
 
 
-def _best(k: int):
+def _best(k: int, coordinates: bool):
     def kernel(q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(h):
             return pd.DataFrame({"pid": [], "x": [], "part": [], "near": []})
@@ -234,7 +234,7 @@ def _best(k: int):
             edge = np.partition(row, take - 1)[take - 1]
             at = np.nonzero(row <= edge)[0]
             at = at[np.lexsort((hid[at], row[at]))][:take]
-            near.append([{"dist": row[c], "id": hid[c], "w": hw[c], "x": hx[c]} for c in at])
+            near.append([{"dist": row[c], "id": hid[c], "w": hw[c], "x": hx[c] if coordinates else None} for c in at])
         return pd.DataFrame({"pid": q["pid"], "x": q["x"], "part": q["home_part"], "near": near})
     return kernel
 
@@ -245,8 +245,8 @@ def _merge_near(found: DataFrame, k: int) -> DataFrame:
         F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
-def nearest(points: DataFrame, k: int, with_self: bool = True) -> DataFrame:
-    """(id, near): the ``k`` nearest points in order of distance and id, exact.
+def nearest(points: DataFrame, k: int, with_self: bool = True, coordinates: bool = False) -> DataFrame:
+    """(id, near): the ``k`` nearest points in order of distance and id, exact; their x on request.
 
     With ``with_self`` a point is its own first neighbour. The own part gives each point a first
     reach; only parts that may hold something closer are visited afterwards.
@@ -256,11 +256,11 @@ def nearest(points: DataFrame, k: int, with_self: bool = True) -> DataFrame:
     home = parts.points.select("pid", "x", "w", "part")
     schema = f"pid bigint, x array<double>, part int, {NEAR}"
     asked = parts.points.select("pid", "x", "part", F.col("part").alias("home_part"))
-    own = keep(_merge_near(block_join(asked, home, parts.rows, _best(need), schema), need))
+    own = keep(_merge_near(block_join(asked, home, parts.rows, _best(need, coordinates), schema), need))
     enough = F.aggregate("near", F.lit(0).cast("bigint"), lambda s, e: s + e["w"]) >= need
     reach = F.when(enough, F.array_max(F.transform("near", lambda e: e["dist"])))
     asked = own.select("pid", "x", "part", F.col("part").alias("home_part"), reach.alias("reach"))
-    others = block_join(route(asked, parts, None, need, skip_own=True), home, parts.rows, _best(need), schema)
+    others = block_join(route(asked, parts, None, need, skip_own=True), home, parts.rows, _best(need, coordinates), schema)
     merged = _merge_near(own.unionByName(others), need)
     if not with_self:
         less = F.transform("near", lambda e: F.struct(

@@ -147,7 +147,7 @@ def balance_by_synthesis(df: DataFrame, features: str, label: str = "label", key
 
 def _synthesise(part: DataFrame, features: str, label: str, key: str, k: int, n: int, missing: int,
                 seed: str) -> DataFrame:
-    near = nearest(part.select(F.col(key).alias("id"), F.col(features).alias("x")), k, with_self=False)
+    near = nearest(part.select(F.col(key).alias("id"), F.col(features).alias("x")), k, with_self=False, coordinates=True)
     ranked = random_rank(part, key, seed)
     base, extra = divmod(missing, n)
     copies = F.lit(base) + (F.col("rank") <= extra).cast("int")

@@ -66,3 +66,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Reused several times: held in memory and on disk, recomputed if an executor goes."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Even partitions by key for a narrow table that many passes will read.
+
+    A fixed number keeps small tables from being merged into one partition; at scale it undoes the
+    skew that joins and synthetic rows leave behind.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
