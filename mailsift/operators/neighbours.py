@@ -139,12 +139,19 @@ def block_join(queries: DataFrame, home: DataFrame, home_rows: dict[int, int], k
         (int(p), max(1, math.ceil(n / BLOCK)), max(1, math.ceil(query_rows[p] / BLOCK)))
         for p, n in home_rows.items() if p in query_rows
     ]
-    blocks = F.broadcast(spark.createDataFrame(sizes, "part int, nh int, nq int"))  # <= MAX_PIVOTS rows
+
+    def with_blocks(df: DataFrame) -> DataFrame:
+        if len(sizes) == 1:
+            part, nh, nq = sizes[0]
+            return df.where(F.col("part") == part).withColumns({"nh": F.lit(nh), "nq": F.lit(nq)})
+        table = spark.createDataFrame(sizes, "part int, nh int, nq int")
+        return df.join(F.broadcast(table), "part")  # at most MAX_PIVOTS rows
+
     spot = F.xxhash64("pid")
     home = home.toDF(*home.columns)  # new column identities: both sides may be the same table
-    h = home.join(blocks, "part").withColumns({
+    h = with_blocks(home).withColumns({
         "j": F.pmod(spot, F.col("nh")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))})
-    q = queries.join(blocks, "part").withColumns({
+    q = with_blocks(queries).withColumns({
         "i": F.pmod(spot, F.col("nq")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("nh") - 1))})
     keys = ["part", "i", "j"]
     return q.drop("nh", "nq").groupBy(*keys).cogroup(h.drop("nh", "nq").groupBy(*keys)).applyInPandas(kernel, schema)
