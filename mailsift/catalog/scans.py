@@ -9,7 +9,7 @@ from mailsift.catalog.inputs import scans, scans_ctes
 from mailsift.catalog.learning import prepared
 from mailsift.catalog.registry import B, S, query, r, rounded, with_emails
 from mailsift.operators import models, scoring
-from mailsift.session import scratch_path
+from mailsift.session import scratch_path, use_utc
 from mailsift.sources import emails, sinks, table
 from mailsift.streaming import hourly_counts, read_emails, run_to_table, running_totals, score_stream, write_scans
 
@@ -80,6 +80,7 @@ def _(spark, folder):
 
 def _event_stream(spark, folder):
     """Every event as a scan: flagged where its type is an error."""
+    use_utc(spark)
     schema = table(spark, folder, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     return rows.select(F.col("ts").cast("timestamp").alias("timestamp"), (F.col("event_type") == "error").alias("is_phishing"))

@@ -106,8 +106,7 @@ def random_forest(df: DataFrame, n: int) -> list:
 
 
 def boosted_trees(df: DataFrame, n: int) -> list:
-    return [GBTClassifier(featuresCol=FEATURES, maxIter=100, stepSize=0.1, maxDepth=6, seed=fixed.SEED,
-                          cacheNodeIds=True)]
+    return [GBTClassifier(featuresCol=FEATURES, maxIter=100, stepSize=0.1, maxDepth=6, seed=fixed.SEED)]
 
 
 REGISTRY = {
@@ -141,7 +140,9 @@ class Prepared:
         self.columns, self.key = prep_columns(df, columns), key
         slim = df.select(key, F.col("label").cast("double").alias("label"), *self.columns)
         # The split is used by many fits: stored once, not derived again for each of them.
-        self.split = cut_lineage(spread(prep.stratified_split(as_double(slim, self.columns), shares, key=key), key))
+        rows = slim.count()
+        split = prep.stratified_split(as_double(slim, self.columns), shares, key=key)
+        self.split = cut_lineage(spread(split, key, rows))
         raw_train = self.split.where("split = 'train'")
         self.preparation = preparation(raw_train, self.columns)
         scaled = self.preparation.transform(self.split).select(key, "label", "split", FEATURES)
@@ -151,7 +152,7 @@ class Prepared:
             arrays = train.withColumn("x", vector_to_array(FEATURES))
             both = prep.balance_by_synthesis(arrays, "x", key=key)
             train = both.withColumn(FEATURES, array_to_vector("x")).drop("x")
-        self.train = cut_lineage(spread(train, FEATURES))
+        self.train = cut_lineage(spread(train, FEATURES, rows))
 
     def part(self, name: str) -> DataFrame:
         return self.scaled.where(F.col("split") == name).select(self.key, "label", FEATURES)

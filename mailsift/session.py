@@ -68,12 +68,14 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Even partitions by key for a narrow table that many passes will read.
+ROWS_PER_PARTITION = 1_000_000
 
-    A fixed number keeps small tables from being merged into one partition; at scale it undoes the
-    skew that joins and synthetic rows leave behind.
+
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Even partitions by key for a narrow table of about ``rows`` rows that many passes will read.
+
+    One partition per core at least, more as the table grows; a small table is not cut into more
+    tasks than there are cores. Undoes the skew that joins and synthetic rows leave behind.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-rows // ROWS_PER_PARTITION)), key)
