@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,26 @@ def build_session(app: str = "mailsift", master: str | None = None, cores: int =
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give every executor this package, once for each Spark application.
+
+    The archive is written by the driver for the driver; Spark's own file service hands it out.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_mailsift_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="mailsift-"), "mailsift.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._mailsift_shipped = True
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Timestamps are read and rendered in UTC everywhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
