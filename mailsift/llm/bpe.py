@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
+import sys
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,7 +31,7 @@ from mailsift.llm.common import slices, small_batches, texts
 
 #: Pre-tokens whose ids a task remembers, and the longest one it remembers.
 REMEMBERED, LONGEST = 400_000, 64
-_NONE = 1 << 62
+_START = (1 << 40) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +40,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
 
 
+def compiled(pattern: str, most: int = sys.maxunicode) -> re.Pattern:
+    r"""The pattern for Python's own, faster engine: ``\p{..}``, ``\s`` and ``\S`` become the ranges of
+    code points up to ``most`` that the ``regex`` module has for them."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        found = regex.match(r"\\p\{\w+\}|\\[sS]", pattern, pos=at)
+        if found:
+            name = found[0].replace("S", "s") if found[0] == r"\S" else found[0]
+            ranges = _ranges(name, most)
+            if found[0] == r"\S" and inside:
+                raise ValueError(r"\S within a class is not supported")
+            out.append(ranges if inside else f"[{'^' * (found[0] == chr(92) + 'S')}{ranges}]")
+            at = found.end()
+            continue
+        step = 2 if pattern[at] == "\\" else 1
+        inside = (inside or pattern[at] == "[") and pattern[at] != "]"
+        out.append(pattern[at:at + step])
+        at += step
+    return re.compile("".join(out))
+
+
+def _ranges(name: str, most: int) -> str:
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, most + 1))))
+    return "".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in regex.findall(f"(?:{name})+", every))
+
+
 class PerfectHash:
     """Hash and displace: buckets of keys, largest first, each get the displacement that fills free slots.
 
@@ -92,7 +120,7 @@ class Vocabulary:
         keys = list(ranks)
         self.hash = PerfectHash(keys)
         self.keys = [keys[i] for i in self.hash.order] if keys else []
-        self.compiled = regex.compile(pattern)
+        self.pattern_of = {False: compiled(pattern, 0xFFFF), True: compiled(pattern)}
         self.bytes_of = {r: k for k, r in ranks.items()}
         self.seen: dict[str, tuple[int, ...]] = {}
 
@@ -106,35 +134,35 @@ class Vocabulary:
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece by merging the neighbours of least rank, leftmost first, until none can merge."""
         ranks, n = self.ranks, len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        end = list(range(1, n + 1))
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
+        get = ranks.get
+        # A part starts at i and ends at end[i], where the next one starts; pair[i] is the rank of both together.
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        pair = [get(piece[i:i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        heap = [r << 40 | i for i, r in enumerate(pair) if r is not None]
         heapq.heapify(heap)
-        pair = [_NONE] * (n + 1)
-        for r, i in heap:
-            pair[i] = r
-        alive = [True] * n
         while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or pair[i] != r:
+            least = heapq.heappop(heap)
+            i = least & _START
+            if pair[i] != least >> 40:
                 continue
-            j = after[i]
-            alive[j] = False
-            end[i], after[i] = end[j], after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k < 0:
-                    continue
-                nxt = after[k]
-                new = ranks.get(piece[k:end[nxt]]) if nxt < n else None
-                pair[k] = _NONE if new is None else new
-                if new is not None:
-                    heapq.heappush(heap, (new, k))
+            j = end[i]
+            stop = end[i] = end[j]
+            pair[i] = pair[j] = None
+            if stop < n:
+                before[stop] = i
+                if (r := get(piece[i:end[stop]])) is not None:
+                    pair[i] = r
+                    heapq.heappush(heap, r << 40 | i)
+            k = before[i]
+            if k >= 0:
+                pair[k] = r = get(piece[k:stop])
+                if r is not None:
+                    heapq.heappush(heap, r << 40 | k)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i:end[i]]])
-            i = after[i]
+            i = end[i]
         return tuple(out)
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
@@ -143,7 +171,9 @@ class Vocabulary:
         return (found,) if found is not None else self.merged(raw)
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self.compiled.findall(text)
+        # The engine tests classes by a table up to code point FFFF and by a list of ranges beyond it.
+        beyond = len(text.encode("utf-16-le")) > 2 * len(text)
+        pieces = self.pattern_of[beyond].findall(text)
         seen = self.seen
         for p in set(pieces).difference(seen):
             seen[p] = self.ids_of(p)

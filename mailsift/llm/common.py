@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mailsift.session import scratch_path
 from mailsift.sources import table
 
-#: A key is hot if it holds more than one row in HOT_SHARE. By counting, at most HOT_SHARE keys can.
-HOT_SHARE = 1000
 #: Text that a Python task holds at once; a single longer text makes a slice of its own.
 SLICE_BYTES = 2_000_000
 #: Rows of one Arrow batch between the JVM and Python.
@@ -55,26 +53,6 @@ def texts(column: pa.Array) -> list[str]:
     return [v or "" for v in column.to_pylist()]
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Keys that hold more than one row in HOT_SHARE: at most HOT_SHARE of them, however large the table."""
-    total = counts.agg(F.sum(n)).scalar()
-    return counts.where(F.col(n) * HOT_SHARE > total).select(key)
-
-
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """``rows`` left joined to ``facts`` (one row a key at most).
-
-    The facts of hot keys, at most HOT_SHARE rows, are broadcast and their rows stay where they are;
-    the others meet by a shuffle in which no key is large.
-    """
-    mark = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
-    marked = rows.join(mark, key, "left")
-    told = facts.join(mark, key, "left")
-    cold = marked.where("_hot IS NULL").drop("_hot").join(told.where("_hot IS NULL").drop("_hot"), key, "left")
-    warm = marked.where("_hot").drop("_hot").join(F.broadcast(told.where("_hot").drop("_hot")), key, "left")
-    return cold.unionByName(warm)
-
-
 def held_out(divisor: int, remainder: int, key: str = "doc_id") -> Column:
     """crc32 of the id as text falls on the remainder; a null id counts as the text ``null``."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null"))) % divisor == remainder

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bpe, sharding
+from mailsift.llm import bpe, sharding, simhash
 from mailsift.llm.common import documents
 
 QUERIES: dict = {}
@@ -42,3 +42,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(documents(spark, folder), VOCABULARY, public_tokenizers.PATTERN, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder), words=3, k=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))

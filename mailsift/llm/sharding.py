@@ -16,7 +16,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mailsift.llm.common import hot_keys
+from mailsift.operators.skew import hot_keys
 
 #: Slots of the table; a prime, so that every step walks through all slots.
 SIZE = 65537
