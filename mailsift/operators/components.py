@@ -4,26 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from mailsift.operators.skew import hot_keys, join_facts
 from mailsift.session import cut_lineage
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges with ``m``, the least neighbour of ``a``; hubs, counted before, do not meet in one task."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_facts(edges, least.select("a", "m"), "a", hot_keys(least, "a"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    hung = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    hung = _with_least(edges)
+    return hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        hung.where("b = m").select("a", "b")).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component) for every node of (a, b); the component is its least node.
 
-    Minima are combined before each shuffle, so hub nodes are cheap; each round is checkpointed
-    in the shared folder, so a lost executor never rolls back the whole loop.
+    Minima are combined before each shuffle and hubs are joined by a broadcast of bounded size, so
+    hub nodes are cheap; each round is checkpointed in the shared folder, so a lost executor never
+    rolls back the whole loop.
     """
     loose = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     nodes = loose.select(F.col("a").alias("id")).unionByName(loose.select(F.col("b").alias("id"))).distinct()
