@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bpe, sharding, simhash
+from mailsift.llm import bpe, secrets, sharding, simhash
 from mailsift.llm.common import documents
 
 QUERIES: dict = {}
@@ -21,6 +21,37 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _span_sql(kind: str, order: int) -> str:
+    rule = {r.kind: r for r in secrets.RULES}[kind]
+    p = "'" + rule.pattern.replace("'", "''") + "'"
+    return (
+        f"list_transform(range(1, len(regexp_extract_all(t, {p})) + 1), lambda i: {{'good': "
+        f"length(regexp_extract_all(t, {p}, {rule.value})[i]) >= {rule.least}, 's': "
+        f"list_sum(list_transform(regexp_split_to_array(t, {p})[1:i], lambda x: length(x))) + "
+        f"coalesce(list_sum(list_transform(regexp_extract_all(t, {p})[1:i - 1], lambda x: length(x))), 0), "
+        f"'o': {order}, 'kind': '{kind}', 'n': length(regexp_extract_all(t, {p})[i])}})")
+
+
+SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, list_filter(list_concat({', '.join(_span_sql(r.kind, i) for i, r in enumerate(secrets.RULES))}),
+  lambda x: x.good) AS f FROM d),
+j AS (SELECT doc_id, f, coalesce(array_to_string(list_transform(list_sort(list_transform(f, lambda x:
+  {{'s': x.s, 'o': x.o, 'kind': x.kind, 'n': x.n}})), lambda x: x.kind || ':' || CAST(x.s AS BIGINT) || ':' || CAST(x.s + x.n AS BIGINT)), ','), '') AS spans FROM f)
+SELECT doc_id, {', '.join(f"len(list_filter(f, lambda x: x.kind = '{r.kind}')) AS n_{r.kind}" for r in secrets.RULES)},
+  sha256(spans) AS base_sha256, spans FROM j"""
+
+
+@query("op1_secrets", SECRETS_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(documents(spark, folder), secrets.new_ledger(spark))
+    kinds = F.transform("spans", lambda s: s.kind)
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}")
+              for r in secrets.RULES]
+    spans = secrets.joined(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
