@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bpe, secrets, sharding, simhash
+from mailsift.llm import bpe, secrets, sharding, simhash, warc
 from mailsift.llm.common import documents
+from mailsift.session import scratch_path
+from mailsift.sources import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +67,22 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "shard", "shard_after_loss", "source_shard")
 
 
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS g FROM pages),
+q AS (SELECT *, strlen(h) AS n, CASE WHEN strlen(h) >= {warc.LEAST_REVISIT} THEN max(page_id) OVER (PARTITION BY h) END AS top FROM p)
+SELECT page_id, n AS payload_bytes, g AS payload_digest,
+  CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to FROM q"""
+
+
+@query("op4_warc", WARC_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    archive = scratch_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archive)
+    return warc.read(spark, archive, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
