@@ -53,6 +53,17 @@ def texts(column: pa.Array) -> list[str]:
     return [v or "" for v in column.to_pylist()]
 
 
+def range_of(value: Column, starts: list[int]) -> Column:
+    """How many of the ascending ``starts`` are not above the value, by halving; null for a null value."""
+    array = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    found = F.lit(0)
+    for level in reversed(range(len(starts).bit_length())):
+        step = 1 << level
+        below = F.coalesce(F.get(array, found + (step - 1)) <= value, F.lit(False))
+        found = found + F.when(below, F.lit(step)).otherwise(F.lit(0))
+    return F.when(value.isNotNull(), found.cast("bigint"))
+
+
 def held_out(divisor: int, remainder: int, key: str = "doc_id") -> Column:
     """crc32 of the id as text falls on the remainder; a null id counts as the text ``null``."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null"))) % divisor == remainder

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bpe, secrets, sharding, simhash, warc
+from mailsift.llm import bpe, imatch, secrets, sharding, simhash, warc
 from mailsift.llm.common import documents
 from mailsift.session import scratch_path
 from mailsift.sources import table
@@ -54,6 +54,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+@query("op2_imatch")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return imatch.probe(docs, imatch.lexicon(docs))
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 

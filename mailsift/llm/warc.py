@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyarrow import fs as filesystems
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm.common import small_batches, written
+from mailsift.llm.common import range_of, small_batches, written
 from mailsift.operators.ranking import running_totals
 from mailsift.operators.skew import hot_keys, join_facts
 
@@ -151,18 +151,6 @@ def _shard_starts(rows: DataFrame, shard_bytes: int) -> list[int]:
     return sorted(r.start for r in starts.collect() if r.shard > 0)
 
 
-def _shard_of(key, starts: list[int]):
-    """The number of starts that are not above the key, by halving."""
-    levels = max(1, len(starts).bit_length())
-    array = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>") if starts else F.array().cast("array<bigint>")
-    found = F.lit(0)
-    for level in reversed(range(levels)):
-        step = 1 << level
-        below = F.coalesce(F.get(array, found + (step - 1)) <= key, F.lit(False))
-        found = found + F.when(below, F.lit(step)).otherwise(F.lit(0))
-    return found.cast("bigint")
-
-
 def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html",
           shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
     """Write the archive to ``folder``, which must be new and shared; the final manifest is returned."""
@@ -183,7 +171,7 @@ def write(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", pa
                             F.lit(None).cast("bigint").alias("refers_to"))
     starts = _shard_starts(narrow, shard_bytes)
     rows = marks.unionByName(records).select(
-        F.coalesce(_shard_of(F.col("key"), starts), F.lit(0)).alias("shard"), "key", "content", "kind", "url", "payload", "refers_to")
+        F.coalesce(range_of(F.col("key"), starts), F.lit(0)).alias("shard"), "key", "content", "kind", "url", "payload", "refers_to")
     files = rows.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "key", "content", "kind", "url").mapInArrow(
         _writer(folder, roll_bytes, date), MANIFEST)
     files.write.parquet(f"{folder}/_written")
