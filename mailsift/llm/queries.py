@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bpe, imatch, secrets, sharding, simhash, warc
-from mailsift.llm.common import documents
+from mailsift.llm import bpe, imatch, quality, secrets, sharding, simhash, toxicity, warc
+from mailsift.llm.common import documents, held_out
 from mailsift.session import scratch_path
 from mailsift.sources import table
 
@@ -89,6 +89,20 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs, kept_back = documents(spark, folder), held_out(5, 0)
+    scorer = toxicity.fit(docs, table(spark, folder, "labels"), kept_back)
+    return toxicity.score(docs, scorer, ["doc_id"]).select("doc_id", kept_back.alias("held_out"), "score", "predicted")
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs, kept_back = documents(spark, folder), held_out(3, 1)
+    ranker = quality.fit(docs, table(spark, folder, "labels"), kept_back)
+    return quality.score(docs, ranker, ["doc_id"]).select("doc_id", kept_back.alias("held_out"), "score", "predicted")
+
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
