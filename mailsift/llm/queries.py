@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bpe, imatch, quality, secrets, sharding, simhash, toxicity, warc
+from mailsift.llm import bpe, imatch, quality, secrets, sharding, simhash, suffix_dedup, toxicity, warc
 from mailsift.llm.common import documents, held_out
 from mailsift.session import scratch_path
 from mailsift.sources import table
@@ -96,6 +96,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, scorer, ["doc_id"]).select("doc_id", kept_back.alias("held_out"), "score", "predicted")
 
 
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, folder))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_quality")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs, kept_back = documents(spark, folder), held_out(3, 1)
