@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bpe, imatch, quality, secrets, sharding, simhash, suffix_dedup, toxicity, warc
+from mailsift.llm import bpe, decontam, imatch, quality, secrets, sharding, simhash, suffix_dedup, toxicity, warc
 from mailsift.llm.common import documents, held_out
 from mailsift.session import scratch_path
 from mailsift.sources import table
@@ -124,3 +124,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder), words=3, k=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a document and a benchmark item found in it."""
+    return decontam.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
