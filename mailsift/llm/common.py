@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mailsift.session import scratch_path
+from mailsift.session import written  # noqa: F401
 from mailsift.sources import table
 
 #: Text that a Python task holds at once; a single longer text makes a slice of its own.
@@ -21,13 +21,6 @@ def documents(spark: SparkSession, folder: str, *names: str) -> DataFrame:
     return table(spark, folder, "documents").select(*(names or ("doc_id", "text")))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Stored in the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

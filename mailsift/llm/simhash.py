@@ -206,7 +206,7 @@ def block_keys(fp, k: int) -> list:
 def links(fps: DataFrame, k: int = 3, largest: int = LARGEST) -> DataFrame:
     """(a, b): links that join all distinct fingerprints (column fp) within k bits of one another."""
     routed = written(fps.select("fp", F.explode(F.array(*block_keys(F.col("fp"), k))).alias("unit")), "routed")
-    sizes = routed.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage"))
+    sizes = written(routed.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage")), "shards")
     told = join_facts(routed, sizes.where(F.col("n") > largest).select("unit", "vantage"), "unit",
                       hot_keys(sizes, "unit"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
@@ -229,12 +229,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
                     k: int = 3) -> DataFrame:
     """(key, fp, component): every row with its fingerprint and the least id that links reach."""
     rows = written(fingerprints(df, key, text, words), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n"))
+    fps = written(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     members = connected_components(written(links(fps.select("fp"), k), "links"))
-    named = fps.join(members.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("_least"), F.count(F.lit(1)).alias("n"))
-    whole = join_facts(named.select("fp", "component"), least.select("component", "_least"), "component",
-                       hot_keys(least, "component"))
-    facts = written(whole.select("fp", F.col("_least").alias("component")), "components")
+    named = written(fps.join(members.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("component", "fp")).select("fp", "root", "least"), "members")
+    least = written(named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")), "groups")
+    facts = written(join_facts(named.select("fp", "root"), least.select("root", "component"), "root",
+                               hot_keys(least, "root")).select("fp", "component"), "components")
     return join_facts(rows, facts, "fp", hot_keys(fps, "fp"))
