@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mailsift.operators.skew import hot_keys, join_facts
-from mailsift.session import cut_lineage
+from mailsift.session import written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Edges with ``m``, the least neighbour of ``a``; hubs, counted before, do not meet in one task."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
     return join_facts(edges, least.select("a", "m"), "a", hot_keys(least, "a"))
 
 
@@ -29,15 +29,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component) for every node of (a, b); the component is its least node.
 
     Minima are combined before each shuffle and hubs are joined by a broadcast of bounded size, so
-    hub nodes are cheap; each round is checkpointed in the shared folder, so a lost executor never
-    rolls back the whole loop.
+    hub nodes are cheap. Each step is written to the shared folder: a lost executor never rolls back
+    the loop, and no plan grows with the rounds.
     """
     loose = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     nodes = loose.select(F.col("a").alias("id")).unionByName(loose.select(F.col("b").alias("id"))).distinct()
-    now = cut_lineage(loose.where("a <> b").distinct())
+    now = written(loose.where("a <> b").distinct(), "links")
     mark = None
     for _ in range(max_rounds):
-        now = cut_lineage(_small_star(_large_star(now).distinct()))
+        now = written(_small_star(written(_large_star(now).distinct(), "large-star")), "small-star")
         seen = now.agg(
             F.count(F.lit(1)), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")),
             F.bit_xor(F.xxhash64("a", "b"))).head()

@@ -85,6 +85,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Stored in the shared folder and read again: cuts lineage, survives lost executors, and keeps plans small."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Reused several times: held in memory and on disk, recomputed if an executor goes."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
