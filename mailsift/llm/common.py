@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from mailsift.session import written  # noqa: F401
 from mailsift.sources import table
@@ -46,6 +46,21 @@ def texts(column: pa.Array) -> list[str]:
     return [v or "" for v in column.to_pylist()]
 
 
+def schema_with(df: DataFrame, keep: list[str], **added: str) -> T.StructType:
+    """The kept columns as they are in ``df``, and added ones by name and type."""
+    more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in added.items()]
+    return T.StructType([df.schema[k] for k in keep] + more)
+
+
+def packed(df: DataFrame, text: str = "text") -> DataFrame:
+    """(text, _row): all columns in one, so that operators can add columns whatever the names of these."""
+    return df.select(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")
+
+
 def range_of(value: Column, starts: list[int]) -> Column:
     """How many of the ascending ``starts`` are not above the value, by halving; null for a null value."""
     array = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")

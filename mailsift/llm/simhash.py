@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from mailsift.llm.common import slices, small_batches, written
+from mailsift.llm.common import schema_with, slices, small_batches, written
 from mailsift.operators.components import connected_components
 from mailsift.operators.skew import hot_keys, join_facts
 
@@ -74,9 +74,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             fps = np.array([fingerprint(v or b"", words) for v in raw], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], [key, "fp"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}` AS _key", f"CAST(`{text}` AS BINARY) AS _text").mapInArrow(
-        run, f"`{key}` {kind}, fp bigint")
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("binary").alias("_text"))
+    return rows.mapInArrow(run, schema_with(df, [key], fp="bigint"))
 
 
 class _Links:
@@ -237,3 +236,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     facts = written(join_facts(named.select("fp", "root"), least.select("root", "component"), "root",
                                hot_keys(least, "root")).select("fp", "component"), "components")
     return join_facts(rows, facts, "fp", hot_keys(fps, "fp"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, k: int = 3) -> DataFrame:
+    """``df`` with one row of each group: that of the least key (null last), among equal keys of the least text hash."""
+    identity = F.struct(F.col(f"`{key}`").isNull(), F.coalesce(F.col(f"`{key}`"), F.lit(0)), F.xxhash64(F.col(f"`{text}`")))
+    rows = df.withColumn("_identity", identity)
+    found = near_duplicates(rows.select("_identity", F.col(f"`{text}`").alias("_whole")), "_identity", "_whole", words, k)
+    kept = written(found.select(F.col("component").alias("_identity")).distinct(), "kept")
+    return rows.join(kept, "_identity", "left_semi").dropDuplicates(["_identity"]).drop("_identity")

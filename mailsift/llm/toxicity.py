@@ -11,8 +11,8 @@ All fits use a sample of at most about ``SAMPLE`` labelled rows, drawn by a hash
 by row over all whole texts, so copies and hot sources cost nothing extra.
 
 Defined cases: null and empty texts have all features 0 and a score as any other row; equal texts have
-equal scores; repeated rows stay; without labels of both kinds the fit is refused. Only id and text are
-read for a score.
+equal scores; repeated rows stay; if the sample lacks a kind of label, every score is its share of toxic
+rows (0 without labels). Only id and text are read for a score.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsift.llm.common import labelled_sample, slices, small_batches, texts, written
+from mailsift.llm.common import labelled_sample, schema_with, slices, small_batches, texts, written
 
 #: Labelled rows a fit draws, terms of the lexicon, toxic rows that must hold a term, and its least log odds.
 SAMPLE, TERMS, LEAST_ROWS, LEAST_ODDS = 20_000, 3000, 4, 2.5
@@ -72,9 +72,12 @@ def candidates(text: str) -> set[str]:
 
 @dataclass
 class Scorer:
+    """Without trees every score is ``rate``."""
+
     lexicon: dict[str, float]
-    trees: GBTClassificationModel
-    curve: IsotonicRegressionModel
+    trees: GBTClassificationModel | None
+    curve: IsotonicRegressionModel | None
+    rate: float
 
 
 class Reader:
@@ -132,9 +135,7 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
                                               pa.array([r[1] for r in rows], pa.int64())], ["term", "toxic"])
 
-    rows, toxic = sample.agg(F.count(F.lit(1)), F.sum("label")).head()
-    if not toxic or toxic == rows:
-        raise ValueError("the sample needs labels of both kinds")
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).head()
     counts = sample.select("text", "label").mapInArrow(run, "term string, toxic bigint").groupBy("term").agg(
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= LEAST_ROWS)
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (rows - toxic + 1.0))
@@ -154,8 +155,7 @@ def with_features(df: DataFrame, lexicon: dict[str, float], keep: list[str], tex
             yield pa.RecordBatch.from_arrays([*part.columns[1:], found], [*keep, "features"])
 
     rows = df.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{k}`") for k in keep])
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"{kinds}, features array<double>")
+    return rows.mapInArrow(run, schema_with(df, keep, features="array<double>"))
 
 
 def _margins(trees: GBTClassificationModel, df: DataFrame) -> DataFrame:
@@ -170,17 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "toxi
     lexicon = learn_lexicon(drawn)
     rows = written(with_features(drawn, lexicon, [key, "label"]).withColumn(
         "fold", F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(3))), "features")
+    rate, kinds = rows.agg(F.avg("label"), F.count_distinct(F.when(F.col("fold") > 0, F.col("label")))).head()
+    if kinds < 2:
+        return Scorer(lexicon, None, None, rate or 0.0)
     booster = GBTClassifier(labelCol="label", featuresCol="_vector", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS,
                             stepSize=0.2, seed=7, cacheNodeIds=True)
     booster.setRawPredictionCol("_raw").setProbabilityCol("").setPredictionCol("")
     trees = booster.fit(rows.where("fold <> 0").withColumn("_vector", array_to_vector("features")))
+    ends = rows.sparkSession.range(2).select((F.col("id") * 200.0 - 100).alias("margin"), F.col("id").cast("double").alias("label"))
     curve = IsotonicRegression(labelCol="label", featuresCol="margin", predictionCol="score").fit(
-        _margins(trees, rows.where("fold = 0")).select("margin", "label"))
-    return Scorer(lexicon, trees, curve)
+        _margins(trees, rows.where("fold = 0")).select("margin", "label").unionByName(ends))
+    return Scorer(lexicon, trees, curve, rate)
 
 
 def score(df: DataFrame, scorer: Scorer, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, ``score`` between 0 and 1, and ``predicted`` (1 from one half up)."""
+    if scorer.trees is None:
+        return df.select(*keep, F.lit(scorer.rate).alias("score"), F.lit(int(scorer.rate >= 0.5)).alias("predicted"))
     rows = _margins(scorer.trees, with_features(df, scorer.lexicon, keep, text))
     found = scorer.curve.transform(rows).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
     return found.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
