@@ -76,12 +76,19 @@ class Lexicon:
             h = np.array([xxhash.xxh64_intdigest(t) for t in sorted(found)] or [xxhash.xxh64_intdigest(text)], np.uint64)
         out = np.empty(_HASHES, np.uint32)
         out[0] = xxhash.xxh64_intdigest(h.tobytes()) >> 40 or 1
-        drawn = _mixed(h[None, :] ^ _SEED)
+        drawn = _mixed(h[None, :] ^ _SEED).ravel()
+        kept = np.flatnonzero(drawn >> np.uint64(62) == 0)
+        drawn, seed = drawn[kept], kept // len(h)
         value = _mixed(drawn)
         for level in range(1, LEVELS + 1):
-            kept = drawn >> np.uint64(64 - 2 * level) == 0
-            total = _mixed(np.where(kept, value, np.uint64(0)).sum(axis=1, dtype=np.uint64)) >> np.uint64(40)
-            out[1 + (level - 1) * SEEDS:1 + level * SEEDS] = np.where(kept.any(axis=1), np.maximum(total, np.uint64(1)), 0)
+            if level > 1:
+                deeper = drawn >> np.uint64(64 - 2 * level) == 0
+                drawn, seed, value = drawn[deeper], seed[deeper], value[deeper]
+            total = np.zeros(SEEDS, np.uint64)
+            np.add.at(total, seed, value)
+            held = np.bincount(seed, minlength=SEEDS) > 0
+            out[1 + (level - 1) * SEEDS:1 + level * SEEDS] = np.where(
+                held, np.maximum(_mixed(total) >> np.uint64(40), np.uint64(1)), 0)
         return out
 
 
