@@ -69,8 +69,9 @@ class Lexicon:
     def fingerprint(self, text: str) -> np.ndarray:
         """24-bit hashes: of all terms, then by level and seed; 0 for a subset without a term."""
         found = terms(text)
-        known = sorted(self.position[t] for t in found if t in self.position)
-        if known:
+        known = np.array([p for p in map(self.position.get, found) if p is not None], np.int64)
+        if len(known):
+            known.sort()
             h = self.hash[known]
         else:
             h = np.array([xxhash.xxh64_intdigest(t) for t in sorted(found)] or [xxhash.xxh64_intdigest(text)], np.uint64)
