@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift.catalog.inputs import featured, prepared
 from mailsift.catalog.registry import (
-    B, LINKS, PARTS_SQL, S, address_sql, alpha_sql, clean_sql, columns, query, r, rounded, with_emails,
+    B, FEATURE_SQL, LINKS, PARTS_SQL, S, address_sql, alpha_sql, clean_sql, columns, query, r, rounded, with_emails,
     with_features)
 from mailsift.fixed import WS
 from mailsift.functions import addresses, dates, text, urls
@@ -130,9 +130,7 @@ def _(spark, folder):
     odd = emails(spark, folder).select(
         "email_id", F.col("subject").alias("Email_Subject"), F.col("body").alias("Email_Content"),
         F.col("label").alias("Label"))
-    # names differ from the resolved ones by more than case
-    spare = odd.withColumnRenamed("Label", "label")
-    return resolve_aliases(spare).select("email_id", "subject", "body", "label")
+    return resolve_aliases(odd).select("email_id", "subject", "body", "label")
 
 
 @query("clean_text", with_emails(f"SELECT email_id, {clean_sql(B)} AS clean_content FROM emails"))
@@ -146,18 +144,39 @@ def _(spark, folder):
         "email_id", text.clean(F.col("subject"), "alpha").alias("subject"), text.clean(F.col("body"), "alpha").alias("body"))
 
 
-NUMERIC = [
-    "has_attachment", "num_attachments", "hour", "weekday", "subject_length", "body_length", "body_percent_caps", "num_urls",
-]
+DOUBLES = ["body_percent_caps", "subject_body_ratio"]
+NUMERIC = ["has_attachment", "num_attachments", *PARTS_SQL, *[c for c in FEATURE_SQL if c != "time_of_day"]]
 
 
 @query("numeric_features", with_features(
-    "SELECT email_id, " + ", ".join(
-        f"{r(c)} AS {c}" if c == "body_percent_caps" else f"coalesce({c}, -1) AS {c}" for c in NUMERIC) + " FROM featured"))
+    "SELECT email_id, " + ", ".join(f"{r(c)} AS {c}" if c in DOUBLES else f"coalesce({c}, -1) AS {c}" for c in NUMERIC)
+    + " FROM featured"))
 def _(spark, folder):
     df = featured(spark, folder).withColumn("subject_hash", F.hash("subject"))
-    chosen = [c for c in cleaning.numeric_columns(df) if c in NUMERIC or "hash" in c]
-    return rounded(df.select("email_id", *chosen).na.fill(-1, ["hour", "weekday"]))
+    rows = df.select("email_id", *cleaning.numeric_columns(df))
+    return rounded(rows.na.fill(-1, [c for c in rows.columns if c not in DOUBLES]))
+
+
+@query("choose_features", with_features("SELECT email_id, subject_length, num_urls FROM featured"))
+def _(spark, folder):
+    df = featured(spark, folder)
+    return df.select("email_id", *cleaning.choose_features(df, ["subject_length", "no_such_column", "num_urls"]))
+
+
+@query("write_cleaned", with_emails("SELECT email_id, sender, label FROM emails"))
+def _(spark, folder):
+    """The learning copy has no date, the dated one has it."""
+    plain, dated = scratch_path(spark, "cleaned"), scratch_path(spark, "dated")
+    sinks.write_cleaned(emails(spark, folder).select("email_id", "sender", "date", "label"), plain, dated)
+    both = spark.read.parquet(plain).join(spark.read.parquet(dated).select("email_id", "date"), "email_id")
+    return both.drop("date")
+
+
+@query("write_result", with_emails("SELECT label, count(*) AS n FROM emails GROUP BY 1"))
+def _(spark, folder):
+    path = scratch_path(spark, "result")
+    sinks.write_result(emails(spark, folder).groupBy("label").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("label int, n bigint").csv(path, header=True)
 
 
 @query("impute_mean", with_features(

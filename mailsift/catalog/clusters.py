@@ -85,7 +85,7 @@ def _(spark, folder):
 
 @query("birch_cf")
 def _(spark, folder):
-    return clustering.micro_clusters(app_points(spark, folder).select("id", "x"))[1]
+    return clustering.cf_rows(app_points(spark, folder).select("id", "x"), 0.5)[1]
 
 
 @query("birch")

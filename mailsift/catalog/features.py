@@ -227,17 +227,9 @@ def _(spark, folder):
     return scoring.key_factors(featured(spark, folder))
 
 
-_INDICATORS = [
-    ("content", "Subject Length", "subject_length"), ("content", "Body Length", "body_length"),
-    ("content", "Word Count", "body_word_count"), ("content", "URLs Found", "num_urls"),
-    ("risk", "Urgency Score", "urgency_score"), ("risk", "Financial Keywords", "financial_score"),
-    ("risk", "Personal Info", "personal_info_score"), ("risk", "Suspicious URLs", "has_ip_url + has_url_shortener"),
-]
-
-
 @query("risk_indicators", with_emails(
     f", single AS (SELECT email_id, {columns(SINGLE_SQL)} FROM emails) " + " UNION ALL ".join(
         f"SELECT email_id, '{k}' AS kind, '{n}' AS indicator, CAST({c} AS INT) AS value FROM single"
-        for k, n, c in _INDICATORS)))
+        for k, n, c in fixed.INDICATORS)))
 def _(spark, folder):
     return scoring.indicators(features.single_features(emails(spark, folder)))

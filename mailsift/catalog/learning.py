@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailsift import fixed
 from mailsift.catalog.inputs import app_features, app_points
-from mailsift.catalog.registry import query
+from mailsift.catalog.registry import query, with_emails
 from mailsift.operators import metrics, models, prep
 from mailsift.session import scratch_path
 from mailsift.sources import sinks
@@ -30,7 +30,13 @@ query("random_forest")(_one("Random Forest"))
 query("boosted_trees")(_one("Boosted Trees"))
 
 
-@query("smote")
+SMOTE_SQL = f"""
+, sizes AS (SELECT label, count(*) AS n, max(count(*)) OVER () AS top, min(count(*)) OVER () AS low FROM emails GROUP BY label)
+SELECT label, false AS synthetic, n FROM sizes
+UNION ALL SELECT label, true, top - n FROM sizes WHERE n < top AND low / top::DOUBLE < {fixed.IMBALANCE_GATE}"""
+
+
+@query("smote", with_emails(SMOTE_SQL))
 def _(spark, folder):
     points = app_points(spark, folder).withColumnRenamed("id", "email_id")
     return prep.balance_by_synthesis(points, "x").groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
@@ -50,13 +56,13 @@ def _(spark, folder):
 
 @query("cross_validation")
 def _(spark, folder):
-    return models.cross_validate(prepared(spark, folder).train, ["Logistic Regression", "Random Forest"])
+    return models.cross_validate(prepared(spark, folder), list(models.REGISTRY))
 
 
 @query("holdout_test")
 def _(spark, folder):
     data = prepared(spark, folder)
-    names = ["Logistic Regression", "Random Forest"]
+    names = list(models.REGISTRY)
     fitted, found = models.train_suite(data, names)
     best = models.best_model(metrics.weighted_metrics(found, ["model"]), names)
     return metrics.comparison(models.predict(fitted[best], data.part("test"), best))

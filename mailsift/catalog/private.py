@@ -18,10 +18,10 @@ def _(spark, folder):
 
 
 @query("laplace_noise_lineitem", "SELECT l_orderkey, l_linenumber, " + r(
-    f"l_quantity + {laplace('noise-l_quantity', 2.0, 'l_orderkey')}") + " AS l_quantity FROM lineitem")
+    f"l_quantity + {laplace('noise-l_quantity', 2.0, 'l_orderkey', 'l_linenumber')}") + " AS l_quantity FROM lineitem")
 def _(spark, folder):
     df = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return rounded(privacy.laplace_noise(df, ["l_quantity"], 0.5, "l_orderkey"))
+    return rounded(privacy.laplace_noise(df, ["l_quantity"], 0.5, ["l_orderkey", "l_linenumber"]))
 
 
 def _parts(spark, folder):

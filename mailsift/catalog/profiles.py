@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from mailsift import fixed
 from mailsift.catalog.inputs import featured, labelled, labelled_cte, predictions, predictions_ctes, prepared, vectors
 from mailsift.catalog.registry import query, r, rounded, with_emails, with_features
-from mailsift.operators import metrics, profiling
+from mailsift.functions import dates
+from mailsift.operators import cleaning, metrics, profiling
 from mailsift.sources import emails, table
 
 MEANS = ["subject_length", "body_length", "num_urls", "urgency_score", "financial_score"]
@@ -101,16 +102,28 @@ def _(spark, folder):
     return rounded(profiling.correlations(table(spark, folder, "lineitem"), PRICES))
 
 
-@query("hour_histogram", with_features("SELECT label, hour, count(*) AS n FROM featured WHERE hour IS NOT NULL GROUP BY 1, 2"))
+DATED = """
+, best AS (SELECT date FROM emails WHERE date IS NOT NULL GROUP BY date ORDER BY count(*) DESC, date LIMIT 1)
+, dated AS (SELECT * REPLACE (coalesce(date, (SELECT date FROM best), TIMESTAMP '2000-01-01') AS date) FROM emails)
+"""
+
+
+def _dated(spark, folder):
+    """Every mail with a date, the missing ones filled first, as in the cleaned table."""
+    return cleaning.add_date_parts(cleaning.fill_date_with_mode(emails(spark, folder)))
+
+
+@query("hour_histogram", with_emails(f"{DATED} SELECT label, CAST(hour(date) AS INT) AS hour, count(*) AS n FROM dated GROUP BY 1, 2"))
 def _(spark, folder):
-    return profiling.hour_histogram(prepared(spark, folder).where("hour IS NOT NULL"))
+    return profiling.hour_histogram(_dated(spark, folder))
 
 
-@query("weekend_crosstab", with_features(f"""
-SELECT is_weekend, label, count(*) AS n, {r('count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY label)')} AS pct
-FROM featured WHERE is_weekend IS NOT NULL GROUP BY 1, 2"""))
+@query("weekend_crosstab", with_emails(f"""{DATED}
+SELECT CAST(isodow(date) IN (6, 7) AS INT) AS is_weekend, label, count(*) AS n,
+  {r('count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY label)')} AS pct FROM dated GROUP BY 1, 2"""))
 def _(spark, folder):
-    return rounded(profiling.weekend_crosstab(featured(spark, folder).where("is_weekend IS NOT NULL")))
+    rows = _dated(spark, folder).withColumn("is_weekend", dates.is_weekend(F.col("weekday")))
+    return rounded(profiling.weekend_crosstab(rows))
 
 
 @query("cluster_alignment", with_emails(

@@ -37,13 +37,13 @@ def r(expression: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0"
 
 
-def u(seed: str, key: str) -> str:
-    digest = f"sha256('{seed}|' || CAST({key} AS VARCHAR))"
+def u(seed: str, *keys: str) -> str:
+    digest = f"sha256('{seed}|' || " + " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
     return f"((CAST(('0x' || {digest}[1:13]) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)"
 
 
-def laplace(seed: str, scale: float, key: str) -> str:
-    c = f"({u(seed, key)} - 0.5)"
+def laplace(seed: str, scale: float, *keys: str) -> str:
+    c = f"({u(seed, *keys)} - 0.5)"
     return f"(-{scale}::DOUBLE * sign({c}) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs({c})))"
 
 

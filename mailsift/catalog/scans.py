@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from mailsift import fixed
 from mailsift.catalog.inputs import scans, scans_ctes
-from mailsift.catalog.learning import prepared
-from mailsift.catalog.registry import B, S, query, r, rounded, with_emails
-from mailsift.operators import models, scoring
-from mailsift.session import scratch_path, use_utc
+from mailsift.catalog.features import SINGLE_SQL
+from mailsift.catalog.registry import B, S, columns, query, r, rounded, with_emails
+from mailsift.operators import features, models, scoring
+from mailsift.session import cut_lineage, scratch_path, use_utc
 from mailsift.sources import emails, sinks, table
 from mailsift.streaming import hourly_counts, read_emails, run_to_table, running_totals, score_stream, write_scans
 
@@ -59,21 +59,32 @@ def _(spark, folder):
     return scoring.verdicts(scans(spark, folder))
 
 
-@query("scans_by_hour", f"""WITH {scans_ctes()} SELECT CAST(hour(timestamp) AS INT) AS hour, CASE WHEN is_phishing THEN 'Phishing' ELSE 'Safe' END AS type,
-  count(*) AS n FROM scans WHERE timestamp IS NOT NULL GROUP BY 1, 2""")
+@query("scans_by_hour", f"""WITH {scans_ctes()} SELECT CAST(coalesce(hour(timestamp), -1) AS INT) AS hour, CASE WHEN is_phishing THEN 'Phishing' ELSE 'Safe' END AS type,
+  count(*) AS n FROM scans GROUP BY 1, 2""")
 def _(spark, folder):
-    return scoring.scans_by_hour(scans(spark, folder).where("timestamp IS NOT NULL"))
+    return scoring.scans_by_hour(scans(spark, folder)).na.fill(-1, ["hour"])  # -1: no date
 
 
 def _scorer(spark, folder):
-    data = prepared(spark, folder, fixed.APP_FEATURES[:8])
-    return data.pipeline(models.fit_classifier("Logistic Regression", data.train)), data.columns
+    """Trained on the features that scoring computes, all of them."""
+    rows = features.single_features(emails(spark, folder)).select("email_id", "label", *fixed.APP_FEATURES)
+    data = models.Prepared(cut_lineage(rows), fixed.APP_FEATURES, profile="single")
+    return data.pipeline(models.fit_classifier("Logistic Regression", data.train))
 
 
 @query("score_batch")
 def _(spark, folder):
-    model, columns = _scorer(spark, folder)
-    return scoring.score(emails(spark, folder), model, columns, "Logistic Regression")
+    return scoring.score(emails(spark, folder), _scorer(spark, folder), "Logistic Regression")
+
+
+@query("score_features", with_emails(f", single AS (SELECT *, {columns(SINGLE_SQL)} FROM emails) SELECT email_id, "
+                                     + ", ".join(fixed.APP_FEATURES) + f" FROM single WHERE {S} <> '' OR {B} <> ''"))
+def _(spark, folder):
+    """The features a saved scorer asks for, of every mail that is scored."""
+    path = scratch_path(spark, "scorer")
+    sinks.save_model(_scorer(spark, folder), path)
+    kept = scoring.trained_with(sinks.load_model(path))
+    return features.PROFILES[kept.getProfile()](scoring.scannable(emails(spark, folder))).select("email_id", *kept.getColumns())
 
 
 # --- streams -----------------------------------------------------------------------------
@@ -93,17 +104,17 @@ def _(spark, folder):
 
 @query("stream_hourly", "SELECT date_trunc('hour', ts) AS hour_start, event_type = 'error' AS is_phishing, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, folder):
-    out = run_to_table(hourly_counts(_event_stream(spark, folder), "timestamp", ["is_phishing"]), "complete", "hourly")
+    out = run_to_table(hourly_counts(_event_stream(spark, folder), "timestamp", ["is_phishing"]), "update", "hourly", ["hour_start", "is_phishing"])
     return out.withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
 
 
 @query("stream_scores")
 def _(spark, folder):
     """The mails, written once as files, scored as a stream into the scan log."""
-    model, columns = _scorer(spark, folder)
+    model = _scorer(spark, folder)
     source, sink = scratch_path(spark, "mail-in"), scratch_path(spark, "scan-log")
     mails = emails(spark, folder)
     mails.write.parquet(source)
-    found = score_stream(read_emails(spark, source, mails.schema), model, columns, "Logistic Regression")
+    found = score_stream(read_emails(spark, source, mails.schema), model, "Logistic Regression")
     write_scans(found, sink, f"{sink}-state").awaitTermination()
     return spark.read.parquet(sink)

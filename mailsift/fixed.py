@@ -70,6 +70,26 @@ KEY_FACTORS = [
     ("Exclamation Marks", "body_num_exclaim"),
 ]
 
+INDICATORS = [
+    ("content", "Subject Length", "subject_length"),
+    ("content", "Body Length", "body_length"),
+    ("content", "Word Count", "body_word_count"),
+    ("content", "URLs Found", "num_urls"),
+    ("risk", "Urgency Score", "urgency_score"),
+    ("risk", "Financial Keywords", "financial_score"),
+    ("risk", "Personal Info", "personal_info_score"),
+    ("risk", "Suspicious URLs", "has_ip_url + has_url_shortener"),
+]
+VERDICTS = ("Phishing", "Safe")
+HISTORY_HEADINGS = {
+    "timestamp": "Timestamp",
+    "subject": "Subject",
+    "sender": "Sender",
+    "probability": "Threat Score",
+    "is_phishing": "Status",
+    "model": "Model",
+}
+
 # --- fixed values: learning and privacy parameters ---------------------------------------
 SEED = 42
 IMBALANCE_GATE = 0.67

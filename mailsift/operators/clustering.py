@@ -60,26 +60,26 @@ def bisecting(points: DataFrame, k: int, seed: int = fixed.SEED) -> DataFrame:
 
 # --- hierarchical clustering over micro-clusters -----------------------------------------
 
-MAX_MICRO = 500
+#: Summary rows that the driver merges; the merge takes the cube of their number.
+MOST_SUMMARIES = 2000
 
 
-def micro_clusters(points: DataFrame, micro: int = 200, seed: int = fixed.SEED) -> tuple[DataFrame, DataFrame]:
-    """((id, micro), (micro, n, centre)): a table of at most 500 summary rows.
+def micro_clusters(points: DataFrame, micro: int | None = 200, seed: int = fixed.SEED,
+                   rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """((id, micro), (micro, n, centre)): weighted k-means summaries, or with ``micro=None`` the distinct points.
 
-    With no more distinct points than micro-clusters every distinct point is its own, and the
-    merge above is then the exact one.
+    The caller chooses; neither the number nor the method depends on the size of the table.
+    ``rounds`` bounds the k-means steps.
     """
-    micro = min(micro, MAX_MICRO)
     merged = keep(merge_copies(points))
-    if merged.count() <= micro:
-        placed = to_original(points, merged.select("x", F.col("pid").alias("micro")))
+    if micro is None:
+        found = merged.select("x", F.col("pid").alias("micro"))
     else:
         vectors = keep(with_vector(merged.withColumnRenamed("pid", "id")))
-        model = KMeans(k=micro, seed=seed, maxIter=10, featuresCol="features", predictionCol="micro",
+        model = KMeans(k=micro, seed=seed, maxIter=rounds, featuresCol="features", predictionCol="micro",
                        weightCol="w").fit(vectors)
         found = model.transform(vectors).select("x", F.col("micro").cast("bigint"))
-        placed = to_original(points, found)
-    placed = keep(placed)
+    placed = keep(to_original(points, found))
     summary = Summarizer.metrics("count", "mean").summary(array_to_vector(F.col("x")))
     table = placed.groupBy("micro").agg(summary.alias("s")).select(
         "micro", F.col("s.count").alias("n"), vector_to_array("s.mean").alias("centre"))
@@ -108,17 +108,49 @@ def ward_merge(n: np.ndarray, centre: np.ndarray, k: int) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-def ward(points: DataFrame, k: int, micro: int = 200) -> DataFrame:
-    """Ward clustering of weighted micro-clusters (at most 500 rows reach the driver)."""
-    placed, table = micro_clusters(points, micro)
-    rows = sorted(table.collect(), key=lambda r: r["micro"])
+def _merged(placed: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    rows = sorted(table.limit(MOST_SUMMARIES + 1).collect(), key=lambda r: str(r["micro"]))
+    if len(rows) > MOST_SUMMARIES:
+        raise ValueError(f"more than {MOST_SUMMARIES} summary rows: ask for fewer, or for a larger threshold")
     groups = ward_merge(np.array([r["n"] for r in rows]), np.array([r["centre"] for r in rows]), k)
     lookup = placed.sparkSession.createDataFrame(
-        [(int(r["micro"]), int(g)) for r, g in zip(rows, groups)], "micro bigint, cluster int")
+        [(r["micro"], int(g)) for r, g in zip(rows, groups)], f"micro {table.schema['micro'].dataType.simpleString()}, cluster int")
     return placed.join(F.broadcast(lookup), "micro").select("id", "cluster")
 
 
-birch = ward
+def ward(points: DataFrame, k: int, micro: int | None = 200) -> DataFrame:
+    """Ward clustering of weighted micro-clusters; exact over the distinct points with ``micro=None``."""
+    return _merged(*micro_clusters(points, micro), k)
+
+
+def cf_rows(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((id, micro), clustering features (micro, n, centre, radius)).
+
+    An entry is a cell of a grid whose half diagonal is ``threshold``, so no point is further than
+    twice that from the entry's mean. Cells are joined by aggregation; a cell of many rows costs one
+    row a task.
+    """
+    side = F.lit(2.0 * threshold) / F.sqrt(F.size("x"))
+    cell = F.array_join(F.transform("x", lambda v: F.floor(v / side).cast("string")), ",")
+    placed = points.select("id", "x", cell.alias("micro"))
+    summary = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.col("x")))
+    table = placed.groupBy("micro").agg(summary.alias("s")).select(
+        "micro", F.col("s.count").alias("n"), vector_to_array("s.mean").alias("centre"),
+        vector_to_array("s.variance").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, b: a + b)
+    radius = F.sqrt(total * (F.col("n") - 1) / F.col("n"))
+    return placed.select("id", "micro"), table.select("micro", "n", "centre", radius.alias("radius"))
+
+
+def birch(points: DataFrame, k: int, threshold: float = 0.5, entries: int = 500) -> DataFrame:
+    """Clustering features under a radius threshold, doubled until ``entries`` hold all points, then merged."""
+    while True:
+        placed, table = cf_rows(points, threshold)
+        table = keep(table)
+        if table.count() <= entries:
+            return _merged(placed, table, k)
+        table.unpersist()
+        threshold *= 2
 
 
 # --- density clustering ------------------------------------------------------------------
@@ -164,17 +196,27 @@ def affinity_edges(points: DataFrame, k: int = 10, gamma: float = 1.0) -> tuple[
     near = nearest(merged.select(F.col("pid").alias("id"), "x"), k + 1).select(
         F.col("id").alias("src"), F.explode("near").alias("e")).where("e.id <> src")
     weight = F.exp(-F.lit(gamma) * F.col("e.dist") * F.col("e.dist"))
+    copies = merged.select(F.col("pid"), F.col("w"))
     edges = near.select(F.least("src", "e.id").alias("src"), F.greatest("src", "e.id").alias("dst"),
                         F.greatest(weight, F.lit(1e-300)).alias("weight")).distinct()
+    for side in ("src", "dst"):
+        edges = edges.join(copies.withColumnRenamed("pid", side), side).withColumn("weight", F.col("weight") * F.col("w")).drop("w")
+    edges = edges.select("src", "dst", "weight")
     return merged, edges
 
 
 def spectral(points: DataFrame, k: int, neighbours: int = 10, gamma: float = 1.0, rounds: int = 20) -> DataFrame:
-    """Power iteration on a sparse neighbour graph; no row limit, no dense matrix."""
+    """Power iteration on a sparse neighbour graph; no row limit, no dense matrix.
+
+    Copies weigh as many points; a table of one distinct point is one cluster.
+    """
     merged, edges = affinity_edges(points, neighbours, gamma)
+    edges = cut_lineage(edges)
+    if edges.isEmpty():
+        return points.select("id", F.lit(0).alias("cluster"))
     model = PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", srcCol="src", dstCol="dst",
                                      weightCol="weight")
-    found = model.assignClusters(cut_lineage(edges)).join(
+    found = model.assignClusters(edges).join(
         merged.select(F.col("pid").alias("id"), "x"), "id").select("x", "cluster")
     return to_original(points, found).select("id", F.col("cluster").cast("int").alias("cluster"))
 

@@ -88,5 +88,5 @@ def fit(rows: DataFrame, objectives: list[Objective], own_model: bool, max_steps
             done[m] = np.abs(gradient).max() < tolerance
             trial[m] = best[m] if done[m] else best[m] + step[m]
         if done.all():
-            break
-    return best
+            return best
+    raise RuntimeError(f"no optimum within {max_steps} steps")

@@ -58,6 +58,30 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, HasSeed,
             self.getOutputCol(), array_to_vector(cosines(vector_to_array(F.col(self.getInputCol())))))
 
 
+class FeatureProfile(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Says which features a pipeline was trained with; rows pass unchanged if they have them."""
+
+    profile = Param(Params._dummy(), "profile", "feature profile", TypeConverters.toString)
+    columns = Param(Params._dummy(), "columns", "features in order", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, profile=None, columns=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def getProfile(self) -> str:
+        return self.getOrDefault(self.profile)
+
+    def getColumns(self) -> list[str]:
+        return self.getOrDefault(self.columns)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        absent = [c for c in self.getColumns() if c not in dataset.columns]
+        if absent:
+            raise ValueError(f"the rows lack {absent}")
+        return dataset
+
+
 def preparation(train: DataFrame, columns: list[str]) -> PipelineModel:
     """Mean imputation, one vector, zero mean and unit population deviation: fitted on ``train``."""
     n = train.count()
@@ -135,9 +159,9 @@ class Prepared:
     """Split, scaled and (below the gate) balanced tables, ready for any number of fits."""
 
     def __init__(self, df: DataFrame, columns: list[str], shares: dict[str, float] | None = None,
-                 balance: bool = True, key: str = "email_id"):
+                 balance: bool = True, key: str = "email_id", profile: str = "app"):
         shares = shares or {"train": 0.70, "val": 0.15, "test": 0.15}
-        self.columns, self.key = prep_columns(df, columns), key
+        self.columns, self.key, self.profile = prep_columns(df, columns), key, profile
         slim = df.select(key, F.col("label").cast("double").alias("label"), *self.columns)
         # The split is used by many fits: stored once, not derived again for each of them.
         rows = slim.count()
@@ -147,19 +171,24 @@ class Prepared:
         self.preparation = preparation(raw_train, self.columns)
         scaled = self.preparation.transform(self.split).select(key, "label", "split", FEATURES)
         self.scaled = keep(scaled)
-        train = self.part("train")
-        if balance:
-            arrays = train.withColumn("x", vector_to_array(FEATURES))
-            both = prep.balance_by_synthesis(arrays, "x", key=key)
-            train = both.withColumn(FEATURES, array_to_vector("x")).drop("x")
-        self.train = cut_lineage(spread(train, FEATURES, rows))
+        self.train = cut_lineage(self.spread_out(self.balanced(self.part("train")) if balance else self.part("train"), rows))
+
+    def balanced(self, train: DataFrame) -> DataFrame:
+        """Scaled rows with synthetic ones of the smaller class, below the gate."""
+        both = prep.balance_by_synthesis(train.withColumn("x", vector_to_array(FEATURES)), "x", key=self.key)
+        return both.withColumn(FEATURES, array_to_vector("x")).drop("x")
+
+    def spread_out(self, train: DataFrame, rows: int) -> DataFrame:
+        """Even partitions by row number, not by key or features: copies of one mail are dealt over all of them."""
+        return spread(train.withColumn("_deal", F.monotonically_increasing_id()), "_deal", rows).drop("_deal")
 
     def part(self, name: str) -> DataFrame:
         return self.scaled.where(F.col("split") == name).select(self.key, "label", FEATURES)
 
     def pipeline(self, classifier: PipelineModel) -> PipelineModel:
-        """Preparation and classifier as one saveable model."""
-        return PipelineModel(stages=self.preparation.stages + classifier.stages)
+        """Feature list, preparation and classifier as one saveable model."""
+        carried = FeatureProfile(profile=self.profile, columns=self.columns)
+        return PipelineModel(stages=[carried, *self.preparation.stages, *classifier.stages])
 
 
 def prep_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -186,18 +215,25 @@ def best_model(table: DataFrame, names: list[str], metric: str = "f1") -> str:
     return min(rows, key=lambda r: (-r[metric], rank[r["model"]]))["model"]
 
 
-def cross_validate(train: DataFrame, names: list[str], folds: int = 5, key: str = "email_id") -> DataFrame:
-    """(model, mean, spread): weighted F1 over folds, spread = 2 population deviations.
+def cross_validate(data: Prepared, names: list[str], folds: int = 5, balance: bool = True) -> DataFrame:
+    """(model, mean, spread): weighted F1 over folds of the training part, spread = 2 population deviations.
 
-    All fold predictions are stacked and measured in one aggregate.
+    Imputation, scaling and synthetic rows come from the other folds alone, so no test fold holds a
+    synthetic row. All fold predictions are stacked and measured in one aggregate.
     """
-    unique = train.withColumn("_k", F.xxhash64(key, F.col(FEATURES).cast("string")))
-    rows = cut_lineage(prep.stratified_folds(unique, folds, key="_k"))
+    raw = data.split.where("split = 'train'").drop("split")
+    rows = cut_lineage(prep.stratified_folds(raw, folds, key=data.key))
+    n = rows.count()
     found = None
-    for name in names:
-        for fold in range(folds):
-            fitted = fit_classifier(name, rows.where(F.col("fold") != fold))
-            part = predict(fitted, rows.where(F.col("fold") == fold), name, key).withColumn("fold", F.lit(fold))
+    for fold in range(folds):
+        rest = rows.where(F.col("fold") != fold).drop("fold")
+        ready = preparation(rest, data.columns)
+        columns = [data.key, "label", FEATURES]
+        train = ready.transform(rest).select(columns)
+        train = cut_lineage(data.spread_out(data.balanced(train) if balance else train, n))
+        test = ready.transform(rows.where(F.col("fold") == fold)).select(columns)
+        for name in names:
+            part = predict(fit_classifier(name, train), test, name, data.key).withColumn("fold", F.lit(fold))
             found = part if found is None else found.unionByName(part)
     scores = metrics.weighted_metrics(found, ["model", "fold"])
     return scores.groupBy("model").agg(

@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from mailsift.functions import seeded
+from mailsift.operators.skew import hot_keys, join_facts
 from mailsift.session import keep
 
 BLOCK = 2048          # rows per side of a task
-MAX_PIVOTS = 4096     # bounds what is collected and sent to tasks
+CELLS = 1 << 22       # entries of a distance matrix that a task holds at once
 SLACK = 1e-9          # rounding allowance when parts are ruled out
 
 
@@ -55,14 +56,20 @@ def merge_copies(points: DataFrame, *extra: str) -> DataFrame:
 
 
 def to_original(points: DataFrame, result: DataFrame) -> DataFrame:
-    """Give every copy the result of its merged point (``result`` has x once)."""
-    return points.select("id", "x").join(result, "x")
+    """Give every copy the result of its merged point (``result`` has x once).
+
+    A point that more than one row in a thousand shares is joined by a broadcast, so a large group of
+    copies does not meet in one task.
+    """
+    sizes = points.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    told = join_facts(points.select("id", "x"), result.withColumn("_told", F.lit(True)), "x", hot_keys(sizes, "x"))
+    return told.where("_told").drop("_told")
 
 
 def divide(merged: DataFrame) -> Parts:
     merged = keep(merged)
     n = merged.count()
-    m = max(1, min(MAX_PIVOTS, math.ceil(n / BLOCK)))
+    m = max(1, math.ceil(min(n / BLOCK, math.sqrt(n))))  # parts and what is collected grow with the root at most
     sample = (
         merged.select("x", seeded.digest("pivot", F.col("pid")).alias("d")).orderBy("d").limit(m).collect()
     )
@@ -70,10 +77,10 @@ def divide(merged: DataFrame) -> Parts:
 
     def home(batches):
         for pdf in batches:
-            if len(pdf):
-                d = distances(matrix(pdf["x"]), pivots)
+            for lot in _lots(pdf, m):
+                d = distances(matrix(lot["x"]), pivots)
                 part = d.argmin(axis=1)
-                yield pdf.assign(part=part.astype("int32"), to_pivot=d[np.arange(len(pdf)), part])
+                yield lot.assign(part=part.astype("int32"), to_pivot=d[np.arange(len(lot)), part])
 
     schema = f"{_ddl(merged)}, part int, to_pivot double"
     placed = keep(merged.mapInPandas(home, schema))
@@ -85,6 +92,13 @@ def divide(merged: DataFrame) -> Parts:
     return Parts(placed.drop("to_pivot"), pivots, radius, {r["part"]: r["n"] for r in stats}, weight)
 
 
+def _lots(pdf: pd.DataFrame, width: int):
+    """The rows in lots whose distance matrix to ``width`` points stays bounded."""
+    step = max(1, CELLS // max(1, width))
+    for start in range(0, len(pdf), step):
+        yield pdf.iloc[start:start + step]
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -99,9 +113,7 @@ def route(queries: DataFrame, parts: Parts, reach: float | None = None, least_we
     pivots, radius, weight = parts.pivots, parts.radius, parts.weight
 
     def spread(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (lot for batch in batches for lot in _lots(batch, len(pivots))):
             d = distances(matrix(pdf["x"]), pivots)
             if reach is None:
                 far = d + radius[None, :]
@@ -145,7 +157,7 @@ def block_join(queries: DataFrame, home: DataFrame, home_rows: dict[int, int], k
             part, nh, nq = sizes[0]
             return df.where(F.col("part") == part).withColumns({"nh": F.lit(nh), "nq": F.lit(nq)})
         table = spark.createDataFrame(sizes, "part int, nh int, nq int")
-        return df.join(F.broadcast(table), "part")  # at most MAX_PIVOTS rows
+        return df.join(F.broadcast(table), "part")  # a row for each pivot
 
     spot = F.xxhash64("pid")
     home = home.toDF(*home.columns)  # new column identities: both sides may be the same table
@@ -213,10 +225,8 @@ def core_links(parts: Parts, flagged: DataFrame, eps: float) -> DataFrame:
             pd.DataFrame({"pid": cq[rows >= 0], "root": root[rows[rows >= 0]], "core": True}),
             pd.DataFrame({"pid": hid, "root": root[cols], "core": True}),
         ]
-        for r in np.nonzero(~is_core)[0]:
-            touched = np.unique(root[cols[near[r]]])
-            if len(touched):
-                out.append(pd.DataFrame({"pid": qid[r], "root": touched, "core": False}))
+        border, touched = np.nonzero(near[~is_core])
+        out.append(pd.DataFrame({"pid": qid[~is_core][border], "root": root[cols[touched]], "core": False}).drop_duplicates())
         return pd.concat(out, ignore_index=True)
 
     queries = route(flagged.select("pid", "x", "core", "part"), parts, reach=eps)
@@ -234,14 +244,14 @@ def _best(k: int, coordinates: bool):
         if not len(q) or not len(h):
             return pd.DataFrame({"pid": [], "x": [], "part": [], "near": []})
         d = distances(matrix(q["x"]), matrix(h["x"]))
-        hid, hw, hx = h["pid"].to_numpy(), h["w"].to_numpy(), h["x"].to_numpy()
+        hid, hw = h["pid"].to_numpy(), h["w"].to_numpy()
+        hx = matrix(h["x"]).tolist() if coordinates else [None] * len(h)
         take = min(k, len(h))
-        near = []
-        for row in d:
-            edge = np.partition(row, take - 1)[take - 1]
-            at = np.nonzero(row <= edge)[0]
-            at = at[np.lexsort((hid[at], row[at]))][:take]
-            near.append([{"dist": row[c], "id": hid[c], "w": hw[c], "x": hx[c] if coordinates else None} for c in at])
+        # Home rows come in order of id, so a stable sort breaks ties of distance by id.
+        by_id = np.argsort(hid, kind="stable")
+        best = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :take]]
+        found = zip(np.take_along_axis(d, best, axis=1).tolist(), hid[best].tolist(), hw[best].tolist(), best.tolist())
+        near = [[{"dist": a, "id": i, "w": w, "x": hx[c]} for a, i, w, c in zip(*row)] for row in found]
         return pd.DataFrame({"pid": q["pid"], "x": q["x"], "part": q["home_part"], "near": near})
     return kernel
 

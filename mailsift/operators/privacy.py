@@ -14,12 +14,16 @@ from mailsift.operators import logistic, metrics, prep
 from mailsift.session import keep
 
 
-def laplace_noise(df: DataFrame, columns: list[str], epsilon: float = 1.0, key: str = "email_id",
+def laplace_noise(df: DataFrame, columns: list[str], epsilon: float = 1.0, key: str | list[str] = "email_id",
                   seed: str = "noise") -> DataFrame:
-    """Laplace noise of scale 1/epsilon on each value; each value has its own draw."""
+    """Laplace noise of scale 1/epsilon on each value; each value has its own draw.
+
+    ``key`` must tell rows apart, by several columns if need be: rows that share it share the noise.
+    """
+    keys = [F.col(k) for k in ([key] if isinstance(key, str) else key)]
     scale = 1.0 / max(epsilon, fixed.MIN_NOISE_EPSILON)
     return df.withColumns({
-        c: F.col(c) + seeded.laplace(f"{seed}-{c}", scale, F.col(key)) for c in columns if c in df.columns
+        c: F.col(c) + seeded.laplace(f"{seed}-{c}", scale, *keys) for c in columns if c in df.columns
     })
 
 

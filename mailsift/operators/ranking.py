@@ -14,13 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailsift.functions import seeded
 
-MAX_LEVELS = 14
-
-
 def range_levels(df: DataFrame) -> int:
     """Borders are 2**levels - 1: about twice the shuffle partitions, so the sorts spread evenly."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_LEVELS, max(4, math.ceil(math.log2(2 * partitions))))
+    return max(4, math.ceil(math.log2(2 * partitions)))
 
 
 def with_value_bucket(df: DataFrame, value: str, levels: int | None = None) -> DataFrame:
@@ -44,8 +41,10 @@ def with_value_bucket(df: DataFrame, value: str, levels: int | None = None) -> D
 
 
 def with_hash_bucket(df: DataFrame, digest: str) -> DataFrame:
-    """Leading hex characters of a digest: 4096 buckets of equal expected size."""
-    return df.withColumn("_bucket", F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"))
+    """Equal ranges of the digest's leading bits, in its order: 4096, or 16 for each shuffle partition if that is more."""
+    buckets = max(4096, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lead = F.conv(F.substring(digest, 1, 10), 16, 10).cast("bigint")
+    return df.withColumn("_bucket", F.shiftright(lead * F.lit(min(buckets, 1 << 22)), 40).cast("int"))
 
 
 def running_totals(df: DataFrame, value: str, sums: list[str], by: list[str] | None = None,

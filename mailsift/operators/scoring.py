@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mailsift import fixed
 from mailsift.functions import scores, text
 from mailsift.operators.features import PROFILES
+from mailsift.operators.models import FeatureProfile
 
 
 def _has_text(df: DataFrame) -> Column:
@@ -24,13 +25,25 @@ def rejected(df: DataFrame) -> DataFrame:
     return df.where(~_has_text(df))
 
 
-def score(df: DataFrame, model: PipelineModel, columns: list[str], name: str, threshold: float = 0.5,
-          profile: str = "single", missing: str = "fail", key: str = "email_id", timestamp: str = "date") -> DataFrame:
+def trained_with(model: PipelineModel) -> FeatureProfile:
+    """The profile and feature list that a fitted pipeline carries as its first stage."""
+    first = model.stages[0]
+    if not isinstance(first, FeatureProfile):
+        raise ValueError("the pipeline does not say which features it was trained with")
+    return first
+
+
+def score(df: DataFrame, model: PipelineModel, name: str, threshold: float = 0.5, profile: str | None = None,
+          missing: str = "fail", key: str = "email_id", timestamp: str = "date") -> DataFrame:
     """Features, probability, verdict and level of each mail.
 
-    ``profile`` is the feature set the model was trained with. A feature the profile does not
-    produce is an error, or 0 with ``missing='zero'``.
+    The features are those the model was trained with; asking for another ``profile`` is an error.
+    So is a feature the profile does not produce, unless ``missing`` is ``zero``.
     """
+    kept = trained_with(model)
+    if profile not in (None, kept.getProfile()):
+        raise ValueError(f"the model was trained with the {kept.getProfile()!r} profile, not {profile!r}")
+    profile, columns = kept.getProfile(), kept.getColumns()
     featured = PROFILES[profile](scannable(df))
     absent = [c for c in columns if c not in featured.columns]
     if absent and missing != "zero":
@@ -72,15 +85,17 @@ def percent_text(p: Column) -> Column:
     return F.format_string("%.1f%%", whole + F.rint((x - whole) * 10) / 10)
 
 
+def verdict(flag: Column) -> Column:
+    return F.when(flag, fixed.VERDICTS[0]).otherwise(fixed.VERDICTS[1])
+
+
 def display(scans: DataFrame) -> DataFrame:
-    return scans.select(
-        F.col("timestamp").alias("Timestamp"), F.col("subject").alias("Subject"), F.col("sender").alias("Sender"),
-        percent_text(F.col("probability")).alias("Threat Score"),
-        F.when(F.col("is_phishing"), "Phishing").otherwise("Safe").alias("Status"), F.col("model").alias("Model"))
+    shown = {"probability": percent_text(F.col("probability")), "is_phishing": verdict(F.col("is_phishing"))}
+    return scans.select(*[shown.get(c, F.col(c)).alias(name) for c, name in fixed.HISTORY_HEADINGS.items()])
 
 
 def verdicts(scans: DataFrame) -> DataFrame:
-    return scans.groupBy(F.when(F.col("is_phishing"), "Phishing").otherwise("Safe").alias("verdict")).agg(
+    return scans.groupBy(verdict(F.col("is_phishing")).alias("verdict")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -88,21 +103,14 @@ def scans_by_hour(scans: DataFrame) -> DataFrame:
     """Scans per hour of day and verdict."""
     return scans.groupBy(
         F.hour("timestamp").alias("hour"),
-        F.when(F.col("is_phishing"), "Phishing").otherwise("Safe").alias("type"),
+        verdict(F.col("is_phishing")).alias("type"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def indicators(featured: DataFrame, key: str = "email_id") -> DataFrame:
     """Content and risk rows of each mail in long form: one output projection, no shuffle."""
-    rows = [
-        ("content", "Subject Length", F.col("subject_length")), ("content", "Body Length", F.col("body_length")),
-        ("content", "Word Count", F.col("body_word_count")), ("content", "URLs Found", F.col("num_urls")),
-        ("risk", "Urgency Score", F.col("urgency_score")), ("risk", "Financial Keywords", F.col("financial_score")),
-        ("risk", "Personal Info", F.col("personal_info_score")),
-        ("risk", "Suspicious URLs", F.col("has_ip_url") + F.col("has_url_shortener")),
-    ]
     entries = F.explode(F.array(*[
-        F.struct(F.lit(g).alias("kind"), F.lit(n).alias("indicator"), c.cast("int").alias("value")) for g, n, c in rows
+        F.struct(F.lit(g).alias("kind"), F.lit(n).alias("indicator"), F.expr(c).cast("int").alias("value")) for g, n, c in fixed.INDICATORS
     ])).alias("e")
     return featured.select(key, entries).select(key, "e.*")
 

@@ -1,7 +1,8 @@
 """Email tables derived from the supplied tables (no raw email table is shipped with them).
 
 ``documents`` gives the text, the first event of a document's slot of ``events`` gives time and
-user, ``labels`` gives the class. All joins are on the document key, so the text is shuffled once.
+user, ``labels`` gives the class. Both are one row a document after aggregation, so the optimiser drops
+a join whose columns are not used, and a query that needs the body alone moves no text.
 The same text runs in Spark and in the SQL twin, where it becomes leading CTEs.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailsift.session import use_utc
-from mailsift.sources.readers import spread_if_few_files, table
+from mailsift.sources.readers import table
 
 EMAILS = """
 SELECT
@@ -38,28 +39,30 @@ SELECT
   CAST(coalesce(1 - l.quality, CASE WHEN d.doc_id % 4 = 0 THEN 1 ELSE 0 END) AS INT) AS label
 FROM documents d
 LEFT JOIN slot_events e ON e.slot = d.doc_id
-LEFT JOIN labels l ON l.doc_id = d.doc_id
+LEFT JOIN label_rows l ON l.doc_id = d.doc_id
 """
 
 
+LABEL_ROWS = "SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id"
+
+
 def emails(spark: SparkSession, folder: str) -> DataFrame:
     use_utc(spark)
     docs, events, labels = (table(spark, folder, n) for n in ("documents", "events", "labels"))
-    docs = spread_if_few_files(docs)
-    sql = f"WITH slot_events AS ({slot_events_sql('DIV', 'min_by')}) {EMAILS}"
+    sql = f"WITH slot_events AS ({slot_events_sql('DIV', 'min_by', 'DECIMAL(38, 0)')}), label_rows AS ({LABEL_ROWS}) {EMAILS}"
     for name in ("documents", "events", "labels"):
         sql = sql.replace(f"FROM {name}", "FROM {" + name + "}").replace(f"JOIN {name}", "JOIN {" + name + "}")
     return spark.sql(sql, documents=docs, events=events, labels=labels)
 
 
-def slot_events_sql(div: str, arg_min: str) -> str:
+def slot_events_sql(div: str, arg_min: str, wide: str) -> str:
     """Events fall into as many equal id slots as there are documents; a slot keeps its earliest one."""
     return (
-        f"SELECT event_id * (SELECT count(*) FROM documents) {div} (SELECT count(*) FROM events) AS slot, "
+        f"SELECT CAST(CAST(event_id AS {wide}) * (SELECT count(*) FROM documents) {div} (SELECT count(*) FROM events) AS BIGINT) AS slot, "
         f"{arg_min}(ts, event_id) AS ts, {arg_min}(user_id, event_id) AS user_id FROM events GROUP BY 1"
     )
 
 
 def emails_cte() -> str:
     """The same table as leading CTEs of an SQL twin."""
-    return f"slot_events AS ({slot_events_sql('//', 'arg_min')}), emails AS ({EMAILS})"
+    return f"slot_events AS ({slot_events_sql('//', 'arg_min', 'HUGEINT')}), label_rows AS ({LABEL_ROWS}), emails AS ({EMAILS})"

@@ -23,15 +23,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread_if_few_files(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores is spread once, so text work does not sit on one core.
-
-    Large tables come as many files and are left where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def read_emails_csv(
     spark: SparkSession,
     path: str,

@@ -13,13 +13,13 @@ def write_cleaned(df: DataFrame, path: str, dated_path: str | None = None) -> No
     df.drop("date").write.mode("overwrite").parquet(path)
 
 
-def write_engineered(df: DataFrame, path: str) -> None:
+def write_engineered(df: DataFrame, path: str, files_per_month: int = 64) -> None:
     """Partitioned by year and month, so time filters prune files.
 
-    Rows are first spread by month and a hash of the key: few files per month, and a month that
-    holds most of the rows is still written by many tasks.
+    Rows are first spread by month and a hash of the key: at most ``files_per_month`` files a month, to be
+    raised with the table, and a month that holds most of the rows is still written by many tasks.
     """
-    spread = F.pmod(F.xxhash64("email_id"), F.lit(64))
+    spread = F.pmod(F.xxhash64("email_id"), F.lit(files_per_month))
     (
         df.repartition("year", "month", spread)
         .write.mode("overwrite").partitionBy("year", "month").parquet(path)

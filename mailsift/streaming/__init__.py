@@ -1,4 +1,4 @@
 from mailsift.streaming.scans import (
-    hourly_counts, read_emails, run_to_table, running_totals, score_stream, write_scans)
+    distinct_scans, hourly_counts, read_emails, run_to_table, running_totals, score_stream, write_scans)
 
-__all__ = ["hourly_counts", "read_emails", "run_to_table", "running_totals", "score_stream", "write_scans"]
+__all__ = ["distinct_scans", "hourly_counts", "read_emails", "run_to_table", "running_totals", "score_stream", "write_scans"]

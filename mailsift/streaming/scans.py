@@ -17,8 +17,8 @@ def read_emails(spark: SparkSession, folder: str, schema: T.StructType, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def score_stream(mails: DataFrame, model: PipelineModel, columns: list[str], name: str, **options) -> DataFrame:
-    return scoring.score(mails, model, columns, name, **options)
+def score_stream(mails: DataFrame, model: PipelineModel, name: str, **options) -> DataFrame:
+    return scoring.score(mails, model, name, **options)
 
 
 def write_scans(scans: DataFrame, path: str, checkpoint: str):
@@ -40,25 +40,37 @@ def hourly_counts(events: DataFrame, timestamp: str, by: list[str], late: str =
         F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour_start"), *by, "n")
 
 
-def run_to_table(result: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run an aggregate until its source is exhausted; the table written last is the result.
+def distinct_scans(scans: DataFrame, key: str = "email_id", timestamp: str = "timestamp", late: str = "1 hour") -> DataFrame:
+    """Each key once, however often its mail is delivered again within the watermark; later rows are dropped."""
+    return scans.withWatermark(timestamp, late).dropDuplicatesWithinWatermark([key])
 
-    Each batch is written to a folder of its own, so a repeated batch replaces itself.
+
+def run_to_table(result: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run an aggregate until its source is exhausted and return the table it leaves.
+
+    Each batch is written to a folder of its own, so a repeated batch replaces itself, and what has
+    been written is found again after a restart. In append mode all batches together are the result,
+    in complete mode the last one, in update mode the last row of each of the ``keys``.
     """
     spark = result.sparkSession
     base = scratch_path(spark, name)
-    written: list[str] = []
 
     def save(batch: DataFrame, number: int) -> None:
-        path = f"{base}/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
-        written.append(path)
+        batch.write.mode("overwrite").parquet(f"{base}/batch={number}")
 
     query = (
         result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}-state")
         .foreachBatch(save).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if not written:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], result.schema)
-    return spark.read.schema(result.schema).parquet(written[-1])
+    schema = T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(base)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar())
+    elif mode == "update":
+        values = [c for c in result.columns if c not in (keys or [])]
+        rows = rows.groupBy(*(keys or [])).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+    return rows.select(*result.columns)

@@ -21,6 +21,8 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if pd.api.types.is_datetime64_any_dtype(df[c]):
             df[c] = df[c].astype("datetime64[us]")
+        if str(df[c].dtype).startswith("Int"):
+            df[c] = df[c].astype("float64")
         df[c] = df[c].map(lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v)
     key = df.astype(str).agg("\x1f".join, axis=1) if len(df.columns) else pd.Series([], dtype=str)
     return df.assign(_k=key).sort_values("_k").reset_index(drop=True)
@@ -30,7 +32,8 @@ def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
     if sorted(spark_df.columns) != sorted(sql_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(sql_df.columns)}"
     kinds = {c: (str(spark_df[c].dtype), str(sql_df[c].dtype)) for c in spark_df.columns}
-    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and not all("datetime" in x for x in k)}
+    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and not all("datetime" in x for x in k)
+           and not (k[0] == "float64" and k[1].startswith("Int") and spark_df[c].isna().any())}  # whole numbers with nulls
     if len(spark_df) != len(sql_df):
         return f"rows {len(spark_df)} != {len(sql_df)} kinds {odd}"
     a, b = canonical(spark_df), canonical(sql_df)

@@ -113,7 +113,7 @@ def test_components(spark):
 
 def test_ward_on_distinct_points(data):
     x, _, df = data
-    got = {r["id"]: r["cluster"] for r in clustering.ward(df, 4).collect()}
+    got = {r["id"]: r["cluster"] for r in clustering.ward(df, 4, micro=None).collect()}
     uniq, first, inv = np.unique(x, axis=0, return_index=True, return_inverse=True)
     n = np.bincount(inv.ravel())
     want = clustering.ward_merge(n, uniq, 4)[inv.ravel()]
@@ -141,3 +141,31 @@ def test_spectral_separates_blobs(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>")
     got = {r["id"]: r["cluster"] for r in clustering.spectral(df, 2).collect()}
     assert len(got) == 80
+
+
+def test_birch_entries(data):
+    x, _, df = data
+    placed, table = clustering.cf_rows(df, 0.5)
+    where = {r["id"]: r["micro"] for r in placed.collect()}
+    rows = {r["micro"]: r for r in table.collect()}
+    assert set(where.values()) == set(rows) and sum(r["n"] for r in rows.values()) == len(x)
+    for i, cell in where.items():
+        r = rows[cell]
+        assert r["radius"] <= 1.0 + 1e-9 and np.linalg.norm(x[i] - np.array(r["centre"])) <= 1.0 + 1e-9
+    got = {r["id"]: r["cluster"] for r in clustering.birch(df, 4, threshold=1e-6, entries=60).collect()}
+    assert len(got) == len(x) and len(set(got.values())) == 4
+
+
+def test_spectral_on_one_point(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(20)], "id bigint, x array<double>")
+    assert {r["cluster"] for r in clustering.spectral(df, 3).collect()} == {0}
+
+
+def test_hub_and_copies(spark):
+    """Nine rows in ten are copies of one point; a star joins all nodes to one."""
+    df = spark.createDataFrame([(i, [0.0, 0.0] if i % 10 else [float(i), 1.0]) for i in range(2000)], "id bigint, x array<double>")
+    got = clustering.neighbour_table(df, 0.5, 3).collect()
+    assert sorted(r["n_neighbours"] for r in got) == [1] * 200 + [1800] * 1800
+    star = spark.range(1, 3000).selectExpr("id AS a", "0L AS b")
+    rows = components.connected_components(star)
+    assert rows.count() == 3000 and rows.where("component <> 0").count() == 0

@@ -108,10 +108,18 @@ def test_cosines_approach_the_kernel(spark):
 
 
 def test_cross_validation(data):
-    r = models.cross_validate(data.train, ["Logistic Regression"], 3).head()
+    r = models.cross_validate(data, ["Logistic Regression"], 3).head()
     assert 0.8 < r["mean"] <= 1 and 0 <= r["spread"] < 0.2
 
 
+def test_noise_differs_within_an_order(spark, folder):
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", F.lit(0.0).alias("v"))
+    noisy = privacy.laplace_noise(lines, ["v"], 0.5, ["l_orderkey", "l_linenumber"])
+    spreads = noisy.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d"))
+    assert spreads.where("n <> d").count() == 0
+
+
 def test_laplace_draws(spark):
     df = spark.range(20000).withColumn("v", F.lit(0.0))
     r = privacy.laplace_noise(df, ["v"], 0.5, "id").agg(F.avg("v"), F.var_pop("v")).head()

@@ -1,36 +1,63 @@
 """The streaming scanner gives the batch scanner's rows."""
 
+import os
+
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import functions as F
 
 from mailsift import fixed
-from mailsift.catalog.inputs import app_features
-from mailsift.operators import models, scoring
+from mailsift.operators import features, models, scoring
 from mailsift.plans import batch
 from mailsift.sources import emails
-from mailsift.streaming import read_emails, running_totals, run_to_table, score_stream, write_scans
+from mailsift.streaming import distinct_scans, hourly_counts, read_emails, running_totals, run_to_table, score_stream, write_scans
 
 
 def test_stream_equals_batch(spark, folder, tmp_path):
-    data = models.Prepared(app_features(spark, folder), fixed.APP_FEATURES[:8], balance=False)
+    rows = features.single_features(emails(spark, folder)).select("email_id", "label", *fixed.APP_FEATURES)
+    data = models.Prepared(rows, fixed.APP_FEATURES, balance=False, profile="single")
     model = data.pipeline(models.fit_classifier("Logistic Regression", data.train))
     mails = emails(spark, folder)
     mails.repartition(3).write.parquet(str(tmp_path / "in"))
-    live = score_stream(read_emails(spark, str(tmp_path / "in"), mails.schema, 1), model, data.columns, "LR")
+    live = score_stream(read_emails(spark, str(tmp_path / "in"), mails.schema, 1), model, "LR")
     write_scans(live, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
-    want = scoring.score(mails, model, data.columns, "LR")
+    want = scoring.score(mails, model, "LR")
     assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
 
     stored = read_emails(spark, str(tmp_path / "in"), mails.schema, 1)
-    totals = run_to_table(running_totals(score_stream(stored, model, data.columns, "LR")), "complete", "t").head()
+    totals = run_to_table(running_totals(score_stream(stored, model, "LR")), "complete", "t").head()
     rate = scoring.threat_rate(want).head()
     assert (totals["total"], totals["threats"]) == (rate["total"], rate["threats"])
 
 
-def test_unknown_feature_is_refused(spark, folder):
-    import pytest
+def test_a_model_is_scored_with_its_own_features(spark, folder):
+    plain = PipelineModel(stages=[models.FeatureProfile(profile="app", columns=["no_such_feature"])])
+    with pytest.raises(ValueError):
+        scoring.score(emails(spark, folder), plain, "LR")
+    with pytest.raises(ValueError):
+        scoring.score(emails(spark, folder), plain, "LR", profile="single")
     with pytest.raises(ValueError):
-        scoring.score(emails(spark, folder), None, ["no_such_feature"], "LR")
+        scoring.score(emails(spark, folder), PipelineModel(stages=[StandardScalerModel()]), "LR")
+
+
+def test_late_and_repeated_mails(spark, tmp_path):
+    """A repeat within the watermark and a mail later than it are dropped; hours come out once closed."""
+    schema = "email_id bigint, timestamp timestamp, is_phishing boolean"
+    days = [[(1, "2024-01-01 10:00:00"), (2, "2024-01-01 10:30:00")], [(1, "2024-01-01 10:05:00"), (3, "2024-01-01 15:00:00")],
+            [(4, "2024-01-01 10:40:00"), (5, "2024-01-01 18:00:00")], [(6, "2024-01-01 23:00:00")]]
+    for i, rows in enumerate(days):
+        df = spark.createDataFrame(rows, "email_id bigint, t string").select(
+            "email_id", F.to_timestamp("t").alias("timestamp"), F.lit(True).alias("is_phishing"))
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"part-{i}"))
+        for f in (tmp_path / "in" / f"part-{i}").glob("part-*.parquet"):
+            os.utime(f, (1_700_000_000 + 100 * i,) * 2)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    ids = run_to_table(distinct_scans(live), "append", "distinct")
+    assert sorted(r.email_id for r in ids.collect()) == [1, 2, 3, 5, 6]
+    hours = run_to_table(hourly_counts(live, "timestamp", ["is_phishing"]), "append", "closed")
+    assert {(r.hour_start.hour, r.n) for r in hours.collect()} == {(10, 3), (15, 1), (18, 1)}
 
 
 def test_whole_batch_job(spark, folder, tmp_path):
