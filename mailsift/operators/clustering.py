@@ -53,7 +53,12 @@ def k_search(points: DataFrame, ks: range = range(2, 11), restarts: int = 10, ex
 
 
 def bisecting(points: DataFrame, k: int, seed: int = fixed.SEED) -> DataFrame:
-    vectors = with_vector(points)
+    """Divisive k-means.
+
+    MLlib starts a division by moving a centre by a share of its own length, so a centre at the origin,
+    as standardised points have, would never be divided: the points are moved first, which changes no distance.
+    """
+    vectors = with_vector(points.withColumn("x", F.transform("x", lambda v: v + 10.0)))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
     return model.transform(vectors).select("id", "cluster")
 

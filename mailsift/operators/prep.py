@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -95,10 +95,6 @@ def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFr
     return VectorAssembler(inputCols=columns, outputCol=out).transform(cast)
 
 
-def fit_scaler(train: DataFrame, features: str = "features", out: str = "scaled") -> StandardScalerModel:
-    return StandardScaler(inputCol=features, outputCol=out, withMean=True, withStd=True).fit(train)
-
-
 def pca(df: DataFrame, features: str = "scaled", out: str = "pca", share: float = 0.95,
         max_components: int | None = None):
     """Projection on the leading components that keep ``share`` of the variance, and their shares."""
@@ -175,6 +171,6 @@ def _synthesise(part: DataFrame, features: str, label: str, key: str, k: int, n:
 
 __all__ = [
     "stratified_split", "stratified_folds", "contiguous_parts", "group_sizes", "standardise",
-    "label_encode", "assemble", "fit_scaler", "pca", "pca_2d", "balance_by_synthesis",
+    "label_encode", "assemble", "pca", "pca_2d", "balance_by_synthesis",
     "array_to_vector", "vector_to_array",
 ]
