@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mailsift.functions import seeded
 from mailsift.operators.skew import hot_keys, join_facts
@@ -257,9 +257,11 @@ def _best(k: int, coordinates: bool):
 
 
 def _merge_near(found: DataFrame, k: int) -> DataFrame:
-    return found.groupBy("pid").agg(
-        F.first("x").alias("x"), F.first("part").alias("part"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    """The k best of all parts of a point; tasks pass on k of them at most, however many blocks were visited."""
+    rows = found.select("pid", "x", "part", F.explode("near").alias("e"))
+    place = F.row_number().over(Window.partitionBy("pid").orderBy("e"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= k).groupBy("pid").agg(
+        F.first("x").alias("x"), F.first("part").alias("part"), F.array_sort(F.collect_list("e")).alias("near"))
 
 
 def nearest(points: DataFrame, k: int, with_self: bool = True, coordinates: bool = False) -> DataFrame:

@@ -12,6 +12,8 @@ from mailsift import fixed
 from mailsift.functions import seeded
 from mailsift.operators.neighbours import nearest
 from mailsift.operators.ranking import random_cuts, random_rank, order_statistics, with_value_bucket
+from mailsift.operators.skew import hot_keys, join_facts
+from mailsift.session import written
 
 
 def _cut_column(df: DataFrame, key: str, seed: str, by: list[str], steps: dict[str, Column],
@@ -83,11 +85,18 @@ def standardise(df: DataFrame, columns: list[str], fit_on: DataFrame | None = No
 
 
 def label_encode(df: DataFrame, column: str, out: str = "label_index") -> DataFrame:
-    """0, 1, ... in alphabetical order of the distinct labels."""
-    names = df.where(F.col(column).isNotNull()).select(column).distinct().agg(
-        F.array_sort(F.collect_list(column)).alias("a"))
-    place = F.array_position(names.scalar(), F.col(column)) - 1
-    return df.withColumn(out, place.cast("int"))
+    """0, 1, ... in alphabetical order of the distinct labels; null stays null.
+
+    The labels are sorted by ranges and numbered within each range; rows meet them by a join in which
+    common labels are broadcast.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    names = written(counts.repartitionByRange(column).withColumn("_range", F.spark_partition_id()), "labels")
+    sizes = names.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(column)) + F.col("_before") - 1
+    index = names.join(F.broadcast(before), "_range").select(column, place.cast("int").alias(out))
+    return join_facts(df, index, column, hot_keys(names, column))
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
