@@ -136,7 +136,7 @@ def _(spark, folder):
     out = None
     for name in ("kmeans", "dbscan", "agglomerative", "spectral"):
         found = clustering.run(points.select("id", "x"), name, 5).persist()
-        row = cluster_metrics.evaluate(points.join(found, "id"), name, exact=True)
+        row = cluster_metrics.evaluate(points.join(found, "id"), name)
         if row is not None:
             out = row if out is None else out.unionByName(row)
     return out

@@ -40,14 +40,17 @@ def kmeans(points: DataFrame, k: int, restarts: int = 10, seed: int = fixed.SEED
 
 
 def k_search(points: DataFrame, ks: range = range(2, 11), restarts: int = 10, exact: bool = False) -> DataFrame:
-    """(k, inertia, silhouette) for every k. ``best_by(…, 'silhouette', 'k')`` picks the k."""
+    """(k, inertia, silhouette_squared) for every k, from squared distances in one pass; with ``exact``
+    (k, inertia, silhouette) from Euclidean ones, whose work is quadratic. ``best_by`` picks the k."""
+    name = "silhouette" if exact else "silhouette_squared"
     vectors = keep(with_vector(points))
     out = None
     for k in ks:
         model = fit_kmeans(vectors, k, restarts)
         labelled = model.transform(vectors).select("id", "x", "cluster")
         score = quality.silhouette(labelled) if exact else quality.silhouette_squared(labelled)
-        row = score.select(F.lit(k).alias("k"), F.lit(float(model.summary.trainingCost)).alias("inertia"), "silhouette")
+        row = score.select(F.lit(k).alias("k"), F.lit(float(model.summary.trainingCost)).alias("inertia"),
+                           F.col("silhouette").alias(name))
         out = row if out is None else out.unionByName(row)
     return out
 
