@@ -330,15 +330,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
         F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("raw"))
     found = written(segments(docs, length, gram), "segments")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
-    met = join_facts(found, anchors.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor",
-                     hot_keys(anchors, "anchor")).where("mixed IS NOT NULL")
+    anchors = written(anchors.where("n > 1").select("anchor", "n", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+    met = join_facts(found, anchors.select("anchor", "mixed"), "anchor", hot_keys(anchors, "anchor")).where("mixed IS NOT NULL")
     met = written(met.withColumn("kind", F.xxhash64("anchor", "digest")), "repeated")
     mixed = met.where("mixed")
     kinds = mixed.groupBy("anchor", "digest", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tie", "start", "windows", "lead")).alias("one")).select(
         "anchor", "kind", "n", "one.*")
     kinds = written(kinds, "kinds")
-    per_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n") == 1, 1)).alias("single"))
+    per_anchor = written(kinds.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n") == 1, 1)).alias("single")), "groups")
     sized = join_facts(kinds, per_anchor.select("anchor", F.col("n").alias("group"), "single"), "anchor",
                        hot_keys(per_anchor, "anchor")).where("single > 0")
     sized = written(sized.withColumn("size", F.col("windows") + (length - 1)), "sized")
@@ -346,11 +347,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     equal = met.where("NOT mixed").select("id", "tie", "start", whole.alias("stop"))
     copies = join_facts(mixed, kinds.where("n > 1").select("kind", "n"), "kind", hot_keys(kinds, "kind")).where(
         "n > 1").select("id", "tie", "start", whole.alias("stop"))
+    covered = written(equal.unionByName(copies), "covered")
     pieces = _text_pieces(docs, sized.where(F.col("group") <= largest), ["anchor", "lead", "n"])
     sorted_ranges = pieces.select("anchor", "id", "tie", "start", "lead", "n", "bytes").repartition("anchor").sortWithinPartitions(
         "anchor").mapInArrow(_sort_groups(length), RANGES)
-    counted = _counted_runs(docs, sized.where(F.col("group") > largest), length, run_windows)
-    ranges = equal.unionByName(copies).unionByName(sorted_ranges).unionByName(counted)
+    ranges = covered.unionByName(sorted_ranges)
+    many = sized.where(F.col("group") > largest)
+    if not many.isEmpty():
+        ranges = ranges.unionByName(_counted_runs(docs, many, length, run_windows))
     listed = ranges.groupBy(F.coalesce("id", F.lit(0)).alias("id0"), "tie").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans"))
     cut = docs.join(listed.hint("shuffle_hash"), ["id0", "tie"], "left").select("id", "raw", "spans").mapInArrow(
