@@ -43,10 +43,13 @@ def test_a_model_is_scored_with_its_own_features(spark, folder):
 
 
 def test_late_and_repeated_mails(spark, tmp_path):
-    """A repeat within the watermark and a mail later than it are dropped; hours come out once closed."""
+    """A repeat within the watermark and a mail later than it are dropped; hours come out once closed.
+
+    A batch drops what the watermark of the batch before it calls late.
+    """
     schema = "email_id bigint, timestamp timestamp, is_phishing boolean"
     days = [[(1, "2024-01-01 10:00:00"), (2, "2024-01-01 10:30:00")], [(1, "2024-01-01 10:05:00"), (3, "2024-01-01 15:00:00")],
-            [(4, "2024-01-01 10:40:00"), (5, "2024-01-01 18:00:00")], [(6, "2024-01-01 23:00:00")]]
+            [(5, "2024-01-01 18:00:00")], [(4, "2024-01-01 10:40:00")], [(6, "2024-01-01 23:00:00")]]
     for i, rows in enumerate(days):
         df = spark.createDataFrame(rows, "email_id bigint, t string").select(
             "email_id", F.to_timestamp("t").alias("timestamp"), F.lit(True).alias("is_phishing"))
