@@ -34,6 +34,8 @@ from mailsift.llm.common import labelled_sample, schema_with, slices, small_batc
 
 #: Labelled rows a fit draws, terms of the lexicon, toxic rows that must hold a term, and its least log odds.
 SAMPLE, TERMS, LEAST_ROWS, LEAST_ODDS = 20_000, 3000, 4, 2.5
+#: Texts whose terms a task counts before it passes the counts on.
+COUNTED = 64
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = (4, 5, 6)
 TREES, DEPTH, BINS = 20, 3, 32
@@ -128,16 +130,23 @@ class Reader:
 
 def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     """Terms of the sample (text, label) with their log odds; counts combine before the shuffle."""
+    small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            rows = [(t, int(y)) for text, y in zip(texts(part.column(0)), part.column(1).to_pylist()) for t in candidates(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
-                                              pa.array([r[1] for r in rows], pa.int64())], ["term", "toxic"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, COUNTED):
+                part = batch.slice(start, COUNTED)
+                counts: dict[str, list[int]] = {}
+                for text, y in zip(texts(part.column(0)), part.column(1).to_pylist()):
+                    for t in candidates(text):
+                        counts.setdefault(t, [0, 0])[int(y)] += 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(counts, pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
+                    pa.array([c[0] for c in counts.values()], pa.int64())], ["term", "a", "b"])
 
     rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).head()
-    counts = sample.select("text", "label").mapInArrow(run, "term string, toxic bigint").groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= LEAST_ROWS)
+    counts = sample.select("text", "label").mapInArrow(run, "term string, a bigint, b bigint").groupBy("term").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= LEAST_ROWS)
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (rows - toxic + 1.0))
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(odds / spread), "term").limit(terms)
