@@ -152,7 +152,7 @@ def test_birch_entries(data):
     for i, cell in where.items():
         r = rows[cell]
         assert r["radius"] <= 1.0 + 1e-9 and np.linalg.norm(x[i] - np.array(r["centre"])) <= 1.0 + 1e-9
-    got = {r["id"]: r["cluster"] for r in clustering.birch(df, 4, threshold=1e-6, entries=60).collect()}
+    got = {r["id"]: r["cluster"] for r in clustering.birch(df, 4, threshold=0.05, entries=60).collect()}
     assert len(got) == len(x) and len(set(got.values())) == 4
 
 
