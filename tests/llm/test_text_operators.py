@@ -226,6 +226,25 @@ def test_leaks(spark):
     assert decontam.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_cut_items(spark):
+    rng = random.Random(4)
+    items = [(i, prose(rng, 20 + 2 * i), prose(rng, 4) if i % 2 else None) for i in range(16)]
+    docs = []
+    for i, t, answer in items:
+        words = t.split()
+        n = -(-len(words) * 4 // 5)
+        for at, part in ((i, words[:n]), (100 + i, words[-n:]), (200 + i, words[:n] + [answer or ""])):
+            docs.append((at, " ".join([prose(rng, 50), *part, prose(rng, 50)])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string, answer string")
+    found = decontam.leaks(frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(d, d % 100) for d, _ in docs}
+    assert all(r.answer_share is None for r in found)
+    # A named answer has to be there too; a null one asks for nothing.
+    named = decontam.leaks(frame(spark, docs), bench, answer="answer").collect()
+    assert {(r.doc_id, r.item_id) for r in named} == {(d, d % 100) for d, _ in docs if d % 2 == 0 or d >= 200}
+    assert {r.answer_share for r in named if r.item_id % 2} == {1.0}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
