@@ -245,6 +245,32 @@ def test_leaks_of_cut_items(spark):
     assert {r.answer_share for r in named if r.item_id % 2} == {1.0}
 
 
+def test_leaks_of_short_items(spark):
+    rng = random.Random(6)
+    frequent = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(frequent) for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    items = [(1000 + i, " ".join(rng.choice(frequent) for _ in range(30))) for i in range(10)]
+    for i in range(70):
+        words = rng.choice(texts).split()
+        n = min(1 + i % 7, len(words))
+        at = rng.choice([0, len(words) - n, rng.randint(0, len(words) - n)])
+        items.append((i, " ".join(words[at:at + n])))
+    items += [(70, items[10][1]), (71, "w0 absent"), (72, "W1, w2!")]
+    short = [(i, t) for i, t in items if i < 1000]
+    spaced = {i: f" {' '.join(decontam.words(t))} " for i, t in short}
+    expected = {(d, i) for d, t in enumerate(texts) for i, _ in short if spaced[i] in f" {t} "}
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = [r for r in decontam.leaks(frame(spark, list(enumerate(texts))), bench).collect() if r.item_id < 1000]
+    assert len(found) == len(expected) and {(r.doc_id, r.item_id) for r in found} == expected
+    first = {(r.doc_id, r.item_id): r.word for r in found}
+    assert all(f" {texts[d]} "[:f" {texts[d]} ".index(spaced[i])].count(" ") == w for (d, i), w in first.items())
+    # The answer of a short item may stand at any of its places, not only at the first.
+    far = " ".join(["w1 w2", *["w3"] * 60, "w1 w2 w9"])
+    named = spark.createDataFrame([(1, "w1 w2", "w9"), (2, "w1 w2", "w8")], "item_id bigint, text string, answer string")
+    got = decontam.leaks(frame(spark, [(1, far)]), named, answer="answer").collect()
+    assert [(r.doc_id, r.item_id, r.word) for r in got] == [(1, 1, 62)]
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
