@@ -271,6 +271,24 @@ def test_leaks_of_short_items(spark):
     assert [(r.doc_id, r.item_id, r.word) for r in got] == [(1, 1, 62)]
 
 
+def test_sample_bound_holds_for_copies(spark, monkeypatch):
+    rng = random.Random(9)
+    singles = [prose(rng, 40) for _ in range(400)]
+    candidates = [prose(rng, 40) for _ in range(200)]
+    hashed = spark.createDataFrame([(t,) for t in candidates], "text string").select("text", F.xxhash64("text").alias("h"))
+    hot = min(hashed.collect(), key=lambda r: r.h % 1_000_000).text  # the first to be drawn
+    rows = list(enumerate(singles + [hot] * 200))
+    bench = [(i, t, None) for i, t in enumerate(singles[:5] + [hot])]
+    cut = []
+
+    def counted(df, name):
+        cut.append(df.count())
+        return df
+    monkeypatch.setattr(decontam, "written", counted)
+    assert decontam.build_index(frame(spark, rows).select("text"), bench, sample=30) is not None
+    assert 0 < cut[0] <= 60  # a passage each, 200 and more with every copy
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
