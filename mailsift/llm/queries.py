@@ -6,7 +6,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bpe, decontam, imatch, quality, secrets, sharding, simhash, suffix_dedup, toxicity, warc
+from mailsift.llm import (
+    bpe, decontam, imatch, quality, resample, secrets, sharding, simhash, suffix_dedup, toxicity, warc)
 from mailsift.llm.common import documents, held_out
 from mailsift.session import scratch_path
 from mailsift.sources import table
@@ -133,6 +134,48 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+def _crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes; needs ``crc(tab)`` of CRC_SQL in scope."""
+    return (f"xor(list_reduce(list_concat([4294967295], list_transform(range(0, CAST(length(hex(encode({text}))) / 2 AS BIGINT)), "
+            f"lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), "
+            f"lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+
+_WORDS_SQL = ("unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+              "'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+'))")
+DRAWN_PERCENT = 10
+
+RESAMPLE_SQL = f"""
+WITH {CRC_SQL},
+dw AS (SELECT doc_id, count(*) AS c, w FROM (SELECT doc_id, {_WORDS_SQL} AS w FROM documents) GROUP BY doc_id, w),
+bw AS (SELECT count(*) AS c, w FROM (SELECT {_WORDS_SQL} AS w FROM benchmark) GROUP BY w),
+vocab AS (SELECT w, {_crc32_sql('w')} % {resample.BUCKETS} AS b
+  FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)), crc),
+src AS (SELECT b, sum(c) AS s FROM dw JOIN vocab USING (w) GROUP BY b),
+aim AS (SELECT b, sum(c) AS t FROM bw JOIN vocab USING (w) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000.0::DOUBLE * ln(
+    (CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(coalesce((SELECT sum(s) FROM src), 0) + {resample.BUCKETS} AS DOUBLE)) /
+    (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(coalesce((SELECT sum(t) FROM aim), 0) + {resample.BUCKETS} AS DOUBLE)))) AS BIGINT) AS g
+  FROM src FULL JOIN aim USING (b)),
+weighed AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * g) AS BIGINT) AS w
+  FROM dw JOIN vocab USING (w) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight, coalesce(w, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln(
+    (CAST('0x' || substr(sha256('{resample.SEED}:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weighed q ON d.doc_id = q.doc_id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+  FROM scored WHERE n_features >= {resample.LEAST_WORDS})
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= {DRAWN_PERCENT} * n // 100 THEN r END AS rank
+FROM scored s LEFT JOIN ranked USING (doc_id)"""
+
+
+@query("op13_resampling", RESAMPLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(documents(spark, folder), table(spark, folder, "benchmark"), percent=DRAWN_PERCENT)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
