@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift.llm import (
-    bpe, decontam, imatch, quality, resample, secrets, sharding, simhash, suffix_dedup, toxicity, warc)
+    bpe, conversations, decontam, imatch, quality, resample, secrets, sharding, simhash, suffix_dedup, toxicity, warc)
 from mailsift.llm.common import documents, held_out
 from mailsift.session import scratch_path
 from mailsift.sources import table
@@ -171,6 +171,12 @@ SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= {DRAWN_PERCENT} * n /
 FROM scored s LEFT JOIN ranked USING (doc_id)"""
 
 
+@query("op11_conversations")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversations.report(rows, conversations.damaged(rows))
+
+
 @query("op13_resampling", RESAMPLE_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resample(documents(spark, folder), table(spark, folder, "benchmark"), percent=DRAWN_PERCENT)
