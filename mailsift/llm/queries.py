@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift.llm import (
-    bpe, conversations, decontam, imatch, quality, resample, secrets, sharding, simhash, suffix_dedup, toxicity, warc)
+    bpe, conversations, decontam, imatch, pii, quality, resample, secrets, sharding, simhash, suffix_dedup, toxicity, warc)
 from mailsift.llm.common import documents, held_out
 from mailsift.session import scratch_path
 from mailsift.sources import table
@@ -177,6 +177,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.report(rows, conversations.damaged(rows))
 
 
+@query("op12_pii")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest_columns(pii.find(documents(spark, folder)))
+
+
 @query("op13_resampling", RESAMPLE_SQL)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resample(documents(spark, folder), table(spark, folder, "benchmark"), percent=DRAWN_PERCENT)
