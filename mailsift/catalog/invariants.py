@@ -8,6 +8,7 @@ from mailsift import fixed
 from mailsift.catalog.clusters import PARTS
 from mailsift.catalog.inputs import app_points, predictions, predictions_ctes
 from mailsift.catalog.learning import prepared
+from mailsift.catalog.measures import _order
 from mailsift.catalog.private import _parts
 from mailsift.catalog.registry import ORACLES, query, r, rounded
 from mailsift.functions import scores
@@ -33,6 +34,17 @@ def _(spark, folder):
     return found.select("model", "email_id", "label", _valid().alias("valid"))
 
 
+@query("cross_validation_rows", f"""WITH t AS (SELECT email_id, label FROM ({ORACLES['stratified_split']}) WHERE split = 'train'),
+o AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY {_order('folds')}) AS i, count(*) OVER (PARTITION BY label) AS n FROM t),
+f AS (SELECT label, CAST(CASE WHEN i <= n * 1 // 5 THEN 0 WHEN i <= n * 2 // 5 THEN 1 WHEN i <= n * 3 // 5 THEN 2
+  WHEN i <= n * 4 // 5 THEN 3 ELSE 4 END AS INT) AS fold FROM o)
+SELECT model, fold, label, count(*) AS n, true AS valid FROM f, {_names(list(models.REGISTRY))} GROUP BY ALL""")
+def _(spark, folder):
+    """Cross-validation scores every training row once a model, in its own fold, with a probability."""
+    found = models.fold_predictions(prepared(spark, folder), list(models.REGISTRY))
+    return found.groupBy("model", "fold", "label").agg(F.count_distinct("email_id").alias("n"), F.bool_and(_valid()).alias("valid"))
+
+
 @query("roundtrip_rows", f"SELECT email_id, label, true AS same FROM ({ORACLES['stratified_split']})")
 def _(spark, folder):
     """A saved pipeline scores every row as the fitted one does."""

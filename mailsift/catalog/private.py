@@ -11,14 +11,18 @@ from mailsift.session import cut_lineage
 from mailsift.sources import table
 
 
-@query("laplace_noise", "SELECT doc_id, " + r(f"n_chars + {laplace('noise-n_chars', 1.0, 'doc_id')}") + " AS n_chars FROM documents")
+@query("laplace_noise", "WITH d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, "
+       "row_number() OVER (PARTITION BY doc_id, n_chars) - 1 AS copy FROM documents) SELECT doc_id, "
+       + r(f"n_chars + {laplace('noise-n_chars', 1.0, 'doc_id', 'n_chars', 'copy')}") + " AS n_chars FROM d")
 def _(spark, folder):
     df = table(spark, folder, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
     return rounded(privacy.laplace_noise(df, ["n_chars"], 1.0, "doc_id"))
 
 
-@query("laplace_noise_lineitem", "SELECT l_orderkey, l_linenumber, " + r(
-    f"l_quantity + {laplace('noise-l_quantity', 2.0, 'l_orderkey', 'l_linenumber')}") + " AS l_quantity FROM lineitem")
+@query("laplace_noise_lineitem", "WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, "
+       "row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_quantity) - 1 AS copy FROM lineitem) "
+       "SELECT l_orderkey, l_linenumber, " + r(
+           f"l_quantity + {laplace('noise-l_quantity', 2.0, 'l_orderkey', 'l_linenumber', 'l_quantity', 'copy')}") + " AS l_quantity FROM l")
 def _(spark, folder):
     df = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return rounded(privacy.laplace_noise(df, ["l_quantity"], 0.5, ["l_orderkey", "l_linenumber"]))

@@ -7,6 +7,8 @@ model carries its features and scaling.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift import fixed
 from mailsift.operators import metrics, prep
-from mailsift.session import cut_lineage, keep, spread
+from mailsift.session import ROWS_PER_PARTITION, cut_lineage, keep, spread, written
 
 FEATURES = "scaled"
 
@@ -179,8 +181,8 @@ class Prepared:
         return both.withColumn(FEATURES, array_to_vector("x")).drop("x")
 
     def spread_out(self, train: DataFrame, rows: int) -> DataFrame:
-        """Even partitions by row number, not by key or features: copies of one mail are dealt over all of them."""
-        return spread(train.withColumn("_deal", F.monotonically_increasing_id()), "_deal", rows).drop("_deal")
+        """Even partitions by key and features: synthetic rows of one mail share its key, but not their place."""
+        return spread(train.withColumn("_deal", F.xxhash64(self.key, vector_to_array(FEATURES))), "_deal", rows).drop("_deal")
 
     def part(self, name: str) -> DataFrame:
         return self.scaled.where(F.col("split") == name).select(self.key, "label", FEATURES)
@@ -215,27 +217,54 @@ def best_model(table: DataFrame, names: list[str], metric: str = "f1") -> str:
     return min(rows, key=lambda r: (-r[metric], rank[r["model"]]))["model"]
 
 
-def cross_validate(data: Prepared, names: list[str], folds: int = 5, balance: bool = True) -> DataFrame:
-    """(model, mean, spread): weighted F1 over folds of the training part, spread = 2 population deviations.
+#: Fits that run side by side; they share the cores, so each has as many fewer partitions.
+PARALLEL_FITS = 8
+
+
+def fold_predictions(data: Prepared, names: list[str], folds: int = 5, balance: bool = True) -> DataFrame:
+    """(key, model, label, prediction, probability, fold) of every training row by the models of the other folds.
 
     Imputation, scaling and synthetic rows come from the other folds alone, so no test fold holds a
-    synthetic row. All fold predictions are stacked and measured in one aggregate.
+    synthetic row. Folds are prepared side by side and stored, then all models of all folds are fitted side by side; each
+    prediction is written once, so nothing is fitted or scored again by what reads them.
     """
+    spark = data.split.sparkSession
     raw = data.split.where("split = 'train'").drop("split")
-    rows = cut_lineage(prep.stratified_folds(raw, folds, key=data.key))
-    n = rows.count()
-    found = None
-    for fold in range(folds):
+    rows = written(prep.stratified_folds(raw, folds, key=data.key), "folds")
+    n, cores = rows.count(), spark.sparkContext.defaultParallelism
+    parts = max(-(-cores // PARALLEL_FITS), -(-n // ROWS_PER_PARTITION))
+    columns = [data.key, "label", FEATURES]
+
+    def prepared(fold: int) -> tuple[DataFrame, DataFrame]:
         rest = rows.where(F.col("fold") != fold).drop("fold")
         ready = preparation(rest, data.columns)
-        columns = [data.key, "label", FEATURES]
         train = ready.transform(rest).select(columns)
-        train = cut_lineage(data.spread_out(data.balanced(train) if balance else train, n))
+        train = data.balanced(train) if balance else train
+        dealt = train.repartition(parts, data.key, F.xxhash64(vector_to_array(FEATURES)))
         test = ready.transform(rows.where(F.col("fold") == fold)).select(columns)
-        for name in names:
-            part = predict(fit_classifier(name, train), test, name, data.key).withColumn("fold", F.lit(fold))
-            found = part if found is None else found.unionByName(part)
-    scores = metrics.weighted_metrics(found, ["model", "fold"])
+        return keep(written(dealt.select(columns), "fold-train").coalesce(parts)), written(test, "fold-test")
+
+    def predicted(job: tuple[int, str]) -> DataFrame:
+        fold, name = job
+        train, test = ready[fold]
+        return written(predict(fit_classifier(name, train), test, name, data.key).withColumn("fold", F.lit(fold)), "fold-scores")
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        ready = list(pool.map(prepared, range(folds)))
+        # The longest fits begin first.
+        order = sorted(names, key=list(REGISTRY).index, reverse=True)
+        found = list(pool.map(predicted, [(fold, name) for name in order for fold in range(folds)]))
+    for train, _ in ready:
+        train.unpersist()
+    return reduce(DataFrame.unionByName, found)
+
+
+def cross_validate(data: Prepared, names: list[str], folds: int = 5, balance: bool = True) -> DataFrame:
+    """(model, mean, spread): weighted F1 over folds of the training part, spread = 2 population deviations.
+
+    All fold predictions are stacked and measured in one aggregate.
+    """
+    scores = metrics.weighted_metrics(fold_predictions(data, names, folds, balance), ["model", "fold"])
     return scores.groupBy("model").agg(
         F.avg("f1").alias("mean"), (2 * F.stddev_pop("f1")).alias("spread"))
 

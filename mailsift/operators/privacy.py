@@ -14,17 +14,28 @@ from mailsift.operators import logistic, metrics, prep
 from mailsift.session import keep
 
 
+#: Equal rows that one step of a task lists at once.
+COPIES_AT_ONCE = 4096
+
+
 def laplace_noise(df: DataFrame, columns: list[str], epsilon: float = 1.0, key: str | list[str] = "email_id",
                   seed: str = "noise") -> DataFrame:
     """Laplace noise of scale 1/epsilon on each value; each value has its own draw.
 
-    ``key`` must tell rows apart, by several columns if need be: rows that share it share the noise.
+    Draws depend on the seed, the key, the row's other values and, among equal rows, a running number, so rows that share a
+    key or even all values never share the noise, and a task run again draws the same. Equal rows are counted before
+    the shuffle and listed again afterwards: neither a key nor a row that is very common meets in one task.
     """
-    keys = [F.col(k) for k in ([key] if isinstance(key, str) else key)]
+    keys = [key] if isinstance(key, str) else list(key)
+    at = lambda c: F.col(f"`{c}`")
+    own = [F.coalesce(at(c).cast("string"), F.lit("\\N")) for c in [*keys, *(c for c in df.columns if c not in keys)]]
     scale = 1.0 / max(epsilon, fixed.MIN_NOISE_EPSILON)
-    return df.withColumns({
-        c: F.col(c) + seeded.laplace(f"{seed}-{c}", scale, *keys) for c in columns if c in df.columns
-    })
+    n, lot, copy = (f"_{w}{len(df.columns)}{max(df.columns, key=len)}" for w in ("n", "lot", "copy"))
+    counted = df.groupBy(*[at(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(n))
+    lots = counted.withColumn(lot, F.explode(F.sequence(F.lit(0).cast("bigint"), at(n) - 1, F.lit(COPIES_AT_ONCE).cast("bigint"))))
+    rows = lots.withColumn(copy, F.explode(F.sequence(at(lot), F.least(at(n), at(lot) + COPIES_AT_ONCE) - 1)))
+    noisy = {c: (at(c) + seeded.laplace(f"{seed}-{c}", scale, *own, at(copy))) for c in columns if c in df.columns}
+    return rows.select(*[noisy[c].alias(c) if c in noisy else at(c) for c in df.columns])
 
 
 # --- private logistic regression (objective perturbation) --------------------------------
