@@ -18,6 +18,14 @@ def _(spark, folder):
     return rounded(neighbours.k_distances(vectors(spark, folder).select("id", "x"), 10), 5)
 
 
+@query("hashed_neighbours", "SELECT count(*) AS n, true AS enough FROM embeddings")
+def _(spark, folder):
+    """Approximate ten nearest of every vector: at least nine in ten of the exact ones."""
+    points = vectors(spark, folder).select("id", "x")
+    found = neighbours.recall(neighbours.nearest(points, 10), neighbours.hashed_nearest(points, 10))
+    return found.select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("eps_from_k_distance", f"""WITH {VECTORS}, d AS (SELECT a.id, list_distance(a.x, b.x) AS d FROM vectors a, vectors b),
 k AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS i FROM d) SELECT {r('quantile_cont(d, 0.9)', 5)} AS eps FROM k WHERE i = 10""")
 def _(spark, folder):

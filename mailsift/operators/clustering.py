@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift import fixed
 from mailsift.operators import cluster_metrics as quality
-from mailsift.operators.components import connected_components
-from mailsift.operators.neighbours import (
-    core_links, divide, k_distances, merge_copies, nearest, neighbour_counts, to_original)
-from mailsift.operators.ranking import exact_quantiles, running_totals
+from mailsift.operators.density import dbscan
+from mailsift.operators.neighbours import divide, k_distances, merge_copies, nearest, neighbour_counts, to_original
+from mailsift.operators.ranking import exact_quantiles
 from mailsift.session import cut_lineage, keep
 
 PARALLEL_FITS = 4
@@ -176,26 +175,6 @@ def neighbour_table(points: DataFrame, eps: float, min_samples: int) -> DataFram
         "id", F.col("n").alias("n_neighbours"), (F.col("n") >= min_samples).alias("is_core"))
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Clusters numbered by their first core point; a border point joins the first cluster it touches."""
-    parts = divide(merge_copies(points))
-    counts = neighbour_counts(parts, eps)
-    flagged = cut_lineage(parts.points.join(
-        counts.select("pid", (F.col("n") >= min_samples).alias("core")), "pid"))
-    links = cut_lineage(core_links(parts, flagged, eps))
-    comps = connected_components(links.where("core").select(F.col("pid").alias("a"), F.col("root").alias("b")))
-    firsts = comps.select("component").distinct().withColumn("one", F.lit(1))
-    numbers = running_totals(firsts, "component", ["one"]).select(
-        "component", (F.col("cum_one") - 1).cast("int").alias("cluster"))
-    core = keep(comps.join(numbers, "component").select("id", "cluster"))
-    border = links.where(~F.col("core")).join(core.withColumnRenamed("id", "root"), "root").groupBy(
-        F.col("pid").alias("id")).agg(F.min("cluster").alias("cluster"))
-    found = core.unionByName(border)
-    labelled = flagged.select(F.col("pid").alias("id"), "x").join(found, "id", "left").select(
-        "x", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    return to_original(points, labelled).select("id", "cluster")
-
-
 # --- spectral clustering -----------------------------------------------------------------
 
 def affinity_edges(points: DataFrame, k: int = 10, gamma: float = 1.0) -> tuple[DataFrame, DataFrame]:

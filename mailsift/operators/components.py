@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mailsift.operators.skew import hot_keys, join_facts
 from mailsift.session import written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges with ``m``, the least neighbour of ``a``; hubs, counted before, do not meet in one task."""
-    least = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-    return join_facts(edges, least.select("a", "m"), "a", hot_keys(least, "a"))
+    """Edges with ``m``, the least neighbour of ``a``. Minima are combined before the shuffle; a hub, whose edges fill a
+    partition beyond Spark's skew threshold, is split by the join."""
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+
+
+def _mark(edges: DataFrame):
+    """Count, sum and digest of an edge table: the same once nothing changes any more."""
+    return edges.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")),
+        F.bit_xor(F.xxhash64("a", "b"))).head()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,22 +34,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component) for every node of (a, b); the component is its least node.
 
-    Minima are combined before each shuffle and hubs are joined by a broadcast of bounded size, so
-    hub nodes are cheap. Each step is written to the shared folder: a lost executor never rolls back
-    the loop, and no plan grows with the rounds.
+    Each step is written to the shared folder: a lost executor never rolls back the loop, and no plan grows
+    with the rounds.
     """
     loose = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     nodes = loose.select(F.col("a").alias("id")).unionByName(loose.select(F.col("b").alias("id"))).distinct()
     now = written(loose.where("a <> b").distinct(), "links")
-    mark = None
+    mark = _mark(now)
     for _ in range(max_rounds):
+        if not mark["n"]:
+            break
         now = written(_small_star(written(_large_star(now).distinct(), "large-star")), "small-star")
-        seen = now.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum(F.col("b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")),
-            F.bit_xor(F.xxhash64("a", "b"))).head()
+        seen, mark = mark, _mark(now)
         if seen == mark:
             break
-        mark = seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(now.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select(

@@ -5,7 +5,7 @@ is shuffled, so a large group of copies counts as a single row. Points are then
 pivots (a seeded sample of the distinct points, hence dense regions get more pivots). The triangle
 inequality tells which parts a point has to be compared with; nothing within reach is missed. A
 part too large for one task is cut into blocks, and every pair of blocks becomes its own task. Only
-aggregates per point leave a task (counts, k best, component roots), never the pairs.
+aggregates per point leave a task (counts, k best, sums), never the pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mailsift.functions import seeded
-from mailsift.operators.skew import hot_keys, join_facts
 from mailsift.session import keep
 
 BLOCK = 2048          # rows per side of a task
@@ -56,14 +55,8 @@ def merge_copies(points: DataFrame, *extra: str) -> DataFrame:
 
 
 def to_original(points: DataFrame, result: DataFrame) -> DataFrame:
-    """Give every copy the result of its merged point (``result`` has x once).
-
-    A point that more than one row in a thousand shares is joined by a broadcast, so a large group of
-    copies does not meet in one task.
-    """
-    sizes = points.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    told = join_facts(points.select("id", "x"), result.withColumn("_told", F.lit(True)), "x", hot_keys(sizes, "x"))
-    return told.where("_told").drop("_told")
+    """Give every copy the result of its merged point (``result`` has x once). Spark splits large groups of copies."""
+    return points.select("id", "x").join(result, "x")
 
 
 def divide(merged: DataFrame) -> Parts:
@@ -202,38 +195,6 @@ def _components(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
-def core_links(parts: Parts, flagged: DataFrame, eps: float) -> DataFrame:
-    """(pid, root, core): every core point linked to the root of its component inside a task, and
-    every other point to the roots it touches. At most one row per core point and task."""
-    def kernel(q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"pid": [], "root": [], "core": []})
-        if not len(q) or not len(h):
-            return none
-        near = distances(matrix(q["x"]), matrix(h["x"])) <= eps
-        is_core = q["core"].to_numpy(dtype=bool)
-        qid, hid = q["pid"].to_numpy(), h["pid"].to_numpy()
-        rows, cols = _components(near[is_core])
-        cq = qid[is_core]
-        # home points that only touch border points are components of their own
-        alone = cols < 0
-        cols[alone] = cols.max(initial=-1) + 1 + np.arange(alone.sum())
-        k = cols.max() + 1
-        root = np.full(k, np.iinfo(np.int64).max)
-        np.minimum.at(root, cols, hid)
-        np.minimum.at(root, rows[rows >= 0], cq[rows >= 0])
-        out = [
-            pd.DataFrame({"pid": cq[rows >= 0], "root": root[rows[rows >= 0]], "core": True}),
-            pd.DataFrame({"pid": hid, "root": root[cols], "core": True}),
-        ]
-        border, touched = np.nonzero(near[~is_core])
-        out.append(pd.DataFrame({"pid": qid[~is_core][border], "root": root[cols[touched]], "core": False}).drop_duplicates())
-        return pd.concat(out, ignore_index=True)
-
-    queries = route(flagged.select("pid", "x", "core", "part"), parts, reach=eps)
-    home = flagged.where("core").select("pid", "x", "part")
-    return block_join(queries, home, parts.rows, kernel, "pid bigint, root bigint, core boolean").distinct()
-
-
 # --- k nearest neighbours ----------------------------------------------------------------
 
 NEAR = "near array<struct<dist:double,id:bigint,w:bigint,x:array<double>>>"
@@ -281,6 +242,11 @@ def nearest(points: DataFrame, k: int, with_self: bool = True, coordinates: bool
     asked = own.select("pid", "x", "part", F.col("part").alias("home_part"), reach.alias("reach"))
     others = block_join(route(asked, parts, None, need, skip_own=True), home, parts.rows, _best(need, coordinates), schema)
     merged = _merge_near(own.unionByName(others), need)
+    return _with_copies(points, merged, k, with_self)
+
+
+def _with_copies(points: DataFrame, merged: DataFrame, k: int, with_self: bool) -> DataFrame:
+    """(id, near) of every point from (x, pid, near) of the distinct ones, where a neighbour stands for its copies."""
     if not with_self:
         less = F.transform("near", lambda e: F.struct(
             e["dist"].alias("dist"), e["id"].alias("id"),
@@ -297,6 +263,110 @@ def k_distances(points: DataFrame, k: int) -> DataFrame:
     return nearest(points, k).select("id", F.get("near", F.lit(k - 1))["dist"].alias("kdist"))
 
 
+# --- approximate neighbours by hashed projections --------------------------------------------
+
+def by_parts(queries: DataFrame, home: DataFrame, kernel, schema: str) -> DataFrame:
+    """As ``block_join``, for any number of parts of any type: their sizes stay a table."""
+    blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = blocks(queries, "nq").join(blocks(home, "nh"), "part")
+    spot = F.xxhash64("pid")
+    home = home.toDF(*home.columns)  # new column identities: both sides may be the same table
+    q = queries.join(sizes, "part").withColumns({
+        "i": F.pmod(spot, F.col("nq")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("nh") - 1))}).drop("nq", "nh")
+    h = home.join(sizes, "part").withColumns({
+        "j": F.pmod(spot, F.col("nh")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))}).drop("nq", "nh")
+    keys = ["part", "i", "j"]
+    return q.groupBy(*keys).cogroup(h.groupBy(*keys)).applyInPandas(kernel, schema)
+
+
+#: Points from which the width of the hash cells is taken, unless it is given.
+WIDTH_SAMPLE = 1000
+
+
+def hash_width(merged: DataFrame, k: int) -> float:
+    """1.4 times the median distance to the k-th neighbour within a sample of WIDTH_SAMPLE distinct points."""
+    rows = merged.select("x", seeded.digest("width", F.col("pid")).alias("d")).orderBy("d").limit(WIDTH_SAMPLE).collect()
+    x = np.array([r["x"] for r in rows], dtype=float)
+    if len(x) < 2:
+        return 1.0
+    reach = np.sort(distances(x, x), axis=1)[:, min(k, len(x) - 1)]
+    return float(1.4 * np.median(reach)) or 1.0
+
+
+def hashed_nearest(points: DataFrame, k: int, with_self: bool = True, tables: int = 16, hashes: int = 5,
+                   probes: int = 6, width: float | None = None, seed: int = 7, work=None) -> DataFrame:
+    """(id, near) as ``nearest``, approximate: a choice of the caller for tables beyond exact search.
+
+    Every table of hashes cuts space by ``hashes`` random projections, rounded to cells of ``width``. A point is stored
+    once a table and looks into its own cell and the ``probes`` cells whose walls are closest. Candidates are ranked by their
+    exact distances, so what is returned is right, though a near point that shares no cell is missed. Work grows with
+    the points times the cells looked into; a crowded cell is cut into blocks like a part. ``work``, an accumulator,
+    counts the distances computed.
+    """
+    need = k if with_self else k + 1
+    merged = keep(merge_copies(points))
+    first = merged.select(F.size("x").alias("d")).head()
+    if first is None:
+        return points.select("id", F.array().cast("array<struct<dist:double,id:bigint,x:array<double>>>").alias("near"))
+    width = width or hash_width(merged, need)
+    rng = np.random.default_rng(seed)
+    lines, shift = rng.standard_normal((first["d"], tables * hashes)), rng.random(tables * hashes)
+
+    def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = x @ lines / width + shift
+        whole = np.floor(at)
+        return whole.astype(np.int64).reshape(len(x), tables, hashes), (at - whole).reshape(len(x), tables, hashes)
+
+    def keyed(pdf: pd.DataFrame, cell: np.ndarray, row: np.ndarray, table: np.ndarray) -> pd.DataFrame:
+        out = pdf.iloc[row].copy()
+        out["part"] = [f"{t}:{','.join(map(str, c))}" for t, c in zip(table.tolist(), cell.tolist())]
+        return out
+
+    def stored(batches):
+        for pdf in batches:
+            cell, _ = cells(matrix(pdf["x"]))
+            row, table = (v.ravel() for v in np.meshgrid(np.arange(len(pdf)), np.arange(tables), indexing="ij"))
+            yield keyed(pdf, cell[row, table], row, table)
+
+    def asked(batches):
+        for pdf in batches:
+            cell, inside = cells(matrix(pdf["x"]))
+            row, table = (v.ravel() for v in np.meshgrid(np.arange(len(pdf)), np.arange(tables), indexing="ij"))
+            yield keyed(pdf, cell[row, table], row, table)
+            # Distance to the lower walls, then to the upper ones; the nearest are stepped over.
+            walls = np.concatenate([inside, 1 - inside], axis=2)
+            for step in np.argsort(walls, axis=2)[:, :, :probes].transpose(2, 0, 1):
+                moved = cell[row, table].copy()
+                place = step[row, table]
+                moved[np.arange(len(row)), place % hashes] += np.where(place < hashes, -1, 1)
+                yield keyed(pdf, moved, row, table)
+
+    home = merged.select("pid", "x", "w").mapInPandas(stored, "pid bigint, x array<double>, w bigint, part string")
+    queries = merged.select("pid", "x", F.lit(0).alias("home_part")).mapInPandas(
+        asked, "pid bigint, x array<double>, home_part int, part string")
+    best_of = _best(need, False)
+
+    def ranked(q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if work is not None:
+            work.add(len(q) * len(h))
+        return best_of(q, h)
+
+    found = by_parts(queries, home, ranked, f"pid bigint, x array<double>, part int, {NEAR}")
+    once = found.select("pid", "x", F.explode("near").alias("e")).groupBy("pid", "e.id").agg(F.first("x").alias("x"), F.first("e").alias("e"))
+    place = F.row_number().over(Window.partitionBy("pid").orderBy("e"))
+    best = once.withColumn("_place", place).where(F.col("_place") <= need).groupBy("pid").agg(
+        F.first("x").alias("x"), F.array_sort(F.collect_list("e")).alias("near"))
+    return _with_copies(points, best, k, with_self)
+
+
+def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
+    """(n, recall): share of the exact neighbours' places that the other result fills with points as near."""
+    both = exact.select("id", F.transform("near", lambda e: e["dist"]).alias("d")).join(
+        approximate.select("id", F.transform("near", lambda e: e["dist"]).alias("a")), "id")
+    reached = F.size(F.filter(F.col("a"), lambda v: v <= F.array_max("d") + 1e-9))
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.least(reached, F.size("d"))) / F.sum(F.size("d"))).alias("recall"))
+
+
 # --- distance sums -----------------------------------------------------------------------
 
 def distance_sums(points: DataFrame) -> DataFrame:
@@ -325,5 +395,5 @@ def distance_sums(points: DataFrame) -> DataFrame:
     return merged.select("pid", "w", "cluster").join(sums, "pid")
 
 
-__all__ = ["divide", "merge_copies", "to_original", "neighbour_counts", "core_links", "nearest",
-           "k_distances", "distance_sums", "distances"]
+__all__ = ["divide", "merge_copies", "to_original", "neighbour_counts", "nearest",
+           "k_distances", "hashed_nearest", "by_parts", "distance_sums", "distances"]

@@ -12,7 +12,7 @@ from mailsift import fixed
 from mailsift.functions import seeded
 from mailsift.operators.neighbours import nearest
 from mailsift.operators.ranking import random_cuts, random_rank, order_statistics, with_value_bucket
-from mailsift.operators.skew import hot_keys, join_facts
+from mailsift.operators.skew import join_facts
 from mailsift.session import written
 
 
@@ -96,7 +96,7 @@ def label_encode(df: DataFrame, column: str, out: str = "label_index") -> DataFr
     before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(column)) + F.col("_before") - 1
     index = names.join(F.broadcast(before), "_range").select(column, place.cast("int").alias(out))
-    return join_facts(df, index, column, hot_keys(names, column))
+    return join_facts(df, index, column)
 
 
 def assemble(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:

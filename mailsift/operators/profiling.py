@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from mailsift.operators.ranking import exact_quantiles
-from mailsift.operators.skew import hot_keys, join_facts
+from mailsift.operators.skew import join_facts
 
 
 def long_form(df: DataFrame, keys: list[str], columns: list[str], name: str = "feature",
@@ -173,10 +173,9 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     return value_counts(df, column).orderBy(F.desc("n"), column).limit(k)
 
 
-def _by_class(rows: DataFrame, facts: DataFrame, by: str, df: DataFrame) -> DataFrame:
+def _by_class(rows: DataFrame, facts: DataFrame, by: str) -> DataFrame:
     """Rows with the facts of their class; a class that holds many rows is not gathered for it."""
-    sizes = value_counts(df, by, name="n")
-    return join_facts(rows, facts.withColumn("_told", F.lit(True)), by, hot_keys(sizes, by)).where("_told").drop("_told")
+    return join_facts(rows, facts.withColumn("_told", F.lit(True)), by).where("_told").drop("_told")
 
 
 def boxplot(df: DataFrame, value: str, by: str = "label") -> DataFrame:
@@ -190,7 +189,7 @@ def boxplot(df: DataFrame, value: str, by: str = "label") -> DataFrame:
     })
     counted = value_counts(df.where(F.col(value).isNotNull()), by, value, name="w")
     inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
-    return _by_class(counted, quartiles, by, df).groupBy(by, "n", "q1", "median", "q3").agg(
+    return _by_class(counted, quartiles, by).groupBy(by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).cast("double").alias("low_whisker"),
         F.max(F.when(inside, F.col(value))).cast("double").alias("high_whisker"),
         F.coalesce(F.sum(F.when(~inside, F.col("w"))), F.lit(0)).alias("n_outliers"),
@@ -201,7 +200,7 @@ def outliers(df: DataFrame, value: str, by: str = "label", key: str = "email_id"
     q = exact_quantiles(df, value, {"q1": 0.25, "q3": 0.75}, [by])
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     return (
-        _by_class(df.select(key, by, value), q, by, df)
+        _by_class(df.select(key, by, value), q, by)
         .where((F.col(value) < F.col("q1") - spread) | (F.col(value) > F.col("q3") + spread))
         .select(key, by, value)
     )

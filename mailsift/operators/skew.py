@@ -14,12 +14,15 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     return counts.where(F.col(n) * HOT_SHARE > total).select(key)
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """``rows`` left joined to ``facts`` (one row a key at most).
 
-    The facts of hot keys, at most HOT_SHARE rows, are broadcast and their rows stay where they are;
-    the others meet by a shuffle in which no key is large.
+    Without ``hot`` it is one join: facts that Spark measures as small are broadcast, and where a key fills a shuffle
+    partition beyond the skew threshold, Spark deals its rows out over more tasks. With ``hot``, at most HOT_SHARE keys, the
+    facts of these are broadcast, and only the other rows are shuffled.
     """
+    if hot is None:
+        return rows.join(facts, key, "left")
     mark = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
     marked = rows.join(mark, key, "left")
     told = facts.join(mark, key, "left")

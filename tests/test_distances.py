@@ -61,6 +61,24 @@ def test_k_distance(data, k):
     assert np.allclose([got[i] for i in range(len(d))], np.sort(d, 1)[:, k - 1], atol=1e-12)
 
 
+def test_hashed_neighbours_reach_nine_in_ten(spark, data, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 2048)
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(c, 1, (800, 6)) for c in (0, 4, 8)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>")
+    work = spark.sparkContext.accumulator(0)
+    r = neighbours.recall(neighbours.nearest(df, 10), neighbours.hashed_nearest(df, 10, work=work)).head()
+    assert r["n"] == len(x) and r["recall"] >= 0.9 and 0 < work.value < 0.4 * len(x) ** 2
+    # Copies count as neighbours, and what is found has its exact distance.
+    _, d, df = data
+    got = neighbours.hashed_nearest(df, 5, with_self=False, tables=20).collect()
+    far = np.sort(d + np.where(np.eye(len(d)), np.inf, 0), 1)[:, :5]
+    for row in got:
+        assert all(abs(d[row["id"], n["id"]] - n["dist"]) < 1e-12 for n in row["near"])
+    assert np.mean([abs(n["dist"] - far[row["id"], i]) < 1e-9 for row in got for i, n in enumerate(row["near"])]) > 0.9
+    assert neighbours.hashed_nearest(df.limit(0), 3).collect() == []
+
+
 def test_nearest_without_self(data):
     _, d, df = data
     e = d + np.where(np.eye(len(d)), np.inf, 0)
@@ -75,6 +93,38 @@ def test_dbscan(data, eps, m):
     assert [got[i] for i in range(len(d))] == list(brute_dbscan(d, eps, m))
 
 
+def test_dbscan_on_many_clouds(spark):
+    """Chains of cells, bridges of single points, gaps about as wide as the radius, one to four dimensions."""
+    rng = np.random.default_rng(11)
+    for d, eps, m in [(2, 0.5, 6), (4, 0.9, 5)]:
+        x = np.vstack([rng.normal(c, 0.35, (60, d)) for c in (0, 1.6, 4)] + [rng.uniform(-1, 5, (30, d)), np.round(rng.uniform(0, 2, (60, d)), 1)])
+        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>")
+        got = {r["id"]: r["cluster"] for r in clustering.dbscan(df, eps, m).collect()}
+        assert [got[i] for i in range(len(x))] == list(brute_dbscan(dist, eps, m)), (d, eps, m)
+
+
+def test_dense_cells_cost_no_distances(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 2048)
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 0.4, (5000, 2)), rng.uniform(-6, 6, (300, 2))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>")
+    work = spark.sparkContext.accumulator(0)
+    got = {r["id"]: r["cluster"] for r in clustering.dbscan(df, 0.5, 10, work).collect()}
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert [got[i] for i in range(len(x))] == list(brute_dbscan(dist, 0.5, 10))
+    pairs = int((dist <= 0.5).sum())
+    assert 0 < work.value < 0.1 * pairs, (work.value, pairs)
+
+
+def test_dbscan_of_nothing_and_of_one_place(spark):
+    none = spark.createDataFrame([], "id bigint, x array<double>")
+    assert clustering.dbscan(none, 0.5, 3).collect() == []
+    one = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "id bigint, x array<double>")
+    assert [r["cluster"] for r in clustering.dbscan(one, 0.5, 5).collect()] == [0] * 5
+    assert [r["cluster"] for r in clustering.dbscan(one, 0.5, 6).collect()] == [-1] * 5
+
+
 def test_silhouettes(data, spark):
     x, d, df = data
     labels = np.arange(len(x)) % 3
