@@ -12,7 +12,7 @@ from mailsift.catalog.measures import _order
 from mailsift.catalog.private import _parts
 from mailsift.catalog.registry import ORACLES, query, r, rounded
 from mailsift.functions import scores
-from mailsift.operators import clustering, metrics, models, prep, privacy
+from mailsift.operators import cftree, clustering, metrics, models, prep, privacy
 from mailsift.operators.cluster_metrics import centroids, squared
 from mailsift.session import scratch_path
 from mailsift.sources import sinks, table
@@ -122,6 +122,29 @@ def _(spark, folder):
                        (F.round(F.col("centre")[1], 5) + 0.0).alias("v"), F.round("radius", 4).alias("radius"))
 
 
+@query("birch_leaves", f"""WITH {PARTS} SELECT count(*) AS n, {r('avg(u * u + v * v)', 5)} AS squares, true AS bounded, true AS few,
+  true AS centred FROM pts""")
+def _(spark, folder):
+    """Leaves of a feature tree add up to all parts, none is wider than the threshold the tree came to."""
+    z = prep.standardise(table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    rows = cftree.cf_leaves(z.select(F.col("p_partkey").alias("id"), F.array("p_size", "p_retailprice").alias("x")), 0.05, 200)
+    c, n = F.col("centre"), F.col("n")
+    return rounded(rows.agg(
+        F.sum("n").alias("total"), F.sum(n * (F.col("radius") * F.col("radius") + c[0] * c[0] + c[1] * c[1])).alias("s"),
+        F.bool_and(F.col("radius") <= F.col("threshold") + 1e-9).alias("bounded"), (F.count(F.lit(1)) <= 200).alias("few"),
+        ((F.abs(F.sum(n * c[0])) < 1e-6) & (F.abs(F.sum(n * c[1])) < 1e-6)).alias("centred"),
+    ).select(F.col("total").alias("n"), (F.col("s") / F.col("total")).alias("squares"), "bounded", "few", "centred"), 5)
+
+
+@query("spectral_facts", "SELECT CAST(i AS INT) AS vector, true AS settled, true AS falling FROM range(1, 6) AS t(i)")
+def _(spark, folder):
+    """The five vectors that embed the mails solve their equation, values at most 1 and falling."""
+    _, edges = clustering.affinity_edges(app_points(spark, folder).select("id", "x"))
+    _, values, residuals = clustering.eigenvectors(edges, 5)
+    rows = [(i + 1, bool(e < 0.02), bool(v <= 1 + 1e-6 and (i == 0 or v <= values[i - 1] + 1e-9))) for i, (v, e) in enumerate(zip(values, residuals))]
+    return spark.createDataFrame(rows, "vector int, settled boolean, falling boolean")
+
+
 #: Given rows of a sweep: the accuracies of the stand-in models under three privacy levels.
 GIVEN = {"a": 0.5, "b": 1.0, "c": 2.0}
 GIVEN_SQL = (

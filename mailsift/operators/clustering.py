@@ -5,17 +5,21 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel, PowerIterationClustering
+import pandas as pd
+from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from mailsift import fixed
 from mailsift.operators import cluster_metrics as quality
+from mailsift.functions import seeded
+from mailsift.operators.cftree import cf_leaves
 from mailsift.operators.density import dbscan
-from mailsift.operators.neighbours import divide, k_distances, merge_copies, nearest, neighbour_counts, to_original
+from mailsift.operators.neighbours import (
+    distances, divide, k_distances, lots, matrix, merge_copies, nearest, neighbour_counts, to_original)
 from mailsift.operators.ranking import exact_quantiles
-from mailsift.session import cut_lineage, keep
+from mailsift.session import cut_lineage, keep, written
 
 PARALLEL_FITS = 4
 
@@ -24,10 +28,11 @@ def with_vector(points: DataFrame) -> DataFrame:
     return points.withColumn("features", array_to_vector(F.col("x")))
 
 
-def fit_kmeans(vectors: DataFrame, k: int, restarts: int = 10, seed: int = fixed.SEED) -> KMeansModel:
+def fit_kmeans(vectors: DataFrame, k: int, restarts: int = 10, seed: int = fixed.SEED, weight: str | None = None) -> KMeansModel:
     """The cheapest of several seeded fits; fits share the cached input and run side by side."""
     def one(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=100).fit(vectors)
+        more = {"weightCol": weight} if weight else {}
+        return KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=100, **more).fit(vectors)
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         models = list(pool.map(one, range(restarts)))
     return min(models, key=lambda m: m.summary.trainingCost)
@@ -149,15 +154,22 @@ def cf_rows(points: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     return placed.select("id", "micro"), table.select("micro", "n", "centre", radius.alias("radius"))
 
 
-def birch(points: DataFrame, k: int, threshold: float = 0.5, entries: int = 500) -> DataFrame:
-    """Clustering features under a radius threshold, doubled until ``entries`` hold all points, then merged."""
-    while True:
-        placed, table = cf_rows(points, threshold)
-        table = keep(table)
-        if table.count() <= entries:
-            return _merged(placed, table, k)
-        table.unpersist()
-        threshold *= 2
+def birch(points: DataFrame, k: int, threshold: float = 0.0, entries: int = 500) -> DataFrame:
+    """(id, cluster): leaves of a clustering-feature tree, at most ``entries``, merged to ``k``; every point joins its
+    nearest leaf. The tree raises ``threshold`` as far as ``entries`` needs; ``cf_leaves`` returns the one used."""
+    leaves = written(cf_leaves(points, threshold, entries), "leaves")
+    rows = sorted(leaves.limit(entries + 1).collect(), key=lambda r: r["leaf"])
+    if not rows:
+        return points.select("id", F.lit(0).alias("cluster"))
+    centres = np.array([r["centre"] for r in rows], dtype=float)
+    groups = ward_merge(np.array([r["n"] for r in rows]), centres, k).astype(np.int32)
+
+    def place(batches):
+        for pdf in batches:
+            for lot in lots(pdf, len(centres)):
+                yield pd.DataFrame({"id": lot["id"], "cluster": groups[distances(matrix(lot["x"]), centres).argmin(axis=1)]})
+
+    return points.select("id", "x").mapInPandas(place, f"id {points.schema['id'].dataType.simpleString()}, cluster int")
 
 
 # --- density clustering ------------------------------------------------------------------
@@ -192,19 +204,94 @@ def affinity_edges(points: DataFrame, k: int = 10, gamma: float = 1.0) -> tuple[
     return merged, edges
 
 
-def spectral(points: DataFrame, k: int, neighbours: int = 10, gamma: float = 1.0, rounds: int = 20) -> DataFrame:
-    """Power iteration on a sparse neighbour graph; no row limit, no dense matrix.
-
-    Copies weigh as many points; a table of one distinct point is one cluster.
+def normalised(edges: DataFrame) -> DataFrame:
+    """(src, dst, a): both directions of every edge, divided by the roots of the degrees of its ends."""
+    both = written(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "affinity")
+    degree = both.groupBy("src").agg(F.sum("weight").alias("d"))
+    ends = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
+    return written(ends.select("src", "dst", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("a")), "affinity")
+
+
+def _times(edges: DataFrame, table: DataFrame, width: int) -> DataFrame:
+    """(id, y, z, ay) of (id, y, z): the sparse matrix times the thin one, by a join on the column and sums over rows."""
+    held = table.select(F.col("id").alias("dst"), F.col("y").alias("_y"))
+    sums = edges.join(held, "dst").groupBy(F.col("src").alias("id")).agg(
+        F.array(*[F.sum(F.col("a") * F.col("_y")[i]) for i in range(width)]).alias("ay"))
+    return table.join(sums, "id")
+
+
+def _products(table: DataFrame, width: int) -> np.ndarray:
+    """Y'Y, Y'AY and (AY)'AY of (y, ay): summed in tasks, ``width`` squared numbers each."""
+    def run(batches):
+        total = np.zeros((3, width, width))
+        for pdf in batches:
+            if len(pdf):
+                y, ay = matrix(pdf["y"]), matrix(pdf["ay"])
+                total += np.stack([y.T @ y, y.T @ ay, ay.T @ ay])
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+    rows = table.select("y", "ay").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(3 * width * width)
+    for r in rows:
+        out[r["i"]] = r["v"]
+    return out.reshape(3, width, width)
+
+
+def eigenvectors(edges: DataFrame, k: int, rounds: int = 6, degree: int = 6, spare: int | None = None) -> tuple[DataFrame, list[float], list[float]]:
+    """((id, v array of k), values, residuals): leading eigenvectors of the normalised affinity of undirected edges.
+
+    Subspace iteration with a Chebyshev filter: ``degree`` sparse products damp all that lies below the least value of the
+    block, then the block is made orthogonal and turned to its own eigenvectors (Rayleigh and Ritz) by
+    the products of its columns, a few numbers on the driver. The residual of a vector is the length of Av - value v.
+    """
+    matrix_ = normalised(edges)
+    nodes = matrix_.select(F.col("src").alias("id")).distinct()
+    width = min(k + (max(4, k) if spare is None else spare), max(1, nodes.count()))
+    k = min(k, width)
+    start = F.array(*[seeded.uniform(f"spectral-{i}", F.col("id")) - 0.5 for i in range(width)])
+    now = written(nodes.select("id", start.alias("y")).withColumn("z", F.col("y")), "block")
+    values, residuals, below = np.ones(width), np.ones(width), 0.0
+    for step in range(rounds + 1):
+        if step:
+            centre, half = (below - 1) / 2, (below + 1) / 2
+            scaled = lambda: F.zip_with("ay", "y", lambda a, y: (a - centre * y) / half)
+            for i in range(degree):
+                both = _times(matrix_, now, width)
+                fresh = scaled() if i == 0 else F.zip_with(scaled(), F.col("z"), lambda s, z: 2 * s - z)
+                now = both.select("id", fresh.alias("y"), F.col("y").alias("z"))
+            now = written(now, "block")
+        known = written(_times(matrix_, now, width).select("id", "y", "ay"), "block")
+        gram, across, squares = _products(known, width)
+        size, turn = np.linalg.eigh((gram + gram.T) / 2)
+        # Directions that the filter has made alike are left out by giving them no weight.
+        root = turn / np.sqrt(np.maximum(size, size.max() * 1e-14))
+        values, own = np.linalg.eigh(root.T @ (across + across.T) / 2 @ root)
+        mix = root @ own[:, ::-1]
+        values = values[::-1]
+        residuals = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", mix, squares, mix) - values ** 2, 0))
+        below = float(np.clip(values[-1], -0.5, 0.99))
+        new = F.array(*[F.aggregate(F.zip_with(F.col("y"), F.lit([float(v) for v in mix[:, i]]), lambda a, b: a * b), F.lit(0.0),
+                                    lambda s, v: s + v) for i in range(width)])
+        now = written(known.select("id", new.alias("y")).withColumn("z", F.col("y")), "block")
+    return now.select("id", F.slice("y", 1, k).alias("v")), values[:k].tolist(), residuals[:k].tolist()
+
+
+def spectral(points: DataFrame, k: int, neighbours: int = 10, gamma: float = 1.0, rounds: int = 6) -> DataFrame:
+    """k-means on the rows of the leading k eigenvectors of a sparse neighbour graph, each row brought to length 1.
+
+    No row limit, no dense matrix. Copies weigh as many points; a table of one distinct point is one cluster.
     """
     merged, edges = affinity_edges(points, neighbours, gamma)
     edges = cut_lineage(edges)
     if edges.isEmpty():
         return points.select("id", F.lit(0).alias("cluster"))
-    model = PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", srcCol="src", dstCol="dst",
-                                     weightCol="weight")
-    found = model.assignClusters(edges).join(
-        merged.select(F.col("pid").alias("id"), "x"), "id").select("x", "cluster")
+    rows, _, _ = eigenvectors(edges, k, rounds)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v))
+    unit = F.transform("v", lambda v: v / F.greatest(length, F.lit(1e-300)))
+    placed = keep(rows.select(F.col("id").alias("pid"), array_to_vector(unit).alias("features")).join(
+        merged.select("pid", "x", F.col("w").cast("double").alias("w")), "pid"))
+    model = fit_kmeans(placed, k, weight="w")
+    found = written(model.transform(placed).select("x", "cluster"), "spectral")
+    placed.unpersist()
     return to_original(points, found).select("id", F.col("cluster").cast("int").alias("cluster"))
 
 

@@ -70,7 +70,7 @@ def divide(merged: DataFrame) -> Parts:
 
     def home(batches):
         for pdf in batches:
-            for lot in _lots(pdf, m):
+            for lot in lots(pdf, m):
                 d = distances(matrix(lot["x"]), pivots)
                 part = d.argmin(axis=1)
                 yield lot.assign(part=part.astype("int32"), to_pivot=d[np.arange(len(lot)), part])
@@ -85,7 +85,7 @@ def divide(merged: DataFrame) -> Parts:
     return Parts(placed.drop("to_pivot"), pivots, radius, {r["part"]: r["n"] for r in stats}, weight)
 
 
-def _lots(pdf: pd.DataFrame, width: int):
+def lots(pdf: pd.DataFrame, width: int):
     """The rows in lots whose distance matrix to ``width`` points stays bounded."""
     step = max(1, CELLS // max(1, width))
     for start in range(0, len(pdf), step):
@@ -106,7 +106,7 @@ def route(queries: DataFrame, parts: Parts, reach: float | None = None, least_we
     pivots, radius, weight = parts.pivots, parts.radius, parts.weight
 
     def spread(batches):
-        for pdf in (lot for batch in batches for lot in _lots(batch, len(pivots))):
+        for pdf in (lot for batch in batches for lot in lots(batch, len(pivots))):
             d = distances(matrix(pdf["x"]), pivots)
             if reach is None:
                 far = d + radius[None, :]

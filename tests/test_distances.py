@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailsift.operators import cluster_metrics, clustering, components, neighbours, prep
+from mailsift.operators import cftree, cluster_metrics, clustering, components, neighbours, prep
 
 
 @pytest.fixture(autouse=True)
@@ -185,12 +185,68 @@ def test_synthetic_rows(spark, data):
         assert np.sqrt((((a + t[..., None] * ab) - p) ** 2).sum(-1)).min() < 1e-9
 
 
-def test_spectral_separates_blobs(spark):
+def same_groups(got, want):
+    pairs = set(zip(got, want))
+    return len(pairs) == len(set(got)) == len(set(want))
+
+
+def test_spectral_recovers_rings_and_blobs(spark):
     rng = np.random.default_rng(0)
-    x = np.vstack([rng.normal(0, 0.2, (40, 2)), rng.normal(4, 0.2, (40, 2))])
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>")
-    got = {r["id"]: r["cluster"] for r in clustering.spectral(df, 2).collect()}
-    assert len(got) == 80
+    t = rng.uniform(0, 2 * np.pi, 240)
+    r = np.r_[np.full(90, 1.0), np.full(150, 3.0)] + rng.normal(0, 0.05, 240)
+    rings = np.c_[r * np.cos(t), r * np.sin(t)]
+    blobs = np.vstack([rng.normal(c, 0.5, (50, 2)) for c in ((0, 0), (4, 0), (0, 4))] + [np.tile([[4.0, 0.0]], (60, 1))])
+    for x, k, want in [(rings, 2, [0] * 90 + [1] * 150), (blobs, 3, [0] * 50 + [1] * 50 + [2] * 50 + [1] * 60)]:
+        df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, x array<double>")
+        got = {q["id"]: q["cluster"] for q in clustering.spectral(df, k).collect()}
+        assert same_groups([got[i] for i in range(len(x))], want)
+
+
+def test_eigenvectors_as_numpy(spark):
+    rng = np.random.default_rng(4)
+    edges = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.uniform(0.1, 2, 300)) if a < b}
+    w = np.zeros((60, 60))
+    for (a, b), v in edges.items():
+        w[a, b] = w[b, a] = v
+    here = np.flatnonzero(w.sum(1))
+    w = w[np.ix_(here, here)]
+    want = np.sort(np.linalg.eigvalsh(w / np.sqrt(np.outer(w.sum(1), w.sum(1)))))[::-1][:3]
+    df = spark.createDataFrame([(a, b, v) for (a, b), v in edges.items()], "src bigint, dst bigint, weight double")
+    _, values, residuals = clustering.eigenvectors(df, 3)
+    assert np.allclose(values, want, atol=1e-6) and max(residuals) < 1e-3
+
+
+def test_feature_trees(data, spark):
+    x, _, df = data
+    for threshold, entries in [(0.0, 30), (0.3, 500), (0.0, 1000)]:
+        for order in (df, df.withColumn("id", -F.col("id"))):
+            rows = cftree.cf_leaves(order, threshold, entries).collect()
+            n, mean = np.array([r["n"] for r in rows]), np.array([r["centre"] for r in rows])
+            radius, limit = np.array([r["radius"] for r in rows]), max(r["threshold"] for r in rows)
+            assert len(rows) <= entries and n.sum() == len(x) and (radius <= limit + 1e-9).all() and limit >= threshold
+            assert np.allclose(n @ mean, x.sum(0))
+            squares = (n * radius ** 2).sum() + (n * (mean ** 2).sum(1)).sum()
+            assert abs(squares - (x ** 2).sum()) < 1e-6
+    assert len(rows) == len(np.unique(x, axis=0))  # room for all: every distinct point is a leaf
+
+
+def test_a_tree_stays_balanced():
+    rng = np.random.default_rng(1)
+    tree = cftree.Tree(2, 0.01)
+    x = rng.uniform(0, 1, (4000, 2))
+    for p in x[np.argsort(x[:, 0])]:
+        tree.insert(1.0, p)
+    depths = set()
+
+    def walk(node, depth):
+        if node.kids is None:
+            depths.add(depth)
+        for kid in node.kids or []:
+            walk(kid, depth + 1)
+    walk(tree.root, 0)
+    assert len(depths) == 1 and tree.entries == len(tree.leaves()) > 100
+    wide = tree.wider()
+    assert wide.threshold > tree.threshold and wide.entries < tree.entries and sum(e[0] for e in wide.leaves()) == 4000
 
 
 def test_birch_entries(data):
@@ -202,7 +258,7 @@ def test_birch_entries(data):
     for i, cell in where.items():
         r = rows[cell]
         assert r["radius"] <= 1.0 + 1e-9 and np.linalg.norm(x[i] - np.array(r["centre"])) <= 1.0 + 1e-9
-    got = {r["id"]: r["cluster"] for r in clustering.birch(df, 4, threshold=0.05, entries=60).collect()}
+    got = {r["id"]: r["cluster"] for r in clustering.birch(df, 4, entries=60).collect()}
     assert len(got) == len(x) and len(set(got.values())) == 4
 
 
