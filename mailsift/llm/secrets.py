@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mailsift.llm.common import written
-from mailsift.operators.skew import hot_keys, join_facts
+from mailsift.operators.skew import join_facts
 from mailsift.session import scratch_path
 
 
@@ -130,9 +130,8 @@ def scan(versions: DataFrame, ledger: str, rules: list[Rule] = RULES, key: str =
     found = now.select("blob", "kind", order.alias("o"), F.explode("spans").alias("s")).groupBy("blob").agg(
         F.sort_array(F.collect_set(F.struct(F.col("s.start").alias("start"), "o", "kind", F.col("s.end").alias("end")))).alias("found"))
     facts = found.select("blob", F.transform("found", lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"))).alias("spans"))
-    sizes = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return join_facts(paths, facts, "blob", hot_keys(sizes, "blob")).select(
+    return join_facts(paths, facts, "blob").select(
         F.col("key").alias(key), "blob", F.coalesce("spans", none).alias("spans"))
 
 
@@ -148,19 +147,20 @@ def redact(df: DataFrame, ledger: str, rules: list[Rule] = RULES, key: str = "do
     Found by content, so the spans are joined by the blob and rows that share a key are told apart.
     """
     spans = scan(df, ledger, rules, key, text)
-    facts = spans.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans"))
-    rows = df.withColumn("_blob", blob_of(F.col(f"`{text}`")))
-    sizes = spans.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
-    told = join_facts(rows, facts.withColumnRenamed("blob", "_blob"), "_blob",
-                      hot_keys(sizes, "blob").withColumnRenamed("blob", "_blob"))
+    facts = spans.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    rows = df.select(blob_of(F.col(f"`{text}`")).alias("blob"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    told = join_facts(rows, facts, "blob")
+    whole = F.col("row").getField(text)
     done = F.aggregate(
-        "_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
+        "spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda a, s: F.when(s.end <= a["at"], a).otherwise(F.struct(
             F.when(s.start < a["at"], a["out"]).otherwise(F.concat(
-                a["out"], F.substring(F.col(text), a["at"] + 1, s.start - a["at"]), F.lit(mark))).alias("out"),
+                a["out"], F.substring(whole, a["at"] + 1, s.start - a["at"]), F.lit(mark))).alias("out"),
             s.end.alias("at"))),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2 ** 31 - 1))))
-    return told.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(done)).select(df.columns)
+        lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.lit(2 ** 31 - 1))))
+    return told.select(*[
+        (F.when(F.col("spans").isNull(), whole).otherwise(done) if c == text else F.col("row").getField(c)).alias(c)
+        for c in df.columns])
 
 
 def new_ledger(spark: SparkSession) -> str:

@@ -75,13 +75,14 @@ def place_groups(df: DataFrame, group: str, row: str, shards: list[str], size: i
     Hot means more than one row in a thousand of the table, so the hot list has a thousand keys at most
     and is broadcast.
     """
-    if out in df.columns or "_slot" in df.columns or "_hot" in df.columns:
-        raise ValueError(f"the input already has a column {out}, _slot or _hot")
+    if out in df.columns:
+        raise ValueError(f"the input already has a column {out}")
     counts = df.groupBy(F.col(f"`{group}`").alias("_group")).agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(hot_keys(counts, "_group").withColumn("_hot", F.lit(True)))
-    marked = df.join(hot, F.col(f"`{group}`").eqNullSafe(F.col("_group")), "left").drop("_group")
-    slots = table_frame(df.sparkSession, shards, size, out)
-    slot = F.when(F.col("_hot"), slot_of(size, F.col(f"`{group}`"), F.col(f"`{row}`"))).otherwise(
-        slot_of(size, F.col(f"`{group}`")))
-    rows = marked.withColumn("_slot", slot).drop("_hot")
-    return rows.join(F.broadcast(slots), "_slot", "left").drop("_slot")
+    held = df.select(F.col(f"`{group}`").alias("_own"), F.col(f"`{row}`").alias("_key"),
+                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    marked = held.join(hot, F.col("_own").eqNullSafe(F.col("_group")), "left")
+    slots = table_frame(df.sparkSession, shards, size, "_shard")
+    slot = F.when(F.col("_hot"), slot_of(size, F.col("_own"), F.col("_key"))).otherwise(slot_of(size, F.col("_own")))
+    rows = marked.select(slot.alias("_slot"), "_row")
+    return rows.join(F.broadcast(slots), "_slot", "left").select("_row.*", F.col("_shard").alias(out))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift.llm.common import schema_with, slices, small_batches, written
 from mailsift.operators.components import connected_components
-from mailsift.operators.skew import hot_keys, join_facts
+from mailsift.operators.skew import join_facts
 
 SEED = 42
 #: Fingerprints of a shard that one task compares.
@@ -206,8 +206,7 @@ def links(fps: DataFrame, k: int = 3, largest: int = LARGEST) -> DataFrame:
     """(a, b): links that join all distinct fingerprints (column fp) within k bits of one another."""
     routed = written(fps.select("fp", F.explode(F.array(*block_keys(F.col("fp"), k))).alias("unit")), "routed")
     sizes = written(routed.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage")), "shards")
-    told = join_facts(routed, sizes.where(F.col("n") > largest).select("unit", "vantage"), "unit",
-                      hot_keys(sizes, "unit"))
+    told = join_facts(routed, sizes.where(F.col("n") > largest).select("unit", "vantage"), "unit")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
     ring = F.floor(distance / (k + 1))
     above = F.when(distance % (k + 1) > 0, F.array(ring, ring + 1)).otherwise(F.array(ring))
@@ -216,7 +215,7 @@ def links(fps: DataFrame, k: int = 3, largest: int = LARGEST) -> DataFrame:
         "fp", F.xxhash64("shard", "ring").alias("unit")), "rings")
     sizes = ringed.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     parts = sizes.select("unit", F.ceil(F.col("n") / largest).alias("parts"))
-    dealt = join_facts(ringed, parts, "unit", hot_keys(sizes, "unit")).withColumn(
+    dealt = join_facts(ringed, parts, "unit").withColumn(
         "part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     met = dealt.select("fp", "unit", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     units = told.where("vantage IS NULL").select("unit", "fp").unionByName(met.select(
@@ -232,16 +231,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     members = connected_components(written(links(fps.select("fp"), k), "links"))
     named = written(fps.join(members.withColumnRenamed("id", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("component", "fp")).select("fp", "root", "least"), "members")
-    least = written(named.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")), "groups")
-    facts = written(join_facts(named.select("fp", "root"), least.select("root", "component"), "root",
-                               hot_keys(least, "root")).select("fp", "component"), "components")
-    return join_facts(rows, facts, "fp", hot_keys(fps, "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    facts = written(join_facts(named.select("fp", "root"), least, "root").select("fp", "component"), "components")
+    return join_facts(rows, facts, "fp")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, k: int = 3) -> DataFrame:
     """``df`` with one row of each group: that of the least key (null last), among equal keys of the least text hash."""
     identity = F.struct(F.col(f"`{key}`").isNull(), F.coalesce(F.col(f"`{key}`"), F.lit(0)), F.xxhash64(F.col(f"`{text}`")))
-    rows = df.withColumn("_identity", identity)
-    found = near_duplicates(rows.select("_identity", F.col(f"`{text}`").alias("_whole")), "_identity", "_whole", words, k)
+    rows = df.select(identity.alias("_identity"), F.col(f"`{text}`").alias("_whole"),
+                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    found = near_duplicates(rows.select("_identity", "_whole"), "_identity", "_whole", words, k)
     kept = written(found.select(F.col("component").alias("_identity")).distinct(), "kept")
-    return rows.join(kept, "_identity", "left_semi").dropDuplicates(["_identity"]).drop("_identity")
+    return rows.drop("_whole").join(kept, "_identity", "left_semi").dropDuplicates(["_identity"]).select("_row.*")

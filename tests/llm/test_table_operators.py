@@ -253,3 +253,21 @@ def test_pipeline_takes_odd_rows(spark, folder, tmp_path):
             now = stage(spark, now, folder)
             assert now.columns == odd.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, folder).count() == now.count()
+
+
+HELPERS = ["_hot", "_spans", "_group", "_slot", "_identity", "_row", "_whole", "_blob", "_owner", "_shard", "_own", "_key", "spans",
+           "row", "blob", "component", "fp", "_text", "leaks", "_leaks", "predicted"]
+
+
+@pytest.mark.parametrize("apply", [
+    lambda df: secrets.redact(df, secrets.new_ledger(df.sparkSession)),
+    lambda df: sharding.place_groups(df, "source", "doc_id", ["a", "b"], 101, out="placed").drop("placed"),
+    lambda df: simhash.keep_one(df), lambda df: corpus_pipeline.drop_near_duplicates(df.sparkSession, df, ""),
+], ids=["redact", "place_groups", "keep_one", "stage"])
+def test_helper_names_as_extra_columns(spark, apply):
+    """Columns named like the operators' own helpers pass through unchanged."""
+    columns = ["doc_id", "text", "source", *HELPERS]
+    rows = [(i, f"plain text number {i} about {i * 7} things", "s", *[f"{h}{i}" for h in HELPERS]) for i in range(20)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'bigint' if c == 'doc_id' else 'string'}" for c in columns))
+    got = apply(df)
+    assert got.columns == columns and sorted(map(tuple, got.collect())) == rows
