@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailsift.catalog.inputs import VECTORS, labelled, labelled_cte, predictions, predictions_ctes, vectors
-from mailsift.catalog.registry import query, r, rounded
+from mailsift.catalog.registry import query, r, rounded, u
 from mailsift.operators import cluster_metrics, metrics, prep
 from mailsift.sources import table
 
@@ -153,6 +153,20 @@ def _(spark, folder):
     return rounded(cluster_metrics.silhouette(vectors(spark, folder)))
 
 
+@query("silhouette_sampled", f"""WITH {VECTORS}, sizes AS (SELECT cluster, count(*) AS n_c FROM vectors GROUP BY 1), tot AS (SELECT count(*) AS n FROM vectors),
+drawn AS (SELECT v.id, v.x, v.cluster, n_c FROM vectors v JOIN sizes USING (cluster), tot
+  WHERE {u('silhouette', 'v.id')} < greatest(200.0::DOUBLE / n, 10.0::DOUBLE / n_c)),
+p AS (SELECT d.id, d.cluster, d.n_c, b.cluster AS other, sum(list_distance(d.x, b.x)) AS t, count(*) AS n FROM drawn d, vectors b GROUP BY ALL),
+m AS (SELECT id, cluster, n_c, max(CASE WHEN other = cluster THEN t / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> cluster THEN t / n END) AS b
+  FROM p GROUP BY ALL),
+s AS (SELECT cluster, n_c, CASE WHEN n_c = 1 THEN 0 ELSE coalesce((b - a) / greatest(a, b), 0) END AS s FROM m),
+c AS (SELECT cluster, n_c, count(*) AS m, avg(s) AS mean, coalesce(var_samp(s), 0) AS v FROM s GROUP BY ALL)
+SELECT {r('sum(n_c * mean) / sum(n_c)')} AS silhouette, {r('sqrt(sum(n_c * n_c * v / m * (1 - m / n_c::DOUBLE))) / sum(n_c)')} AS error,
+  CAST(sum(m) AS BIGINT) AS n FROM c""")
+def _(spark, folder):
+    return rounded(cluster_metrics.silhouette_sampled(vectors(spark, folder), 200, 10))
+
+
 @query("silhouette_squared", "WITH " + PAIRS.format(dist="list_distance(a.x, b.x) ** 2"))
 def _(spark, folder):
     return rounded(cluster_metrics.silhouette_squared(vectors(spark, folder)))

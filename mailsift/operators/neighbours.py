@@ -369,11 +369,12 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
 
 # --- distance sums -----------------------------------------------------------------------
 
-def distance_sums(points: DataFrame) -> DataFrame:
-    """(id, cluster, to_cluster, total, n): Euclidean distance from each point to all of each cluster.
+def distance_sums(points: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(pid, w, cluster, to_cluster, total, n): Euclidean distance from each point to all of each cluster.
 
     No closed form exists for these sums, so the work is quadratic: blocks against blocks. Copies
-    within a cluster are merged first; only sums per cluster leave a task.
+    within a cluster are merged first; only sums per cluster leave a task. With ``asked`` (pid, x, cluster) only
+    these points are asked for, and the work is their number times that of the distinct points.
     """
     def kernel(q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(h):
@@ -389,10 +390,11 @@ def distance_sums(points: DataFrame) -> DataFrame:
 
     merged = keep(merge_copies(points, "cluster"))
     all_in_one = merged.withColumn("part", F.lit(0))
-    found = block_join(all_in_one.select("pid", "x", "part"), all_in_one, {0: merged.count()}, kernel,
+    queries = merged.select("pid", "x", "cluster", "w") if asked is None else asked.withColumn("w", F.lit(1))
+    found = block_join(queries.select("pid", "x", F.lit(0).alias("part")), all_in_one, {0: merged.count()}, kernel,
                        "pid bigint, to_cluster int, total double")
     sums = found.groupBy("pid", "to_cluster").agg(F.sum("total").alias("total"))
-    return merged.select("pid", "w", "cluster").join(sums, "pid")
+    return queries.select("pid", "w", "cluster").join(sums, "pid")
 
 
 __all__ = ["divide", "merge_copies", "to_original", "neighbour_counts", "nearest",

@@ -141,6 +141,16 @@ def test_silhouettes(data, spark):
     assert abs(cluster_metrics.silhouette_squared(labelled).head()[0] - brute(d ** 2)) < 1e-9
 
 
+def test_sampled_silhouette_is_within_its_error(data):
+    _, _, df = data
+    labelled = df.withColumn("cluster", (F.col("x")[0] > 1.5).cast("int"))
+    exact = cluster_metrics.silhouette(labelled).head()[0]
+    some = cluster_metrics.silhouette_sampled(labelled, 60, 10).head()
+    assert 30 < some["n"] < 110 and 0 < some["error"] < 0.1 and abs(some["silhouette"] - exact) < 3.5 * some["error"]
+    whole = cluster_metrics.silhouette_sampled(labelled, 10_000).head()
+    assert abs(whole["silhouette"] - exact) < 1e-9 and whole["error"] == 0 and whole["n"] == df.count()
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     chain = [(i, i + 1) for i in range(100, 160)]
