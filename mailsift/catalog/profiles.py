@@ -9,6 +9,7 @@ from mailsift.catalog.inputs import featured, labelled, labelled_cte, prediction
 from mailsift.catalog.registry import query, r, rounded, with_emails, with_features
 from mailsift.functions import dates
 from mailsift.operators import cleaning, metrics, profiling
+from mailsift.session import cut_lineage, written
 from mailsift.sources import emails, table
 
 MEANS = ["subject_length", "body_length", "num_urls", "urgency_score", "financial_score"]
@@ -55,6 +56,21 @@ def _(spark, folder):
     return profiling.distinct_counts(featured(spark, folder), "sender_domain", "receiver_domain")
 
 
+@query("domain_sketches", with_features(
+    "SELECT 'sender_domain' AS column_name, count(DISTINCT sender_domain) AS n_distinct, true AS close, true AS same FROM featured UNION ALL "
+    "SELECT 'receiver_domain', count(DISTINCT receiver_domain), true, true FROM featured"))
+def _(spark, folder):
+    """Daily sketches of each class, stored and merged: within 5 % of the exact count, equal to one sketch of all rows."""
+    columns = ["sender_domain", "receiver_domain"]
+    mails = cut_lineage(featured(spark, folder).select(F.substring(F.col("date").cast("string"), 1, 10).alias("day"), "label", *columns))
+    merged = profiling.merged_distinct(written(profiling.distinct_sketches(mails, columns, ["day", "label"]), "sketches"))
+    direct = profiling.merged_distinct(profiling.distinct_sketches(mails, columns, [])).withColumnRenamed("n_distinct", "direct")
+    exact = profiling.distinct_counts(mails, *columns).withColumnRenamed("n_distinct", "exact")
+    return merged.join(direct, "column_name").join(exact, "column_name").select(
+        "column_name", F.col("exact").alias("n_distinct"), (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"),
+        (F.col("n_distinct") == F.col("direct")).alias("same"))
+
+
 @query("feature_overview", with_features(f"""
 SELECT {r('avg(subject_length)')} AS avg_subject_length, CAST(sum(subject_has_re_fwd) AS BIGINT) AS n_re_fwd,
   {r('avg(CAST(subject_has_re_fwd > 0 AS DOUBLE))')} AS share_re_fwd, {r('avg(body_length)')} AS avg_body_length,

@@ -170,3 +170,15 @@ def test_uniform_is_open_and_even(spark):
 def test_constant_column_has_no_correlation(table):
     got = {(r["x"], r["y"]): r["r"] for r in profiling.correlations(table.withColumn("k", F.lit(1.0)), ["a", "k"]).collect()}
     assert got[("a", "k")] is None and abs(got[("a", "a")] - 1) < 1e-12
+
+
+def test_sketches_of_days_merge_for_any_range(spark):
+    rows = spark.range(40000).select((F.col("id") % 10).alias("day"), F.when(F.col("id") % 7 > 0, F.col("id") % 9001).alias("v"))
+    daily = profiling.distinct_sketches(rows, ["v"], ["day"])
+    assert daily.count() == 10
+    for days in (range(10), (2, 3), (7,)):
+        part = rows.where(F.col("day").isin(*days))
+        exact = part.select("v").distinct().where("v IS NOT NULL").count()
+        merged = profiling.merged_distinct(daily.where(F.col("day").isin(*days))).head()["n_distinct"]
+        assert abs(merged - exact) <= 0.05 * exact
+        assert merged == profiling.merged_distinct(profiling.distinct_sketches(part, ["v"], [])).head()["n_distinct"]
