@@ -9,9 +9,12 @@ from mailsift.catalog.inputs import scans, scans_ctes
 from mailsift.catalog.features import SINGLE_SQL
 from mailsift.catalog.registry import B, S, columns, query, r, rounded, with_emails
 from mailsift.operators import features, models, scoring
+from mailsift.functions import seeded
 from mailsift.session import cut_lineage, scratch_path, use_utc
 from mailsift.sources import emails, sinks, table
-from mailsift.streaming import hourly_counts, read_emails, run_to_table, running_totals, score_stream, write_scans
+from mailsift.streaming import (
+    hourly_counts, last_by_sender, read_emails, read_output, run_to_table, running_totals, score_stream, sender_totals,
+    write_outputs, write_scans)
 
 
 @query("reject_empty", with_emails(f"SELECT email_id FROM emails WHERE {S} = '' AND {B} = ''"))
@@ -118,3 +121,38 @@ def _(spark, folder):
     found = score_stream(read_emails(spark, source, mails.schema), model, "Logistic Regression")
     write_scans(found, sink, f"{sink}-state").awaitTermination()
     return spark.read.parquet(sink)
+
+
+@query("stream_senders", f"""WITH {scans_ctes()}, s AS (SELECT coalesce(sender, '') AS sender, email_id, CAST(timestamp AS TIMESTAMP) AS timestamp, is_phishing,
+  count(*) OVER (PARTITION BY coalesce(sender, '')) AS total,
+  CAST(sum(CAST(is_phishing AS BIGINT)) OVER (PARTITION BY coalesce(sender, '')) AS BIGINT) AS threats,
+  row_number() OVER (PARTITION BY coalesce(sender, '') ORDER BY timestamp DESC NULLS LAST, email_id DESC) AS rank FROM scans)
+SELECT sender, total, threats, CAST(rank AS INT) AS rank, email_id, timestamp, is_phishing FROM s WHERE rank <= 3""")
+def _(spark, folder):
+    """The scan log, written once as files, read as a stream: totals and last scans of each sender."""
+    use_utc(spark)
+    source = scratch_path(spark, "scans-in")
+    log = scans(spark, folder).select("email_id", "timestamp", "sender", "probability", "is_phishing")
+    log.write.parquet(source)
+    live = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1000).parquet(source)
+    table_ = run_to_table(sender_totals(live), "update", "senders", ["sender"])
+    out = last_by_sender(table_)
+    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query("stream_outputs", f"""WITH {scans_ctes()}, m AS (SELECT email_id, {S} = '' AND {B} = '' AS empty FROM emails)
+SELECT 'scans' AS output, email_id FROM m WHERE NOT empty UNION ALL SELECT 'rejected', email_id FROM m WHERE empty
+UNION ALL SELECT 'threats', email_id FROM m JOIN scans USING (email_id) WHERE NOT empty AND is_phishing""")
+def _(spark, folder):
+    """The mails, written once as files, read as a stream into three tables that are committed together."""
+    source, sink = scratch_path(spark, "mail-in"), scratch_path(spark, "outputs")
+    mails = emails(spark, folder)
+    mails.write.parquet(source)
+    chance = F.round(seeded.uniform("scan", F.col("email_id")), 4)
+
+    def score(rows):
+        return rows.select("email_id", chance.alias("probability"), (chance >= 0.5).alias("is_phishing"))
+
+    write_outputs(read_emails(spark, source, mails.schema), score, sink, f"{sink}-state").awaitTermination()
+    parts = [read_output(spark, sink, name).select(F.lit(name).alias("output"), "email_id") for name in ("scans", "threats", "rejected")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
