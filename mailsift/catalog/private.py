@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailsift.catalog.inputs import app_points, predictions, predictions_ctes
+from mailsift import fixed
+from mailsift.catalog.inputs import app_features, app_points, predictions, predictions_ctes
 from mailsift.catalog.registry import laplace, query, r, rounded
-from mailsift.operators import metrics, prep, privacy
+from mailsift.operators import accounting, metrics, prep, privacy
 from mailsift.session import cut_lineage
 from mailsift.sources import table
 
@@ -72,3 +73,42 @@ def _(spark, folder):
     base = t.where("model = 'c'").select("accuracy").scalar()
     return rounded(t.withColumn("base", base).select(
         "model", privacy.accuracy_loss(F.col("base"), F.col("accuracy")).alias("loss_pct")))
+
+
+_SPENT = 1.0
+
+
+def _moment_sql(i: int, column: str, bound: float) -> str:
+    clip = f"greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {column}::DOUBLE / {bound}::DOUBLE))"
+    return (f"SELECT {i} AS i, {bound}::DOUBLE AS bound, count(*) AS n, sum({clip}) + {laplace('moments-sum', 9.0 / _SPENT, str(i))} AS s, "
+            f"sum({clip} * {clip}) + {laplace('moments-square', 9.0 / _SPENT, str(i))} AS q FROM lineitem")
+
+
+_CLIPPED = {"l_quantity": 32.0, "l_extendedprice": 65536.0, "l_discount": 0.125}
+
+
+@query("private_moments", "WITH s AS (" + " UNION ALL ".join(_moment_sql(i, c, b) for i, (c, b) in enumerate(_CLIPPED.items()))
+       + "), m AS (SELECT i, bound, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, s / n)) AS m, q / n AS v FROM s) SELECT CAST(i AS INT) AS i, "
+       + r("m * bound", 4) + " AS mean, " + r("sqrt(greatest(1e-12::DOUBLE, v - m * m)) * bound", 4) + " AS spread FROM m")
+def _(spark, folder):
+    lines = table(spark, folder, "lineitem").select(F.array(*[F.col(c).cast("double") for c in _CLIPPED]).alias("x"))
+    return rounded(accounting.private_moments(lines, list(_CLIPPED.values()), _SPENT), 4)
+
+
+def _raw_parts(spark, folder):
+    features = app_features(spark, folder).select(
+        "email_id", "label", F.array(*[F.col(c).cast("double") for c in fixed.APP_FEATURES]).alias("x"))
+    split = cut_lineage(prep.stratified_split(features, {"train": 0.8, "test": 0.2}))
+    return split.where("split = 'train'"), split.where("split = 'test'")
+
+
+@query("accounted_sweep")
+def _(spark, folder):
+    return privacy.accounted_sweep(*_raw_parts(spark, folder))
+
+
+@query("averaging_rounds")
+def _(spark, folder):
+    train, _ = _parts(spark, folder)
+    placed = prep.contiguous_parts(train, fixed.N_ORGANISATIONS, "email_id")
+    return privacy.averaging_rounds(placed, fixed.N_ORGANISATIONS)[1]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift import fixed
 from mailsift.functions import scores, seeded
-from mailsift.operators import logistic, metrics, prep
+from mailsift.operators import accounting, logistic, metrics, prep
 from mailsift.session import keep
 
 
@@ -118,6 +118,28 @@ def epsilon_sweep(train: DataFrame, test: DataFrame, epsilons: list[float] | Non
         "accuracy", "precision", "recall", "f1", accuracy_loss(F.col("base"), F.col("accuracy")).alias("loss_pct"))
 
 
+def accounted_sweep(train: DataFrame, test: DataFrame, epsilons: list[float] | None = None, scaling: float = 0.1,
+                    norm: float = fixed.DATA_NORM, seed: int = fixed.SEED, budget: float | None = None) -> DataFrame:
+    """The sweep on raw feature arrays ``x``, with all that it costs.
+
+    Scaling is private as well and paid once. ``epsilon_total`` is the cost of publishing that level alone, scaling
+    included; ``epsilon_published`` that of publishing all levels up to it. ``budget`` bounds the whole sweep. The losses
+    are against the plain fit on the same scaling.
+    """
+    epsilons = sorted(epsilons or fixed.EPSILONS)
+    books = accounting.Accountant(budget)
+    d = len(train.select("x").head()["x"])
+    scale = accounting.private_scaling(train, d, scaling, books, f"scaling-{seed}")
+    published = {}
+    for e in epsilons:
+        books.charge(f"fit {e}", e)
+        published[e] = books.total
+    table = epsilon_sweep(scale.apply(train), scale.apply(test), epsilons, norm, seed)
+    so_far = F.element_at(F.create_map(*[F.lit(v) for pair in published.items() for v in pair]), F.col("epsilon"))
+    return table.select("epsilon", F.lit(scaling).alias("epsilon_scaling"), (F.col("epsilon") + scaling).alias("epsilon_total"),
+                        so_far.alias("epsilon_published"), *[c for c in table.columns if c != "epsilon"])
+
+
 def accuracy_loss(base: Column, accuracy: Column) -> Column:
     return (base - accuracy) * 100
 
@@ -164,6 +186,56 @@ def averaged(train: DataFrame, test: DataFrame, organisations: int = fixed.N_ORG
     )
 
 
+def averaging_rounds(train: DataFrame, organisations: int, c: float = 1.0, proximal: float = 0.01, tolerance: float = 1e-6,
+                     max_rounds: int = 100) -> tuple[np.ndarray, DataFrame]:
+    """(weights, round table) of averaging over rounds that start from the global weights.
+
+    ``train`` has x, label and ``org_id`` (0 to ``organisations`` - 1, of any sizes). In a round every organisation
+    starts from the global weights and answers the pooled gradient with a proximal step of its own fit: its curvature plus
+    ``proximal`` holds it near the start. The steps are averaged by size, made conjugate to the round before, and taken
+    as far as the curvatures along them say, one number an organisation. Averaging the organisations' own optima would
+    settle beside the pooled one where they are uneven; these rounds stop only there. One pass over the rows serves all
+    organisations; the driver holds (d+1)^2 numbers for each. A round that raises the loss is undone and taken half as far.
+    The table has (round, loss, gradient, moved), one row a pass.
+    """
+    rows = keep(train.select(
+        F.concat("x", F.array(F.lit(1.0))).alias("x"), F.col("label").cast("int").alias("label"),
+        F.col("org_id").cast("int").alias("model")))
+    sizes = np.zeros(organisations)
+    for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["model"]] = r["n"]
+    n, d = sizes.sum(), len(rows.head()["x"])
+    l2 = np.append(np.full(d - 1, 1.0 / (c * n)), 0.0)
+    present = [o for o in range(organisations) if sizes[o]]
+    best, value, gradient, answer, way = np.zeros(d), math.inf, None, None, None
+    trial, far, passes = best, 1.0, []
+    for at in range(1, max_rounds + 1):
+        sums = logistic.step_sums(rows, np.tile(trial, (organisations, 1)), own_model=True)
+        total = sum(sums.values()) / n
+        loss = total[0] + 0.5 * float(trial @ (l2 * trial))
+        moved = float(np.abs(trial - best).max())
+        if loss > value + 1e-12 * abs(value):
+            far /= 2
+        else:
+            best, value = trial, loss
+            last_gradient, last_answer, gradient = gradient, answer, total[1:1 + d] + l2 * trial
+            curves = {o: sums[o][1 + d:].reshape(d, d) / sizes[o] + np.diag(l2) for o in present}
+            answer = sum(sizes[o] / n * np.linalg.solve(curves[o] + proximal * np.eye(d), gradient) for o in present)
+            bend = 0.0 if way is None else max(0.0, answer @ (gradient - last_gradient) / (last_answer @ last_gradient))
+            way = -answer if way is None else bend * way - answer
+            if way @ gradient >= 0:
+                way = -answer
+            along = sum(sizes[o] / n * float(way @ curves[o] @ way) for o in present)
+            far = -float(gradient @ way) / max(along, 1e-300)
+        largest = float(np.abs(gradient).max())
+        passes.append((at, float(loss), largest, moved))
+        if largest < tolerance:
+            rows.unpersist()
+            return best, train.sparkSession.createDataFrame(passes, "round int, loss double, gradient double, moved double")
+        trial = best + far * way
+    raise RuntimeError(f"the organisations did not settle in {max_rounds} rounds")
+
+
 def compare_methods(sweep: DataFrame, baseline: float | Column, averaged_accuracy: float | Column) -> DataFrame:
     """(method, privacy, accuracy): plain, three privacy levels, averaged."""
     value = lambda v: v if isinstance(v, Column) else F.lit(float(v))

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from mailsift.operators import cluster_metrics, logistic, metrics, models, prep, privacy, profiling
+from mailsift.operators import accounting, cluster_metrics, logistic, metrics, models, prep, privacy, profiling
 from mailsift.functions import seeded
 
 
@@ -182,3 +182,56 @@ def test_sketches_of_days_merge_for_any_range(spark):
         merged = profiling.merged_distinct(daily.where(F.col("day").isin(*days))).head()["n_distinct"]
         assert abs(merged - exact) <= 0.05 * exact
         assert merged == profiling.merged_distinct(profiling.distinct_sketches(part, ["v"], [])).head()["n_distinct"]
+
+
+def test_budget_adds_up(spark):
+    books = accounting.Accountant(1.0)
+    books.charge("a", 0.3)
+    books.charge_disjoint("parts", [0.1, 0.4])
+    assert [tuple(r) for r in books.table(spark).collect()] == [("a", 0.3, 0.3), ("parts", 0.4, 0.7)]
+    for wrong in (0.31, 0.0, float("nan")):
+        with pytest.raises(ValueError):
+            books.charge("b", wrong)
+    assert abs(books.total - 0.7) < 1e-12
+
+
+def test_private_scaling(spark):
+    """Bounds fit the values, moments are near the true ones, and their noise has the stated scale."""
+    df = spark.range(20000).select(F.array(
+        seeded.uniform("a", F.col("id")) * 100, seeded.uniform("b", F.col("id")) - 0.5, F.lit(float("nan"))).alias("x"))
+    books = accounting.Accountant()
+    scaling = accounting.private_scaling(df, 3, 3.0, books)
+    assert abs(books.total - 3.0) < 1e-12
+    assert [p[0] for p in scaling.parts] == [128.0, 0.5, 2.0 ** accounting.LEAST_POWER]
+    assert abs(scaling.parts[0][1] - 50) < 2 and abs(scaling.parts[0][2] - 28.9) < 2
+    m = scaling.apply(df).agg(F.avg(F.get("x", F.lit(0))), F.stddev_pop(F.get("x", F.lit(1)))).head()
+    assert abs(m[0]) < 0.1 and abs(m[1] - 1) < 0.1
+    zero = spark.range(10).select(F.array(*[F.lit(0.0)] * 400).alias("x"))
+    noise = [r["mean"] * 10 for r in accounting.private_moments(zero, [1e6] * 400, 1200.0).collect()]
+    shares = np.array(noise) / 1e6
+    assert abs(np.abs(shares).mean() - 1.0) < 0.2
+    empty = accounting.private_moments(df.limit(0), [1.0, 1.0, 1.0], 1.0)
+    assert empty.count() == 0 and accounting.Scaling([1.0], empty).parts == [(1.0, 0.0, 1.0)]
+
+
+def test_sweep_with_its_whole_cost(table):
+    raw = table.select("email_id", "label", F.array(F.col("a") * 7 + 3, "b", "c").alias("x"))
+    split = prep.stratified_split(raw, {"train": 0.8, "test": 0.2}).persist()
+    train, test = split.where("split='train'"), split.where("split='test'")
+    got = privacy.accounted_sweep(train, test, [100.0, 200.0], scaling=50.0).orderBy("epsilon").collect()
+    assert [(r.epsilon_total, r.epsilon_published) for r in got] == [(150.0, 150.0), (250.0, 350.0)]
+    assert all(r.accuracy > 0.8 for r in got)
+    with pytest.raises(ValueError):
+        privacy.accounted_sweep(train, test, [100.0, 200.0], scaling=50.0, budget=349.0)
+
+
+def test_rounds_reach_the_pooled_optimum(table):
+    """Organisations of very different sizes and mixes: one holds four rows, one nearly one class only, one nothing."""
+    rows = table.select("email_id", "label", F.array("a", "b", "c").alias("x"), F.expr(
+        "CASE WHEN email_id < 4 THEN 0 WHEN label = 1 AND email_id % 10 > 0 THEN 1 WHEN a > 1 THEN 2 ELSE 3 END").alias("org_id"))
+    weights, rounds = privacy.averaging_rounds(rows, 5, tolerance=1e-8)
+    assert np.allclose(weights, privacy.plain_fit(rows), atol=1e-5)
+    table_ = rounds.orderBy("round").collect()
+    assert table_[-1]["gradient"] < 1e-8 and table_[-1]["loss"] <= table_[0]["loss"]
+    with pytest.raises(RuntimeError):
+        privacy.averaging_rounds(rows, 5, tolerance=1e-8, max_rounds=2)
