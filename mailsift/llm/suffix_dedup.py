@@ -6,17 +6,19 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere, i
    of equals, is the window's anchor. Equal windows have the same anchor at the same offset, so only
    suffixes at anchors need sorting, about one in 128. Neighbouring windows of one anchor form a segment.
 2. Segments meet by their anchor's hash; counts combine before the shuffle. An anchor that occurs once ends
-   here. If all segments of an anchor are equal (64-bit keyed digests of whole segments), they are covered.
-   Otherwise equal segments are counted, and one of each kind goes on with its bytes.
+   here. Segments count as equal if 128-bit BLAKE2 digests of their bytes are. If all segments of an anchor
+   are equal, they are covered. Otherwise equal ones are counted, and one of each kind goes on with its bytes.
 3. Suffix sort. The kinds of an anchor are sorted by the text from the anchor on, and by the text before it
    read backwards: a mergesort whose comparisons find the common extension of two suffixes by binary search
    on prefix polynomial hashes, which the bytes then verify. Common extensions of neighbours in both orders
    give those of any two kinds as running minima; left and right extension together of ``length`` or more
    are the shared windows.
-4. An anchor with more kinds than LARGEST is not sorted in a task. Its segments are cut into runs of RUN
-   windows; the bytes that all windows of a run share are counted by digest, and only runs whose core
-   repeats are counted window by window. That is exact as well, and linear.
-5. Ranges are joined to the texts, merged, and cut out. Texts are shuffled once, for steps 3 to 5 together.
+4. An anchor with more kinds than LARGEST is split by content: two kinds that share a window agree in half of what a
+   window holds beside its anchor, either right or left of it, so they meet by the digest of the one or of the other and
+   are sorted there. Where even that leaves more than LARGEST, segments are cut into runs of RUN windows; the bytes that
+   all windows of a run share are counted by digest, and only runs whose core repeats are counted window by
+   window. That is exact as well, and linear.
+5. Ranges are merged, joined to the texts, and cut out, so that a text gathers its maximal runs and not its segments.
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than ``length`` stay whole; of
 repeated rows each counts as an occurrence, so all their windows go; null ids are kept. Very long texts are
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mailsift.llm.common import slices, small_batches, written
 from mailsift.operators.skew import hot_keys, join_facts
@@ -40,7 +42,7 @@ LENGTH = 400
 #: Bytes of an anchor at the standard length. A shorter one gives fewer anchors and larger groups.
 GRAM = 145
 #: Kinds of segment that one task sorts for an anchor, and windows of a run beyond that.
-LARGEST, RUN = 4096, 32
+LARGEST, RUN = 512, 32
 #: Window starts worked on at once.
 PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -113,11 +115,11 @@ def segments_of(data: np.ndarray, bounds: np.ndarray, hasher: Hasher, length: in
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _digest(data) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _digest(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-SEGMENTS = "id bigint, tie bigint, anchor bigint, digest bigint, start bigint, windows int, lead int"
+SEGMENTS = "id bigint, tie bigint, anchor bigint, digest binary, start bigint, windows int, lead int"
 
 
 def segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -137,7 +139,7 @@ def segments(rows: DataFrame, length: int, gram: int) -> DataFrame:
             offset = start - np.append(0, ends)[row]
             taken = pa.array(row)
             columns = [part.column(0).take(taken), part.column(1).take(taken), pa.array(hashes.view(np.int64)),
-                       pa.array(digests, pa.int64()), pa.array(offset), pa.array(windows.astype(np.int32)),
+                       pa.array(digests, pa.binary()), pa.array(offset), pa.array(windows.astype(np.int32)),
                        pa.array((anchor - start).astype(np.int32))]
             for lot in pa.Table.from_arrays(columns, ["id", "tie", "anchor", "digest", "start", "windows", "lead"]).to_batches(20_000):
                 yield lot
@@ -290,6 +292,46 @@ def _counted_runs(docs: DataFrame, kinds: DataFrame, length: int, run_windows: i
     return found.where("total > 1").select("id", "tie", "start", (F.col("start") + length).alias("stop"))
 
 
+def _sorted_ranges(pieces: DataFrame, group: str, length: int) -> DataFrame:
+    """Ranges that kinds with the same value of ``group`` share, by suffix sort."""
+    rows = pieces.select(group, "id", "tie", "start", "lead", "n", "bytes")
+    return rows.repartition(group).sortWithinPartitions(group).mapInArrow(_sort_groups(length), RANGES)
+
+
+def _large_groups(docs: DataFrame, kinds: DataFrame, length: int, gram: int, largest: int, run_windows: int) -> DataFrame:
+    """Ranges of kinds whose anchor has more than ``largest``, met by the half of a window right or left of the anchor.
+
+    A kind is in two groups at most. One without so many bytes on a side shares no such half with any other.
+    """
+    half = (length - gram + 1) // 2
+    named = ["anchor", "lead", "n", "windows"]
+    pieces = written(_text_pieces(docs, kinds, named), "large")
+    right = F.substring("bytes", F.col("lead") + (gram + 1), F.lit(half))
+    left = F.when(F.col("lead") >= half, F.substring("bytes", F.col("lead") - (half - 1), F.lit(half)))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), right.alias("half")), F.struct(F.lit(1).alias("side"), left.alias("half"))))
+    keyed = pieces.select("id", "tie", "start", *named, sides.alias("s"), "bytes").where(F.octet_length("s.half") == half).select(
+        "id", "tie", "start", *named, F.xxhash64("anchor", "s.side", F.sha2("s.half", 256)).alias("key"), "bytes")
+    keyed = written(keyed, "halves")
+    groups = written(keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n") == 1, 1)).alias("single")), "half-groups")
+    met = join_facts(keyed, groups.where("n > 1 AND single > 0").select("key", F.col("n").alias("group")), "key", hot_keys(groups, "key"))
+    ranges = _sorted_ranges(met.where(F.col("group") <= largest), "key", length)
+    still = met.where(F.col("group") > largest).select("id", "tie", "start", *named).distinct()
+    if still.isEmpty():
+        return ranges
+    return ranges.unionByName(_counted_runs(docs, written(still, "still-large"), length, run_windows))
+
+
+def merged(ranges: DataFrame, text: list[str]) -> DataFrame:
+    """The maximal runs of each text's ranges (start, stop); repeated ranges are dropped before they are shuffled."""
+    distinct = ranges.groupBy(*text, "start").agg(F.max("stop").alias("stop"))
+    inner = Window.partitionBy(*text).orderBy("start")
+    seen = F.max("stop").over(inner.rowsBetween(Window.unboundedPreceding, -1))
+    marked = distinct.withColumn("opens", (F.coalesce(seen, F.lit(-1)) < F.col("start")).cast("int"))
+    runs = marked.withColumn("run", F.sum("opens").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*text, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
 def _cut(length: int):
     """Texts without their ranges."""
 
@@ -332,11 +374,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
     anchors = written(anchors.where("n > 1").select("anchor", "n", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
     met = join_facts(found, anchors.select("anchor", "mixed"), "anchor", hot_keys(anchors, "anchor")).where("mixed IS NOT NULL")
-    met = written(met.withColumn("kind", F.xxhash64("anchor", "digest")), "repeated")
+    met = written(met, "repeated")
     mixed = met.where("mixed")
-    kinds = mixed.groupBy("anchor", "digest", "kind").agg(
+    kinds = mixed.groupBy("anchor", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tie", "start", "windows", "lead")).alias("one")).select(
-        "anchor", "kind", "n", "one.*")
+        "anchor", "digest", "n", "one.*")
     kinds = written(kinds, "kinds")
     per_anchor = written(kinds.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n") == 1, 1)).alias("single")), "groups")
@@ -345,18 +387,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     sized = written(sized.withColumn("size", F.col("windows") + (length - 1)), "sized")
     whole = F.col("start") + F.col("windows") + (length - 1)
     equal = met.where("NOT mixed").select("id", "tie", "start", whole.alias("stop"))
-    copies = join_facts(mixed, kinds.where("n > 1").select("kind", "n"), "kind", hot_keys(kinds, "kind")).where(
+    copies = join_facts(mixed, kinds.where("n > 1").select("digest", "n"), "digest", hot_keys(kinds, "digest")).where(
         "n > 1").select("id", "tie", "start", whole.alias("stop"))
     covered = written(equal.unionByName(copies), "covered")
     pieces = _text_pieces(docs, sized.where(F.col("group") <= largest), ["anchor", "lead", "n"])
-    sorted_ranges = pieces.select("anchor", "id", "tie", "start", "lead", "n", "bytes").repartition("anchor").sortWithinPartitions(
-        "anchor").mapInArrow(_sort_groups(length), RANGES)
-    ranges = covered.unionByName(sorted_ranges)
+    ranges = covered.unionByName(_sorted_ranges(pieces, "anchor", length))
     many = sized.where(F.col("group") > largest)
     if not many.isEmpty():
-        ranges = ranges.unionByName(_counted_runs(docs, many, length, run_windows))
-    listed = ranges.groupBy(F.coalesce("id", F.lit(0)).alias("id0"), "tie").agg(
-        F.collect_set(F.struct("start", "stop")).alias("spans"))
+        ranges = ranges.unionByName(_large_groups(docs, many, length, gram, largest, run_windows))
+    listed = merged(ranges.select(F.coalesce("id", F.lit(0)).alias("id0"), "tie", "start", "stop"), ["id0", "tie"]).groupBy(
+        "id0", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = docs.join(listed.hint("shuffle_hash"), ["id0", "tie"], "left").select("id", "raw", "spans").mapInArrow(
         _cut(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return cut.withColumnRenamed("id", key)

@@ -188,6 +188,26 @@ def test_repeats(spark, seed, alphabet, largest):
     assert suffix_dedup.remove_repeats(frame(spark, []), length=40).count() == 0
 
 
+def test_large_groups_are_split_by_content(spark):
+    """Many surroundings of one anchor, of which a few share windows to the left, to the right, or across it."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    middle, right, left = word(14), word(30), word(30)
+    texts = [word(40) + middle + word(40) for _ in range(60)]
+    texts += [word(40) + middle + right + word(9) for _ in range(5)] + [word(9) + left + middle + word(40) for _ in range(5)]
+    texts += [word(20) + left[-13:] + middle + right[:13] + word(20) for _ in range(4)]
+    want = sorted(plain_cut([t.encode() for t in texts], 40))
+    for largest in (1, 8):
+        got = suffix_dedup.remove_repeats(frame(spark, list(enumerate(texts))), length=40, gram=14, largest=largest, run_windows=8)
+        assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
+
+
+def test_ranges_are_merged_before_they_are_gathered(spark):
+    rows = [(1, s, s + 10) for s in range(0, 5000, 5)] + [(1, 6000, 6010), (1, 6000, 6004), (1, 6011, 6012), (2, 0, 1), (2, 0, 1), (2, 1, 3)]
+    got = suffix_dedup.merged(spark.createDataFrame(rows, "id bigint, start bigint, stop bigint"), ["id"])
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 5005), (1, 6000, 6010), (1, 6011, 6012), (2, 0, 3)]
+
+
 def test_repeats_across_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     data = np.frombuffer(pieces(9, "abc", 30)[0].encode() * 5, np.uint8)
