@@ -36,6 +36,8 @@ from mailsift.operators.skew import hot_keys, join_facts
 
 LEAST_REVISIT = 1000
 SHARD_BYTES, ROLL_BYTES = 16 << 20, 8 << 20
+#: Shards at most: a larger archive has larger shards, still rolled into files of ROLL_BYTES. Compressed bytes of a reading task.
+MOST_SHARDS, READ_BYTES = 16_384, 16 << 20
 #: The date of every record, unless the caller names another: a fixed one keeps files reproducible.
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,9 +144,10 @@ def _writer(folder: str, roll_bytes: int, date: str):
     return run
 
 
-def _shard_starts(rows: DataFrame, shard_bytes: int) -> list[int]:
-    """First keys of the second and later shards; as many as the payload bytes hold shards, so a short list."""
+def _shard_starts(rows: DataFrame, shard_bytes: int, most: int = MOST_SHARDS) -> list[int]:
+    """First keys of the second and later shards; of at least ``shard_bytes``, and so large that ``most`` suffice."""
     sizes = rows.where("key IS NOT NULL").groupBy("key").agg(F.sum("size").alias("size"))
+    shard_bytes = max(shard_bytes, -(-(rows.agg(F.sum("size")).head()[0] or 0) // most))
     before = running_totals(sizes, "key", ["size"]).select(
         "key", F.floor((F.col("cum_size") - F.col("size")) / shard_bytes).alias("shard"))
     starts = before.groupBy("shard").agg(F.min("key").alias("start"))
@@ -233,8 +236,11 @@ def parse(member: bytes) -> dict | None:
             "payload": payload if kind == "response" else None}
 
 
-def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of all files of the manifest; the payload of a revisit is null, its size and digest are full."""
+def read(spark: SparkSession, folder: str, payloads: bool = True, task_bytes: int = READ_BYTES) -> DataFrame:
+    """The records of all files of the manifest; the payload of a revisit is null, its size and digest are full.
+
+    Files are dealt to as many tasks as the archive holds ``task_bytes``, whatever the number of shuffle partitions.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
@@ -252,5 +258,6 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                         rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    names = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("name")
-    return names.repartition("name").mapInArrow(run, RECORDS)
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("name", "shard", "seq", "bytes")
+    tasks = -(-(files.agg(F.sum("bytes")).head()[0] or 1) // task_bytes)
+    return files.repartitionByRange(tasks, "shard", "seq").select("name").mapInArrow(run, RECORDS)

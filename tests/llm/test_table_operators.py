@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import corpus_pipeline
 from mailsift.llm import bpe, quality, queries, secrets, sharding, simhash, toxicity, warc
@@ -162,6 +162,8 @@ def test_warc_is_deterministic(spark):
         folder = scratch_path(spark, "warc-same")
         rows = warc.write(pages(spark, parts)[1], folder, shard_bytes=30_000, roll_bytes=2_000)
         files.append(sorted((r.name, r.records, r.bytes, r.sha256) for r in rows.collect()))
+        spread = warc.read(spark, folder, task_bytes=10_000)
+        assert spread.rdd.getNumPartitions() > 1 and spread.exceptAll(warc.read(spark, folder)).count() == 0
         names = set(os.listdir(folder.removeprefix("file:")))
         assert names >= {f[0] for f in files[-1]} | {"manifest"}
     assert files[0] == files[1]
@@ -194,6 +196,8 @@ def test_classifier(spark, module, label, back):
     got = module.score(odd, model, ["doc_id"]).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert module.score(odd.limit(0), model, ["doc_id"]).count() == 0
+    few = labels.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("doc_id"))).where("_n <= 4")
+    assert 0 <= module.score(odd, module.fit(docs, few, F.lit(False)), ["doc_id"]).agg(F.min("score")).head()[0] <= 1
     none = module.fit(docs, labels.limit(0), held_out(*back))
     assert {r.score for r in module.score(odd, none, ["doc_id"]).collect()} == {0.0 if module is toxicity else 0.5}
 
