@@ -42,7 +42,7 @@ LENGTH = 400
 #: Bytes of an anchor at the standard length. A shorter one gives fewer anchors and larger groups.
 GRAM = 145
 #: Kinds of segment that one task sorts for an anchor, and windows of a run beyond that.
-LARGEST, RUN = 512, 32
+LARGEST, RUN = 4096, 32
 #: Window starts worked on at once.
 PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -280,13 +280,16 @@ def _counted_runs(docs: DataFrame, kinds: DataFrame, length: int, run_windows: i
                        F.lit(length - run_windows + 1).alias("size"))
     named = ["anchor", "n", "run", "base", "lead", "low", "high"]
     cores = _text_pieces(docs, runs, named).withColumn("key", F.xxhash64("anchor", "run", F.sha2("bytes", 256))).drop("bytes")
+    cores = written(cores, "cores")
     counts = cores.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n"))
     again = join_facts(cores, counts.where("total > 1").select("key", "total"), "key", hot_keys(counts, "key")).where("total > 1")
+    again = written(again, "repeated-cores")
     windows = again.select("id", "tie", "anchor", "n", "lead", "base", F.explode(F.sequence("low", "high")).alias("w")).select(
         "id", "tie", "anchor", "n", (F.col("base") + F.col("w")).cast("bigint").alias("start"),
         F.lit(length).alias("size"), (F.col("lead") - F.col("w")).alias("offset"))
     each = _text_pieces(docs, windows, ["anchor", "n", "offset"]).select(
         "id", "tie", "start", "n", F.xxhash64("anchor", "offset", F.sha2("bytes", 256)).alias("key"))
+    each = written(each, "windows")
     counts = each.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n"))
     found = join_facts(each, counts.where("total > 1").select("key", "total"), "key", hot_keys(counts, "key"))
     return found.where("total > 1").select("id", "tie", "start", (F.col("start") + length).alias("stop"))
@@ -315,11 +318,12 @@ def _large_groups(docs: DataFrame, kinds: DataFrame, length: int, gram: int, lar
     groups = written(keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n") == 1, 1)).alias("single")), "half-groups")
     met = join_facts(keyed, groups.where("n > 1 AND single > 0").select("key", F.col("n").alias("group")), "key", hot_keys(groups, "key"))
-    ranges = _sorted_ranges(met.where(F.col("group") <= largest), "key", length)
+    met = written(met, "met-halves")
+    ranges = written(_sorted_ranges(met.where(F.col("group") <= largest), "key", length), "half-ranges")
     still = met.where(F.col("group") > largest).select("id", "tie", "start", *named).distinct()
     if still.isEmpty():
         return ranges
-    return ranges.unionByName(_counted_runs(docs, written(still, "still-large"), length, run_windows))
+    return ranges.unionByName(written(_counted_runs(docs, written(still, "still-large"), length, run_windows), "run-ranges"))
 
 
 def merged(ranges: DataFrame, text: list[str]) -> DataFrame:
