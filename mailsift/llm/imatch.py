@@ -5,8 +5,8 @@ that is, whose inverse document frequency does. At most (mean distinct terms of
 terms can be in the band, however large the corpus, so it is broadcast; its size is checked before.
 
 Fingerprint: the distinct lexicon terms of a text, sorted, are hashed once as a whole and then within
-randomised subsets of the lexicon. A subset is given by a seed and a level: level l keeps each term with
-probability 4^-l. A coarse subset changes with nearly every edit, a fine one only if the edit touches its
+randomised subsets of the lexicon, in the same order. A subset is given by a seed and a level: level l keeps each
+term with probability 4^-l. A coarse subset changes with nearly every edit, a fine one only if the edit touches its
 few terms, so of the finest subsets that still hold a term about as many agree as the texts share terms.
 
 Likeness (0 to 1): among the subsets of a level that hold a term of either text, the share whose hashes
@@ -14,7 +14,8 @@ agree; of the levels with enough such subsets the highest, else over all subsets
 have 1.
 
 Counting terms combines in tasks and again before the shuffle, so a term of all documents costs one row a
-task. Fingerprinting is row by row. The neighbour probe moves each text once, by ranges of ids.
+task. Fingerprinting is row by row. The neighbour probe moves each text once, by ranges of ids that hold about
+PART_BYTES of text each.
 
 Defined cases: a null text is empty; a text without a lexicon term is fingerprinted by all its terms, and
 one without any term by its characters; ties of ids are ordered by a hash of the text; null ids come first.
@@ -46,7 +47,10 @@ _COUNTED = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEED = (np.arange(1, SEEDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+_BORDERS = np.arange(SEEDS + 1)
 _HASHES = 1 + SEEDS * LEVELS
+#: Text bytes of a part of the neighbour probe.
+PART_BYTES = 64 << 20
 
 
 def terms(text: str) -> set[str]:
@@ -80,16 +84,16 @@ class Lexicon:
         drawn = _mixed(h[None, :] ^ _SEED).ravel()
         kept = np.flatnonzero(drawn >> np.uint64(62) == 0)
         drawn, seed = drawn[kept], kept // len(h)
-        value = _mixed(drawn)
+        out[1:] = 0
         for level in range(1, LEVELS + 1):
             if level > 1:
                 deeper = drawn >> np.uint64(64 - 2 * level) == 0
-                drawn, seed, value = drawn[deeper], seed[deeper], value[deeper]
-            total = np.zeros(SEEDS, np.uint64)
-            np.add.at(total, seed, value)
-            held = np.bincount(seed, minlength=SEEDS) > 0
-            out[1 + (level - 1) * SEEDS:1 + level * SEEDS] = np.where(
-                held, np.maximum(_mixed(total) >> np.uint64(40), np.uint64(1)), 0)
+                drawn, seed = drawn[deeper], seed[deeper]
+            borders = (8 * np.searchsorted(seed, _BORDERS)).tolist()
+            data, base = drawn.tobytes(), 1 + (level - 1) * SEEDS
+            for i, (a, b) in enumerate(zip(borders, borders[1:])):
+                if b > a:
+                    out[base + i] = xxhash.xxh64_intdigest(data[a:b]) >> 40 or 1
         return out
 
 
@@ -157,9 +161,13 @@ def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     spark = df.sparkSession
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, count = rows.agg(F.sum(F.octet_length("text").cast("bigint")), F.count(F.lit(1))).head()
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // PART_BYTES))
+    mean = max(1, (total or 0) // max(1, count))
+    # A key counts once for each mean length of its text, so shares of the counts are shares of the bytes.
+    weighed = rows.select("key", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / mean))))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    starts = sorted(set(rows.agg(F.percentile_approx("key", shares, 8 * parts)).head()[0] or []))
+    starts = sorted(set(weighed.agg(F.percentile_approx("key", shares, 8 * parts)).head()[0] or []))
     rows = rows.withColumn("part", F.coalesce(range_of(F.col("key"), starts) if starts else F.lit(0), F.lit(0)).cast("bigint")
                            ).withColumn("tie", F.xxhash64("text"))
     least = F.min(F.struct(F.col("key").isNotNull().alias("has"), "key", "tie"))

@@ -138,6 +138,66 @@ def test_imatch_probe(spark):
     assert sum(r.near_edited > r.near_next for r in long) > 0.9 * len(long)
 
 
+def plain_imatch(text, lexicon):
+    """Subset hashes of a text, term by term with whole numbers."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def digest(hashes):
+        return xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little") for h in hashes)) >> 40 or 1
+
+    found = {w for w in re.findall(r"[^\W_]+", text.lower())}
+    hashes = [xxhash.xxh64_intdigest(w) for w in sorted(found & lexicon) or sorted(found) or [text]]
+    out = [digest(hashes)]
+    for level in range(1, imatch.LEVELS + 1):
+        for seed in range(1, imatch.SEEDS + 1):
+            drawn = [mix(h ^ (seed * 0x9E3779B97F4A7C15 & mask)) for h in hashes]
+            kept = [d for d in drawn if d < 1 << (64 - 2 * level)]
+            out.append(digest(kept) if kept else 0)
+    return out
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    pairs = [[(x, y) for x, y in zip(a[i:i + imatch.SEEDS], b[i:i + imatch.SEEDS]) if x or y]
+             for i in range(1, len(a), imatch.SEEDS)]
+    agree = [sum(x == y for x, y in level) for level in pairs]
+    shares = [n / len(level) for n, level in zip(agree, pairs) if len(level) >= imatch.ENOUGH]
+    if shares:
+        return max(shares)
+    return sum(agree) / sum(map(len, pairs)) if any(pairs) else 0.0
+
+
+def test_imatch_as_plain(spark, monkeypatch):
+    """Lexicon, fingerprints and likeness of every row, whatever the number of parts."""
+    monkeypatch.setattr(imatch, "PART_BYTES", 1 << 10)
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.choice([1, 5, 60, 400]))) for i in range(40)] + [(50, None), (51, "!?"), (52, "zz zz")]
+    rows.append((53, rows[7][1]))
+    df = frame(spark, rows)
+    sets = [set(re.findall(r"[^\W_]+", (t or "").lower())) for _, t in rows]
+    counts = {w: sum(w in s for s in sets) for w in set().union(*sets)}
+    band = {w for w, n in counts.items() if 0.05 * len(rows) <= n <= 0.5 * len(rows)}
+    lex = imatch.lexicon(df, least=0.05)
+    assert set(lex.position) == band and 0 < len(band) < len(counts)
+    got = {r.doc_id: r for r in imatch.probe(df, lex).collect()}
+    marks = [plain_imatch(t or "", band) for _, t in rows]
+    for i, (key, text) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        k = len(text) // 4
+        other = plain_imatch(text[:len(text) - k] + after[:k], band)
+        r = got[key]
+        assert r.fingerprint == "".join(f"{x:06x}" for x in marks[i])
+        assert r.edited_fingerprint == "".join(f"{x:06x}" for x in other)
+        assert r.near_edited == plain_likeness(marks[i], other)
+        assert r.near_next == plain_likeness(marks[i], marks[(i + 1) % len(rows)])
+
+
 def test_imatch_ties_and_empty(spark):
     df = frame(spark, [(1, "a b"), (1, "c d"), (1, "a b"), (None, "e f")])
     lex = imatch.lexicon(df)
