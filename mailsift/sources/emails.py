@@ -46,9 +46,21 @@ LEFT JOIN label_rows l ON l.doc_id = d.doc_id
 LABEL_ROWS = "SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id"
 
 
-def emails(spark: SparkSession, folder: str) -> DataFrame:
+#: Session setting with the same meaning as ``partitions`` of :func:`emails`.
+PARTITIONS = "mailsift.emails.partitions"
+
+
+def emails(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
+    """``partitions`` deals the documents by id before anything is derived from them.
+
+    It is for files of few, large row groups, which Spark cannot split; the texts are shuffled once for it.
+    Without it, and without the session's setting, they are read as stored.
+    """
     use_utc(spark)
     docs, events, labels = (table(spark, folder, n) for n in ("documents", "events", "labels"))
+    partitions = partitions or int(spark.conf.get(PARTITIONS, "0"))
+    if partitions:
+        docs = docs.repartition(partitions, "doc_id")
     sql = f"WITH slot_events AS ({slot_events_sql('DIV', 'min_by', 'DECIMAL(38, 0)')}), label_rows AS ({LABEL_ROWS}) {EMAILS}"
     for name in ("documents", "events", "labels"):
         sql = sql.replace(f"FROM {name}", "FROM {" + name + "}").replace(f"JOIN {name}", "JOIN {" + name + "}")
