@@ -86,3 +86,17 @@ def test_profiles_disagree_where_they_should(spark):
     assert (app["num_urls"], one["num_urls"]) == (2, 1)
     assert (app["financial_score"], one["financial_score"]) == (0, 1)
     assert (one["hour_of_day"], one["is_night"], one["has_attachment"]) == (12, 0, 0)
+
+
+def test_mails_dealt_to_more_tasks_are_the_same(spark, folder):
+    from mailsift.sources.emails import PARTITIONS, emails
+    plain, dealt = emails(spark, folder), emails(spark, folder, partitions=3)
+    assert plain.count() == dealt.count() and plain.exceptAll(dealt).isEmpty()
+    shuffled = "REPARTITION_BY_NUM"
+    read = lambda df: df._jdf.queryExecution().toString()
+    assert shuffled not in read(plain) and shuffled in read(dealt)
+    spark.conf.set(PARTITIONS, "3")
+    try:
+        assert shuffled in read(emails(spark, folder))
+    finally:
+        spark.conf.unset(PARTITIONS)
