@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailsift.functions import seeded
+from mailsift.session import written
+
 
 def range_levels(df: DataFrame) -> int:
     """Borders are 2**levels - 1: about twice the shuffle partitions, so the sorts spread evenly."""
@@ -24,7 +26,8 @@ def with_value_bucket(df: DataFrame, value: str, levels: int | None = None) -> D
     """``_bucket`` grows with ``value``; borders are percentiles of the values at hand.
 
     The bucket is the number of borders below the value, found by halving: one step per level,
-    each a plain projection inside the same generated stage.
+    each a plain projection inside the same generated stage. Approximate percentiles depend on the order in which
+    tasks finish, so the borders are stored: whatever reads the result, in one plan or in several, sees the same buckets.
     """
     levels = levels or range_levels(df)
     ranges = 2 ** levels
@@ -32,7 +35,7 @@ def with_value_bucket(df: DataFrame, value: str, levels: int | None = None) -> D
         F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), ranges * 4)
         .alias("b")
     )
-    out = df.withColumns({"_borders": borders.scalar(), "_bucket": F.lit(0)})
+    out = df.withColumns({"_borders": written(borders, "borders").scalar(), "_bucket": F.lit(0)})
     for level in reversed(range(levels)):
         step = 2 ** level
         below = F.get("_borders", F.col("_bucket") + (step - 1)) < F.col(value)
