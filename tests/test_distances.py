@@ -285,3 +285,12 @@ def test_hub_and_copies(spark):
     star = spark.range(1, 3000).selectExpr("id AS a", "0L AS b")
     rows = components.connected_components(star)
     assert rows.count() == 3000 and rows.where("component <> 0").count() == 0
+
+
+def test_spectral_with_points_far_from_all_others(spark):
+    blob = np.random.default_rng(3).normal(0, 0.1, (14, 2))
+    x = np.vstack([blob, [[1000.0, 0.0], [1000.0, 50.0]]])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, x array<double>")
+    _, edges = clustering.affinity_edges(df)
+    values = {(r["src"], r["dst"]): r["a"] for r in clustering.normalised(edges).collect()}
+    assert 0 < values[14, 15] <= 1 and all(0 <= v <= 1 + 1e-9 for v in values.values())
