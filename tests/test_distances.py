@@ -294,3 +294,20 @@ def test_spectral_with_points_far_from_all_others(spark):
     _, edges = clustering.affinity_edges(df)
     values = {(r["src"], r["dst"]): r["a"] for r in clustering.normalised(edges).collect()}
     assert 0 < values[14, 15] <= 1 and all(0 <= v <= 1 + 1e-9 for v in values.values())
+
+
+def test_products_settle_pairs_as_differences_do():
+    rng = np.random.default_rng(8)
+    spread = np.vstack([rng.normal(1e6, 1, (40, 5)), rng.integers(0, 3, (60, 5)).astype(float), rng.normal(0, 1e-7, (30, 5))])
+    wide = rng.normal(0, 1, (300, 64))
+    for a, b in ((spread, spread[::-1]), (wide, wide), (wide[:7], wide[:3]), (np.array([[np.inf] * 5, [np.nan] * 5]), spread)):
+        d = neighbours.distances(a, b)
+        for eps in (0.0, 1.0, float(np.sqrt(2)), 11.0):
+            assert (neighbours.within(a, b, eps) == (d <= eps)).all()
+        ids = rng.permutation(len(b))
+        by_id = np.argsort(ids)
+        for k in (1, 3, 10):
+            best, got = neighbours.closest(a, b, ids, min(k, len(b)))
+            want = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
+            assert (best == want).all() and np.array_equal(got, np.take_along_axis(d, want, axis=1), equal_nan=True)
+        assert np.allclose(neighbours.far_distances(a, b), d, rtol=1e-9, atol=0, equal_nan=True)
