@@ -2,18 +2,18 @@
 
 Every text has a strength, a weighted sum of its features. That a good text is preferred to a bad one has
 the probability logistic(difference of strengths), so the weights are those of a logistic regression
-without intercept on feature differences. Preference pairs come from a sample of labelled rows: rows meet
+without intercept on feature differences. Preference pairs come from all labelled rows: rows meet
 by a hash of their ids, each preferred text with the few others of its cell. The strength at which a text
-counts as good is a quantile of the sample's strengths, the one that agrees best with its labels; scores
+counts as good is a quantile of their strengths, the one that agrees best with the labels; scores
 are the logistic function of the strength above it.
 
 Features are shares and averages of a whole text: kinds of characters, lengths of words and lines, repeated
-words and lines. Each enters as it is, squared, and as its logarithm, standardised on the sample.
+words and lines. Each enters as it is, squared, and as its logarithm, standardised on the labelled rows.
 
-The fit uses about ``SAMPLE`` labelled rows at most; scoring is row by row over all whole texts.
+The fit uses every labelled row that is not held out; scoring is row by row over all whole texts.
 
 Defined cases: null and empty texts have all features 0 and are scored like any other; equal texts have
-equal scores; repeated rows stay; if the sample lacks a kind of label, every score is its share of good rows
+equal scores; repeated rows stay; if the labels lack a kind, every score is its share of good rows
 (one half without labels). Only id and text are read for a score.
 """
 
@@ -30,10 +30,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsift.llm.common import labelled_sample, schema_with, slices, small_batches, texts, written
+from mailsift.llm.common import labelled_rows, schema_with, slices, small_batches, texts, written
 
-#: Labelled rows a fit draws, and rows of the rarer kind that meet in a cell on average.
-SAMPLE, CELL = 20_000, 2
+#: Rows of the rarer kind that meet in a cell on average.
+CELL = 2
 #: Quantiles of strength that are tried as the threshold.
 QUANTILES = 400
 SHARES = ["upper", "digits", "spaces", "lines_share", "other_ascii", "beyond_ascii", "stops", "exclamations", "signs", "pipes"]
@@ -106,11 +106,10 @@ def _pairs(rows: DataFrame, cells: int) -> DataFrame:
     return better.join(worse, "cell").select(F.transform(F.arrays_zip("a", "b"), lambda z: z.a - z.b).alias("d"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "quality", key: str = "doc_id",
-        sample: int = SAMPLE) -> Ranker:
+def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "quality", key: str = "doc_id") -> Ranker:
     """``left_out`` is a condition on the labels' key: those rows are never learned from."""
-    drawn = labelled_sample(docs, labels, label, left_out, sample, key)
-    rows = written(_featured(drawn, [key, "label"], "x", "array<double>",
+    known = labelled_rows(docs, labels, label, left_out, key)
+    rows = written(_featured(known, [key, "label"], "x", "array<double>",
                              lambda x: pa.array(list(expanded(x)), pa.list_(pa.float64()))), "featured")
     n, good, *moments = rows.agg(
         F.count(F.lit(1)), F.sum("label"),

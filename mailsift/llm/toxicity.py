@@ -7,11 +7,10 @@
    letters, which are also read with the disguise removed.
 3. Boosted trees are fitted to one part of the labelled rows and their margins calibrated on the other.
 
-All fits use a sample of at most about ``SAMPLE`` labelled rows, drawn by a hash of the id; scoring is row
-by row over all whole texts, so copies and hot sources cost nothing extra.
+All fits use every labelled row that is not held out; scoring is row by row over all whole texts, so copies and hot sources cost nothing extra.
 
 Defined cases: null and empty texts have all features 0 and a score as any other row; equal texts have
-equal scores; repeated rows stay; if the sample lacks a kind of label, every score is its share of toxic
+equal scores; repeated rows stay; if the labels lack a kind, every score is its share of toxic
 rows (0 without labels). Only id and text are read for a score.
 """
 
@@ -30,10 +29,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsift.llm.common import labelled_sample, schema_with, slices, small_batches, texts, written
+from mailsift.llm.common import labelled_rows, schema_with, slices, small_batches, texts, written
 
-#: Labelled rows a fit draws, terms of the lexicon, toxic rows that must hold a term, and its least log odds.
-SAMPLE, TERMS, LEAST_ROWS, LEAST_ODDS = 20_000, 3000, 4, 2.5
+#: Terms of the lexicon, toxic rows that must hold a term, and its least log odds.
+TERMS, LEAST_ROWS, LEAST_ODDS = 3000, 4, 2.5
 #: Texts whose terms a task counts before it passes the counts on.
 COUNTED = 64
 #: Lengths of word beginnings that may become terms.
@@ -172,12 +171,11 @@ def _margins(trees: GBTClassificationModel, df: DataFrame) -> DataFrame:
         "margin", vector_to_array("_raw")[1]).drop("_vector", "_raw", "features")
 
 
-def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "toxic", key: str = "doc_id",
-        sample: int = SAMPLE) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "toxic", key: str = "doc_id") -> Scorer:
     """``left_out`` is a condition on the labels' key: those rows are never learned from."""
-    drawn = written(labelled_sample(docs, labels, label, left_out, sample, key), "labelled")
-    lexicon = learn_lexicon(drawn)
-    rows = written(with_features(drawn, lexicon, [key, "label"]).withColumn(
+    known = written(labelled_rows(docs, labels, label, left_out, key), "labelled")
+    lexicon = learn_lexicon(known)
+    rows = written(with_features(known, lexicon, [key, "label"]).withColumn(
         "fold", F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(3))), "features")
     rate, kinds = rows.agg(F.avg("label"), F.count_distinct(F.when(F.col("fold") > 0, F.col("label")))).head()
     if kinds < 2:

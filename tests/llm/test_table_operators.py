@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import Window, functions as F
 
 import corpus_pipeline
-from mailsift.llm import bpe, quality, queries, secrets, sharding, simhash, toxicity, warc
+from mailsift.llm import bpe, common, quality, queries, secrets, sharding, simhash, toxicity, warc
 from mailsift.llm.common import held_out
 from mailsift.session import scratch_path
 
@@ -275,3 +275,11 @@ def test_helper_names_as_extra_columns(spark, apply):
     df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'bigint' if c == 'doc_id' else 'string'}" for c in columns))
     got = apply(df)
     assert got.columns == columns and sorted(map(tuple, got.collect())) == rows
+
+
+def test_fits_use_every_labelled_row(spark):
+    rows = 30_000
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    labels = spark.range(rows).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    known = common.labelled_rows(docs, labels.unionByName(labels.where("doc_id < 9")), "quality", F.col("doc_id") % 3 == 1)
+    assert known.agg(F.count("*"), F.sum("label")).head()[:] == (20_000, 10_000.0)
