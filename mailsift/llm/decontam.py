@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Terms are the words of the benchmark. Their document frequencies are counted over all whole documents.
-2. Passages of a bounded sample of distinct documents, and the benchmark items, are TF-IDF rows of a matrix. A
+2. Passages of all distinct documents, and the benchmark items, are TF-IDF rows of a matrix. A
    randomised SVD gives its leading right singular vectors: tasks multiply their rows with a thin random
    matrix and back, the small products are summed, and the basis is made orthonormal, a few times over.
 3. Search. Every document is walked in windows a little longer than an item, STEP words apart. A window is projected,
@@ -17,8 +17,8 @@
    by one walk through a trie of all of them; their cosine and share are 1.
 
 The benchmark is worked through in blocks of about ``block`` items, so what is broadcast has a bound; each
-block passes over the documents once to count and once to search. Of the documents only that sample is
-shuffled, its copies made one before, so copies and hot items cost what they cost alone.
+block passes over the documents to count, to list the terms of their passages and to search. Of the documents only
+those lists are shuffled, copies combined before, so copies and hot items cost what they cost alone.
 
 Defined cases: null and empty texts leak nothing; null, empty and wordless items match nothing; equal
 items are each reported; repeated documents are each reported; an empty benchmark gives no rows; the answer
@@ -43,8 +43,8 @@ SHARE, ANSWER, SHORT = 0.7, 0.5, 8
 COSINE, STEP = 0.6, 4
 #: Dimensions of the latent space and spare ones of the range finder, and its rounds.
 RANK, SPARE, ROUNDS = 48, 16, 2
-#: Documents whose passages the decomposition sees, words of a passage, and items of a block.
-SAMPLE, PASSAGE, BLOCK = 2000, 48, 2000
+#: Words of a passage, and items of a block.
+PASSAGE, BLOCK = 48, 2000
 _WORD = re.compile(r"\w+")
 
 
@@ -244,35 +244,56 @@ def _weights(docs: DataFrame, term: dict[str, int]) -> np.ndarray:
     return np.log((total + 2) / (df + 1)).astype(np.float32)
 
 
-def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np.ndarray, sample: int) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF rows, by a distributed randomised range finder."""
+def _through(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray, basis: np.ndarray, scale: float, out: np.ndarray) -> None:
+    """Adds to ``out`` the TF-IDF rows transposed times the rows times the basis; rows are brought to length ``scale``.
+
+    ``flat`` holds the terms of all rows, ``starts`` where each begins; only terms that are there cost anything.
+    """
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
+    cell, count = np.unique(row * len(weight) + flat, return_counts=True)
+    row, col = np.divmod(cell, len(weight))
+    value = count * weight[col]
+    first = np.searchsorted(row, np.arange(len(starts)))
+    value *= scale / np.maximum(np.sqrt(np.add.reduceat(value * value, first)), 1e-12)[row]
+    ahead = np.add.reduceat(value[:, None] * basis[col], first)
+    by_term = np.argsort(col, kind="stable")
+    back = value[by_term, None] * ahead[row[by_term]]
+    terms, at = np.unique(col[by_term], return_index=True)
+    out[terms] += np.add.reduceat(back, at)
+
+
+def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np.ndarray, sample: int | None = None) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF rows, by a distributed randomised range finder.
+
+    The rows are the passages of all distinct documents, or of about ``sample`` of them where a caller asks for fewer.
+    """
     spark = docs.sparkSession
-    total = max(1, docs.count())
-    # Copies are drawn all or none, so they are made one, before the shuffle too: a common text counts once.
-    share = math.ceil(1_000_000 * min(1.0, sample / total))
-    drawn = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).distinct()
+    drawn = docs.select("text")
+    if sample is not None:  # copies are drawn all or none
+        share = math.ceil(1_000_000 * min(1.0, sample / max(1, docs.count())))
+        drawn = drawn.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             ids, ends = _ids(part.column(0), term)
-            rows = []
-            for a, b in zip(np.append(0, ends[:-1]), ends):
-                rows += [x for i in range(a, b, PASSAGE) if len(x := [int(w) for w in ids[i:min(b, i + PASSAGE)] if w >= 0])]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], ["terms"])
-
-    rows = written(drawn.mapInArrow(passages, "terms array<bigint>"), "passages")
+            rows = [[x for i in range(a, b, PASSAGE) if len(x := [int(w) for w in ids[i:min(b, i + PASSAGE)] if w >= 0])]
+                    for a, b in zip(np.append(0, ends[:-1]), ends)]
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.list_(pa.list_(pa.int32())))], ["digest", "rows"])
+
+    # Copies are made one once their texts have become short lists.
+    told = drawn.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.md5("text").alias("digest")).mapInArrow(
+        passages, "digest string, rows array<array<int>>").where(F.size("rows") > 0).distinct()
+    rows = written(told.select(F.explode("rows").alias("terms")), "passages")
     n = rows.count()
     heavy = math.sqrt(max(1, n) / len(items))
+    weight = weight.astype(np.float32)
 
-    def product(matrix: np.ndarray, basis: np.ndarray) -> np.ndarray:
-        """Rows (as weighted term lists) transposed times rows times basis."""
-        return matrix.T @ (matrix @ basis)
-
-    def dense(lists: list[list[int]], scale: float) -> np.ndarray:
-        out = np.zeros((len(lists), len(term)), np.float32)
-        for i, x in enumerate(lists):
-            np.add.at(out[i], x, weight[x])
-        return out * (scale / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12))
+    def add(lists: list[list[int]], basis: np.ndarray, scale: float, out: np.ndarray) -> None:
+        lists = [x for x in lists if x]
+        if lists:
+            ends = np.cumsum([len(x) for x in lists])
+            flat = np.fromiter(chain.from_iterable(lists), np.int64, ends[-1])
+            _through(flat, np.append(0, ends[:-1]), weight, basis, scale, out)
 
     def through(basis: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(basis)
@@ -280,17 +301,20 @@ def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(basis.shape, np.float64)
             for batch in batches:
-                lists = batch.column(0).to_pylist()
-                for i in range(0, len(lists), 200):
-                    total += product(dense(lists[i:i + 200], 1.0), shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part"])
-
-        parts = rows.coalesce(8).mapInArrow(run, "part binary").collect()
+                add(batch.column(0).to_pylist(), shared.value, 1.0, total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["term", "part"])
+
+        # Tasks' sums meet by term; the driver has one thin matrix, however many tasks there are.
+        width = basis.shape[1]
+        parts = rows.mapInArrow(run, "term int, part array<double>").groupBy("term").agg(
+            F.array(*[F.sum(F.col("part")[i]) for i in range(width)]).alias("part")).collect()
         shared.destroy()
-        total = sum((np.frombuffer(r.part, np.float32).reshape(basis.shape).astype(np.float64) for r in parts),
-                    np.zeros(basis.shape))
+        total = np.zeros(basis.shape)
+        for r in parts:
+            total[r.term] = r.part
         for i in range(0, len(items), 200):
-            total += product(dense([x.terms for x in items[i:i + 200]], heavy), basis)
+            add([x.terms for x in items[i:i + 200]], basis, heavy, total)
         return total
 
     width = min(len(term), RANK + SPARE)
@@ -301,7 +325,7 @@ def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np
     return (basis @ turn[:, ::-1][:, :min(RANK, width)]).astype(np.float32)
 
 
-def build_index(docs: DataFrame, rows: list, sample: int = SAMPLE) -> Index | None:
+def build_index(docs: DataFrame, rows: list, sample: int | None = None) -> Index | None:
     """The index of items (id, text, answer or None) under the statistics of all documents (column text)."""
     split = [(r[0], words(r[1] or ""), words(r[2] or "")) for r in rows]
     split = sorted((i, w, a) for i, w, a in split if w)

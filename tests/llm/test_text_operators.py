@@ -448,3 +448,26 @@ def test_perfect_hash(n):
     keys = [f"key{i}".encode() for i in range(n)]
     found = bpe.PerfectHash(keys)
     assert sorted(found.slot(k) for k in keys) == list(range(n))
+
+
+def test_decomposition_sees_all_passages_as_a_dense_one(spark):
+    rng = np.random.default_rng(4)
+    lists = [rng.integers(0, 30, rng.integers(1, 9)) for _ in range(50)]
+    weight, basis = rng.random(30).astype(np.float32) + 0.5, rng.standard_normal((30, 4)).astype(np.float32)
+    dense = np.array([np.bincount(x, minlength=30) for x in lists]) * weight
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    out, ends = np.zeros((30, 4)), np.cumsum([len(x) for x in lists])
+    decontam._through(np.concatenate(lists), np.append(0, ends[:-1]), weight, basis, 1.0, out)
+    assert np.allclose(out, dense.T @ (dense @ basis), atol=1e-4)
+    # 5000 documents of one pair of words, 5000 of another, and an item with both: the leading vector weighs all of them.
+    docs = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("alpha beta x"), "id")).otherwise(
+        F.concat(F.lit("gamma delta x"), "id")).alias("text"))
+    term = {"alpha": 0, "beta": 1, "gamma": 2, "delta": 3}
+    seen = []
+    spy = decontam.written
+    decontam.written = lambda df, name: seen.append(spy(df, name)) or seen[-1]
+    try:
+        decontam._latent(docs, [decontam.Item(1, [0, 1, 2, 3], [])], term, np.ones(4, np.float32))
+    finally:
+        decontam.written = spy
+    assert [x.count() for x in seen] == [10_000]
