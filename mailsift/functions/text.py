@@ -80,13 +80,30 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(SPACE_CHARS))
 
 
+LINK = f"(?U)http[^{SPACE}]+"
+# a word with an inner @; tried at word starts only, without backtracking
+ADDRESS = f"(?U)(?<![^{SPACE}])[^{SPACE}][^{SPACE}@]*+@[^{SPACE}]+"
+
+
+def mark_links(c: Column) -> Column:
+    """Links of a lower-case text become a word; a text that cannot hold one is not searched."""
+    return F.when(F.contains(c, F.lit("http")), F.regexp_replace(c, LINK, " link ")).otherwise(c)
+
+
+def mark_addresses(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, ADDRESS, " email ")).otherwise(c)
+
+
+def plain_word_count(c: Column) -> Column:
+    """Words that :func:`clean` would leave of a text whose links and addresses are marked."""
+    return F.regexp_count(c, F.lit("[a-z0-9]+"))
+
+
 def clean(c: Column, mode: str = "batch") -> Column:
     """Lower-case words. ``batch`` marks links and addresses; ``alpha`` drops tags, links and digits."""
     t = F.lower(filled(c))
     if mode == "batch":
-        t = F.regexp_replace(t, f"(?U)http[^{SPACE}]+", " link ")
-        # a word with an inner @; tried at word starts only, without backtracking
-        t = F.regexp_replace(t, f"(?U)(?<![^{SPACE}])[^{SPACE}][^{SPACE}@]*+@[^{SPACE}]+", " email ")
+        t = F.regexp_replace(F.regexp_replace(t, LINK, " link "), ADDRESS, " email ")
         letters = "a-z0-9"
     elif mode == "alpha":
         t = F.regexp_replace(t, "<[^\n]*?>", "")

@@ -22,7 +22,7 @@ def _lowered(df: DataFrame) -> DataFrame:
 
 
 def _drop_helpers(df: DataFrame) -> DataFrame:
-    return df.drop("_subject", "_body", "_lsubject", "_lbody")
+    return df.drop("_subject", "_body", "_lsubject", "_lbody", "_linked", "_marked")
 
 
 def anonymise(df: DataFrame, key: str | None = None, drop: bool = True) -> DataFrame:
@@ -71,12 +71,15 @@ def engineered(df: DataFrame, key: str | None = None) -> DataFrame:
 
 def app_features(df: DataFrame) -> DataFrame:
     s, b = F.col("_subject"), F.col("_body")
-    out = _lowered(df).withColumn("clean_content", text.clean(F.col("_body"))).withColumns({
+    # Steps of their own: each text is made once, whatever looks at it.
+    marked = _lowered(df).withColumn("_linked", text.mark_links(F.col("_lbody"))).withColumn(
+        "_marked", text.mark_addresses(F.col("_linked")))
+    out = marked.withColumn("clean_content", text.clean(F.col("_body"))).withColumns({
         "subject_length": F.length(s),
         "subject_num_special": text.num_special(s),
         "subject_upper_words": text.upper_words(s),
         "body_length": F.length(b),
-        "body_word_count": text.squeezed_word_count(F.col("clean_content")),
+        "body_word_count": text.plain_word_count(F.col("_marked")),
         "body_num_digits": text.num_digits(b),
         "body_num_exclaim": text.count_char(b, "!"),
         "body_num_question": text.count_char(b, "?"),

@@ -100,3 +100,12 @@ def test_mails_dealt_to_more_tasks_are_the_same(spark, folder):
         assert shuffled in read(emails(spark, folder))
     finally:
         spark.conf.unset(PARTITIONS)
+
+
+def test_words_of_uploads_are_those_of_the_cleaned_text(spark):
+    df = spark.createDataFrame([(i, None, t, None) for i, (t, _) in enumerate(GOLDEN)] + [(-1, None, None, None), (-2, "", "HTTP a@b http@c d", None)],
+                               "email_id int, subject string, body string, date timestamp")
+    out = features.app_features(df)
+    assert out.where(F.size(F.split("clean_content", " ")) - (F.col("clean_content") == "").cast("int") != F.col("body_word_count")).isEmpty()
+    plan = out.select("body_word_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "clean_content" not in plan and "contains" in plan.lower()
