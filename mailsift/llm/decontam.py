@@ -17,8 +17,8 @@
    by one walk through a trie of all of them; their cosine and share are 1.
 
 The benchmark is worked through in blocks of about ``block`` items, so what is broadcast has a bound; each
-block passes over the documents to count, to list the terms of their passages and to search. Of the documents only
-those lists are shuffled, copies combined before, so copies and hot items cost what they cost alone.
+block turns the words of the documents into term numbers once, which are stored; to count, to list the terms of
+passages and to search reads those. Of the documents only the lists are shuffled, copies combined before, so copies and hot items cost what they cost alone.
 
 Defined cases: null and empty texts leak nothing; null, empty and wordless items match nothing; equal
 items are each reported; repeated documents are each reported; an empty benchmark gives no rows; the answer
@@ -35,7 +35,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from mailsift.llm.common import schema_with, slices, small_batches, texts, written
 
@@ -45,11 +45,15 @@ COSINE, STEP = 0.6, 4
 RANK, SPARE, ROUNDS = 48, 16, 2
 #: Words of a passage, and items of a block.
 PASSAGE, BLOCK = 48, 2000
+#: Terms whose columns are dense, and words that a task holds at once; a single longer text makes a lot of its own.
+FREQUENT, SLICE_WORDS = 512, 400_000
 _WORD = re.compile(r"\w+")
+_ASCII = {i: chr(i).lower() if _WORD.match(chr(i)) else " " for i in range(128)}
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-case words; of a plain ASCII text without a search for each."""
+    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text.lower())
 
 
 @dataclass
@@ -223,43 +227,116 @@ def _ids(column: pa.Array, term: dict[str, int]) -> tuple[np.ndarray, np.ndarray
     return np.fromiter(numbers, np.int64, int(ends[-1]) if len(ends) else 0), ends
 
 
-def _weights(docs: DataFrame, term: dict[str, int]) -> np.ndarray:
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all lists end to end, and where each list ends."""
+    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes).astype(np.int64)
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut where the first column's lists reach SLICE_WORDS numbers."""
+    for batch in batches:
+        start = held = 0
+        for i, size in enumerate(pa.compute.list_value_length(batch.column(0)).to_pylist()):
+            if held and held + size > SLICE_WORDS:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def _coded(df: DataFrame, term: dict[str, int], keep: list[str], text: str = "text") -> DataFrame:
+    """``_ids`` (term numbers of a text's words, -1: no term), ``_digest``, ``_draw`` and the kept columns."""
+    shared = df.sparkSession.sparkContext.broadcast(term)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text"):
+            ids, ends = _ids(part.column(0), shared.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, *part.columns[1:]], ["_ids", "_digest", "_draw", *keep])
+
+    whole = F.col(f"`{text}`")
+    rows = df.select(whole.alias("_text"), F.md5(F.coalesce(whole, F.lit(""))).alias("_digest"),
+                     F.pmod(F.xxhash64(whole), F.lit(1_000_000)).alias("_draw"), *[F.col(f"`{k}`") for k in keep])
+    kind = T.StructType([T.StructField("_ids", T.ArrayType(T.IntegerType())), *(rows.schema[c] for c in ["_digest", "_draw", *keep])])
+    return rows.mapInArrow(run, kind)
+
+
+def _weights(coded: DataFrame, term: dict[str, int]) -> np.ndarray:
     """Inverse document frequencies of the terms over all documents."""
+    size = len(term)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(term) + 1, np.int64)
-        for part in slices(batches, "text"):
-            ids, ends = _ids(part.column(0), term)
+        counts = np.zeros(size + 1, np.int64)
+        for part in _lots(batches):
+            ids, ends = _lists(part.column(0))
             owner = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
-            pairs = np.unique(owner * (len(term) + 1) + ids + 1)
-            counts += np.bincount(pairs % (len(term) + 1), minlength=len(term) + 1)
+            pairs = np.unique(owner * (size + 1) + ids + 1)
+            counts += np.bincount(pairs % (size + 1), minlength=size + 1)
         seen = np.flatnonzero(counts[1:])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[1:][seen])], ["term", "n"])
 
-    total = docs.count()
-    rows = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(term))
+    total = coded.count()
+    rows = coded.select("_ids").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(size)
     for r in rows:
         df[r.term] = r.n
     return np.log((total + 2) / (df + 1)).astype(np.float32)
 
 
-def _through(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray, basis: np.ndarray, scale: float, out: np.ndarray) -> None:
+def frequent(weight: np.ndarray) -> np.ndarray:
+    """For each term its place among the FREQUENT terms of least weight, -1 for the others."""
+    place = np.full(len(weight), -1, np.int64)
+    terms = np.argsort(weight, kind="stable")[:FREQUENT]
+    place[terms] = np.arange(len(terms))
+    return place
+
+
+def _through(flat: np.ndarray, starts: np.ndarray, weight: np.ndarray, basis: np.ndarray, scale: float, out: np.ndarray,
+             place: np.ndarray | None = None) -> None:
     """Adds to ``out`` the TF-IDF rows transposed times the rows times the basis; rows are brought to length ``scale``.
 
-    ``flat`` holds the terms of all rows, ``starts`` where each begins; only terms that are there cost anything.
+    ``flat`` holds the terms of all rows, ``starts`` where each begins. Most words of a row are among a few
+    frequent terms (:func:`frequent`): these columns are a dense matrix, of the others only terms that are there cost anything.
     """
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-    cell, count = np.unique(row * len(weight) + flat, return_counts=True)
+    place = frequent(weight) if place is None else place
+    common = np.flatnonzero(place >= 0)
+    common = common[np.argsort(place[common])]
+    n, width = len(starts), len(common)
+    row = np.repeat(np.arange(n), np.diff(np.append(starts, len(flat))))
+    at = place[flat]
+    dense = at >= 0
+    often = np.bincount(row[dense] * width + at[dense], minlength=n * width).reshape(n, width).astype(np.float32) * weight[common]
+    cell, count = np.unique(row[~dense] * len(weight) + flat[~dense], return_counts=True)
     row, col = np.divmod(cell, len(weight))
-    value = count * weight[col]
-    first = np.searchsorted(row, np.arange(len(starts)))
-    value *= scale / np.maximum(np.sqrt(np.add.reduceat(value * value, first)), 1e-12)[row]
-    ahead = np.add.reduceat(value[:, None] * basis[col], first)
-    by_term = np.argsort(col, kind="stable")
-    back = value[by_term, None] * ahead[row[by_term]]
-    terms, at = np.unique(col[by_term], return_index=True)
-    out[terms] += np.add.reduceat(back, at)
+    value = (count * weight[col]).astype(np.float32)
+    length = np.sqrt(np.einsum("ij,ij->i", often, often) + np.bincount(row, value * value, n))
+    factor = (scale / np.maximum(length, 1e-12)).astype(np.float32)
+    often *= factor[:, None]
+    value *= factor[row]
+    ahead = often @ basis[common]
+    if len(cell):
+        rows, first = np.unique(row, return_index=True)
+        ahead[rows] += np.add.reduceat(value[:, None] * basis[col], first)
+        by_term = np.argsort(col, kind="stable")
+        terms, first = np.unique(col[by_term], return_index=True)
+        out[terms] += np.add.reduceat(value[by_term, None] * ahead[row[by_term]], first)
+    out[common] += often.T @ ahead
+
+
+def _passages(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """For each document its passages, lists of the terms among PASSAGE words, those without terms left out."""
+    begins = np.append(0, ends[:-1])
+    held = -(-(ends - begins) // PASSAGE)
+    base = np.cumsum(held) - held
+    owner = np.repeat(np.arange(len(ends)), ends - begins)
+    passage = base[owner] + (np.arange(len(ids)) - begins[owner]) // PASSAGE
+    told = np.flatnonzero(ids >= 0)
+    first = np.flatnonzero(np.append(True, np.diff(passage[told]) != 0)) if len(told) else np.zeros(0, np.int64)
+    inner = pa.ListArray.from_arrays(pa.array(np.append(first, len(told)), pa.int32()), pa.array(ids[told], pa.int32()))
+    outer = np.append(0, np.cumsum(np.bincount(owner[told[first]], minlength=len(ends))))
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
 
 
 def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np.ndarray, sample: int | None = None) -> np.ndarray:
@@ -268,32 +345,22 @@ def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np
     The rows are the passages of all distinct documents, or of about ``sample`` of them where a caller asks for fewer.
     """
     spark = docs.sparkSession
-    drawn = docs.select("text")
+    drawn = docs if "_ids" in docs.columns else _coded(docs, term, [])
     if sample is not None:  # copies are drawn all or none
-        share = math.ceil(1_000_000 * min(1.0, sample / max(1, docs.count())))
-        drawn = drawn.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+        drawn = drawn.where(F.col("_draw") < math.ceil(1_000_000 * min(1.0, sample / max(1, docs.count()))))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            ids, ends = _ids(part.column(0), term)
-            rows = [[x for i in range(a, b, PASSAGE) if len(x := [int(w) for w in ids[i:min(b, i + PASSAGE)] if w >= 0])]
-                    for a, b in zip(np.append(0, ends[:-1]), ends)]
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.list_(pa.list_(pa.int32())))], ["digest", "rows"])
+        for part in _lots(batches):
+            yield pa.RecordBatch.from_arrays([part.column(1), _passages(*_lists(part.column(0)))], ["digest", "rows"])
 
     # Copies are made one once their texts have become short lists.
-    told = drawn.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.md5("text").alias("digest")).mapInArrow(
+    told = drawn.select("_ids", "_digest").mapInArrow(
         passages, "digest string, rows array<array<int>>").where(F.size("rows") > 0).distinct()
     rows = written(told.select(F.explode("rows").alias("terms")), "passages")
     n = rows.count()
     heavy = math.sqrt(max(1, n) / len(items))
     weight = weight.astype(np.float32)
-
-    def add(lists: list[list[int]], basis: np.ndarray, scale: float, out: np.ndarray) -> None:
-        lists = [x for x in lists if x]
-        if lists:
-            ends = np.cumsum([len(x) for x in lists])
-            flat = np.fromiter(chain.from_iterable(lists), np.int64, ends[-1])
-            _through(flat, np.append(0, ends[:-1]), weight, basis, scale, out)
+    place = frequent(weight)
 
     def through(basis: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(basis)
@@ -301,7 +368,9 @@ def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(basis.shape, np.float64)
             for batch in batches:
-                add(batch.column(0).to_pylist(), shared.value, 1.0, total)
+                flat, ends = _lists(batch.column(0))
+                if len(flat):
+                    _through(flat, np.append(0, ends[:-1]), weight, shared.value, 1.0, total, place)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["term", "part"])
 
@@ -314,7 +383,11 @@ def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np
         for r in parts:
             total[r.term] = r.part
         for i in range(0, len(items), 200):
-            add([x.terms for x in items[i:i + 200]], basis, heavy, total)
+            lists = [x.terms for x in items[i:i + 200] if x.terms]
+            if lists:
+                ends = np.cumsum([len(x) for x in lists])
+                flat = np.fromiter(chain.from_iterable(lists), np.int64, ends[-1])
+                _through(flat, np.append(0, ends[:-1]), weight, basis, heavy, total, place)
         return total
 
     width = min(len(term), RANK + SPARE)
@@ -327,6 +400,12 @@ def _latent(docs: DataFrame, items: list[Item], term: dict[str, int], weight: np
 
 def build_index(docs: DataFrame, rows: list, sample: int | None = None) -> Index | None:
     """The index of items (id, text, answer or None) under the statistics of all documents (column text)."""
+    return _indexed(docs, rows, [], sample=sample)[0]
+
+
+def _indexed(docs: DataFrame, rows: list, keep: list[str], text: str = "text",
+             sample: int | None = None) -> tuple[Index | None, DataFrame | None]:
+    """The index, and the documents as term numbers with their kept columns."""
     split = [(r[0], words(r[1] or ""), words(r[2] or "")) for r in rows]
     split = sorted((i, w, a) for i, w, a in split if w)
     term: dict[str, int] = {}
@@ -334,36 +413,54 @@ def build_index(docs: DataFrame, rows: list, sample: int | None = None) -> Index
         for x in w + a:
             term.setdefault(x, len(term))
     if not term:
-        return None
+        return None, None
     items = [Item(i, [term[x] for x in w], [term[x] for x in a]) for i, w, a in split]
-    weight = _weights(docs, term)
-    basis = _latent(docs, items, term, weight, sample)
-    return Index(items, term, weight, basis * weight[:, None])
+    coded = _coded(docs, term, keep, text)
+    if sample is None:  # of a sample only the passages are stored
+        coded = written(coded, "coded")
+    weight = _weights(coded, term)
+    basis = _latent(coded, items, term, weight, sample)
+    return Index(items, term, weight, basis * weight[:, None]), coded
 
 
 LEAK = "item_id bigint, word bigint, cosine double, share double, answer_share double"
 LEAKS = "array<struct<item_id:bigint,word:bigint,cosine:double,share:double,answer_share:double>>"
 
 
+def _found(index: Index, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """For each text the list of its leaks."""
+    fields = [("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()),
+              ("answer_share", pa.float64())]
+    found: list[list[dict]] = [[] for _ in range(len(ends))]
+    for doc, *leak in find(index, ids, ends):
+        found[doc].append(dict(zip([f[0] for f in fields], leak)))
+    return pa.array(found, pa.list_(pa.struct(fields)))
+
+
 def _search(df: DataFrame, index: Index, keep: list[str], text: str) -> DataFrame:
     """The kept columns and ``leaks``, an array of LEAK, row by row."""
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()),
-                  ("answer_share", pa.float64())]
         for part in slices(batches, "_text"):
-            ids, ends = _ids(part.column(0), shared.value.term)
-            found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            for doc, *leak in find(shared.value, ids, ends):
-                found[doc].append(dict(zip([f[0] for f in fields], leak)))
-            leaks = pa.array(found, pa.list_(pa.struct(fields)))
+            leaks = _found(shared.value, *_ids(part.column(0), shared.value.term))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], leaks], [*keep, "leaks"])
 
     rows = df.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{k}`") for k in keep])
     return rows.mapInArrow(run, schema_with(df, keep, leaks=LEAKS))
 
 
+def _search_coded(coded: DataFrame, index: Index, keep: list[str]) -> DataFrame:
+    """The same of documents that are term numbers already."""
+    shared = coded.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _lots(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], _found(shared.value, *_lists(part.column(0)))], [*keep, "leaks"])
+
+    return coded.select("_ids", *[F.col(f"`{k}`") for k in keep]).mapInArrow(run, schema_with(coded, keep, leaks=LEAKS))
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str, answer: str | None, block: int) -> Iterator[list]:
     count = -(-benchmark.count() // block)
     chosen = benchmark.select(F.col(f"`{item}`"), F.col(f"`{text}`"), F.col(f"`{answer}`") if answer else F.lit(None))
@@ -389,11 +486,10 @@ def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
           item_text: str = "text", answer: str | None = None, block: int = BLOCK) -> DataFrame:
     """(key, item_id, word, cosine, share, answer_share): every pair of a document and an item that leaked into it."""
     small_batches(df.sparkSession)
-    docs = df.select(F.col(f"`{text}`").alias("text"))
     kind = df.schema[key].dataType.simpleString()
     out = df.sparkSession.createDataFrame([], f"`{key}` {kind}, {LEAK}")
     for rows in _blocks(benchmark, item, item_text, answer, block):
-        index = build_index(docs, rows)
+        index, coded = _indexed(df, rows, [key], text)
         if index is not None:
-            out = out.unionByName(_search(df, index, [key], text).select(f"`{key}`", F.inline("leaks")))
+            out = out.unionByName(_search_coded(coded, index, [key]).select(f"`{key}`", F.inline("leaks")))
     return out

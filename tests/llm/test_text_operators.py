@@ -471,3 +471,36 @@ def test_decomposition_sees_all_passages_as_a_dense_one(spark):
     finally:
         decontam.written = spy
     assert [x.count() for x in seen] == [10_000]
+
+
+def test_frequent_terms_are_dense_and_passages_are_cut_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(0, 40, rng.integers(1, 60)) for _ in range(30)]
+    weight, basis = rng.random(40).astype(np.float32) + 0.5, rng.standard_normal((40, 4)).astype(np.float32)
+    dense = np.array([np.bincount(x, minlength=40) for x in lists]) * weight
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    ends = np.cumsum([len(x) for x in lists])
+    for some in (1, 13, 40):
+        monkeypatch.setattr(decontam, "FREQUENT", some)
+        assert sorted(np.flatnonzero(decontam.frequent(weight) >= 0)) == sorted(np.argsort(weight)[:some])
+        out = np.zeros((40, 4))
+        decontam._through(np.concatenate(lists), np.append(0, ends[:-1]), weight, basis, 1.0, out)
+        assert np.allclose(out, dense.T @ (dense @ basis), atol=1e-4)
+    texts = [np.full(n, -1) if n == 50 else rng.integers(-1, 3, n) for n in (0, 200, 50, 0, 7, 48, 49)]
+    plain = [[x for i in range(0, len(t), decontam.PASSAGE) if (x := [int(v) for v in t[i:i + decontam.PASSAGE] if v >= 0])] for t in texts]
+    assert decontam._passages(np.concatenate(texts), np.cumsum([len(t) for t in texts])).to_pylist() == plain
+
+
+def test_words_of_documents_are_looked_up_once_for_a_block(spark):
+    rows = [(i, f"alpha beta gamma delta epsilon zeta eta theta iota kappa number {i}") for i in range(5)] + [(9, None)]
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    seen = []
+    spy = decontam.written
+    decontam.written = lambda df, name: seen.append((name, spy(df, name))) or seen[-1][1]
+    try:
+        found = decontam.leaks(frame(spark, rows), bench)
+    finally:
+        decontam.written = spy
+    assert sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 3, 4]
+    assert [name for name, _ in seen] == ["coded", "passages"]
+    assert "text" not in seen[0][1].columns and seen[0][1].count() == 6
