@@ -29,12 +29,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsift.llm.common import labelled_rows, schema_with, slices, small_batches, texts, written
+from mailsift.llm.common import known_labels, labelled_rows, schema_with, slices, small_batches, texts, written
 
 #: Terms of the lexicon, toxic rows that must hold a term, and its least log odds.
 TERMS, LEAST_ROWS, LEAST_ODDS = 3000, 4, 2.5
-#: Texts whose terms a task counts before it passes the counts on.
-COUNTED = 64
+#: Terms that a task counts before it passes the counts on.
+COUNTED = 50_000
 #: Lengths of word beginnings that may become terms.
 BEGINNINGS = (4, 5, 6)
 TREES, DEPTH, BINS = 20, 3, 32
@@ -44,7 +44,11 @@ SECOND = re.compile(r" (?:you|your|youre|yours|u|ur|tu|te|toi|vous|votre|du|dich
 FEATURES = ["hits", "hit_density", "weight", "weight_density", "strongest", "kinds", "disguised_hits", "near_second",
             "near_share", "second_density", "capitals", "punctuation", "exclamations", "disguised", "words"]
 _WORDS = re.compile(r"[\W_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*.\-_+]+[^\W\d_]+)+|[@$0-9]+[^\W\d_]{2,}")
+# Begins where a run of letters or signs begins and gives no letter back: a plain word is looked at once.
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!|*.\-_+]++[^\W\d_]++)++|(?<![@$0-9])[@$0-9]++[^\W\d_]{2,}")
+#: Any disguised word has such a pair.
+_SIGNED = re.compile(r"[0-9@$!|*.\-_+][^\W\d_]")
+_ASCII = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
 _PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l",
                         **dict.fromkeys("*.-_+2689", "")})
 _SIGNS = np.zeros(256, bool)
@@ -53,12 +57,15 @@ _SIGNS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 def plain(text: str) -> str:
     """Lower case, words separated and surrounded by one space."""
+    if text.isascii():
+        return f" {' '.join(text.translate(_ASCII).split())} "
     return f" {_WORDS.sub(' ', text.lower()).strip()} "
 
 
 def disguised(text: str) -> list[str]:
     """Words with signs or digits among their letters, read without them."""
-    return [w.translate(_PLAIN) for w in _DISGUISED.findall(text.lower())]
+    lower = text.lower()
+    return [w.translate(_PLAIN) for w in _DISGUISED.findall(lower)] if _SIGNED.search(lower) else []
 
 
 def candidates(text: str) -> set[str]:
@@ -132,16 +139,22 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+
+        def passed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([
+                pa.array(counts, pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
+                pa.array([c[0] for c in counts.values()], pa.int64())], ["term", "a", "b"])
+            counts.clear()
+            return out
+
         for batch in batches:
-            for start in range(0, batch.num_rows, COUNTED):
-                part = batch.slice(start, COUNTED)
-                counts: dict[str, list[int]] = {}
-                for text, y in zip(texts(part.column(0)), part.column(1).to_pylist()):
-                    for t in candidates(text):
-                        counts.setdefault(t, [0, 0])[int(y)] += 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(counts, pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
-                    pa.array([c[0] for c in counts.values()], pa.int64())], ["term", "a", "b"])
+            for text, y in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+                for t in candidates(text):
+                    counts.setdefault(t, [0, 0])[int(y)] += 1
+                if len(counts) > COUNTED:
+                    yield passed()
+        yield passed()
 
     rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).head()
     counts = sample.select("text", "label").mapInArrow(run, "term string, a bigint, b bigint").groupBy("term").agg(
@@ -175,8 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "toxi
     """``left_out`` is a condition on the labels' key: those rows are never learned from."""
     known = written(labelled_rows(docs, labels, label, left_out, key), "labelled")
     lexicon = learn_lexicon(known)
-    rows = written(with_features(known, lexicon, [key, "label"]).withColumn(
-        "fold", F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(3))), "features")
+    return _fitted(with_features(known, lexicon, [key, "label"]), lexicon, key)
+
+
+def _fitted(known: DataFrame, lexicon: dict[str, float], key: str) -> Scorer:
+    """Trees and curve of labelled rows (key, label, features)."""
+    rows = written(known.select(key, "label", "features", F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(3)).alias("fold")), "features")
     rate, kinds = rows.agg(F.avg("label"), F.count_distinct(F.when(F.col("fold") > 0, F.col("label")))).head()
     if kinds < 2:
         return Scorer(lexicon, None, None, rate or 0.0)
@@ -190,10 +207,28 @@ def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "toxi
     return Scorer(lexicon, trees, curve, rate)
 
 
+def scored(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "toxic", key: str = "doc_id") -> DataFrame:
+    """(key, score, predicted) of all documents by a scorer fitted to their labelled rows.
+
+    The same as :func:`fit` and :func:`score`, but features are read once and stored, and labels meet them there.
+    """
+    known = written(labelled_rows(docs, labels, label, left_out, key), "labelled")
+    lexicon = learn_lexicon(known)
+    read = written(with_features(docs, lexicon, [key]), "read")
+    scorer = _fitted(read.join(known_labels(labels, label, left_out, key), key), lexicon, key)
+    return _judged(read, scorer, [key])
+
+
 def score(df: DataFrame, scorer: Scorer, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, ``score`` between 0 and 1, and ``predicted`` (1 from one half up)."""
+    rows = df if scorer.trees is None else with_features(df, scorer.lexicon, keep, text)
+    return _judged(rows, scorer, keep)
+
+
+def _judged(rows: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
+    """Scores of rows with their features."""
     if scorer.trees is None:
-        return df.select(*keep, F.lit(scorer.rate).alias("score"), F.lit(int(scorer.rate >= 0.5)).alias("predicted"))
-    rows = _margins(scorer.trees, with_features(df, scorer.lexicon, keep, text))
-    found = scorer.curve.transform(rows).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
+        return rows.select(*keep, F.lit(scorer.rate).alias("score"), F.lit(int(scorer.rate >= 0.5)).alias("predicted"))
+    found = scorer.curve.transform(_margins(scorer.trees, rows)).withColumn(
+        "score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
     return found.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
