@@ -10,7 +10,8 @@ are the logistic function of the strength above it.
 Features are shares and averages of a whole text: kinds of characters, lengths of words and lines, repeated
 words and lines. Each enters as it is, squared, and as its logarithm, standardised on the labelled rows.
 
-The fit uses every labelled row that is not held out; scoring is row by row over all whole texts.
+The fit uses every labelled row that is not held out; scoring is row by row over all whole texts. Labels meet the features
+of a text, not the text, and one reading serves fit and scores (:func:`read`).
 
 Defined cases: null and empty texts have all features 0 and are scored like any other; equal texts have
 equal scores; repeated rows stay; if the labels lack a kind, every score is its share of good rows
@@ -30,7 +31,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsift.llm.common import labelled_rows, schema_with, slices, small_batches, texts, written
+from mailsift.llm.common import known_labels, schema_with, slices, small_batches, texts, written
 
 #: Rows of the rarer kind that meet in a cell on average.
 CELL = 2
@@ -86,16 +87,17 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.strengths(x) - self.threshold, -40, 40)))
 
 
-def _featured(df: DataFrame, keep: list[str], name: str, kind: str, convert, text: str = "text") -> DataFrame:
+def read(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns and ``x``, the features of the text."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
-            x = np.array([features(t) for t in texts(part.column(0))])
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], convert(x)], [*keep, name])
+            x = pa.array([features(t) for t in texts(part.column(0))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], x], [*keep, "x"])
 
     rows = df.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{k}`") for k in keep])
-    return rows.mapInArrow(run, schema_with(df, keep, **{name: kind}))
+    return rows.mapInArrow(run, schema_with(df, keep, x="array<double>"))
 
 
 def _pairs(rows: DataFrame, cells: int) -> DataFrame:
@@ -108,9 +110,15 @@ def _pairs(rows: DataFrame, cells: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "quality", key: str = "doc_id") -> Ranker:
     """``left_out`` is a condition on the labels' key: those rows are never learned from."""
-    known = labelled_rows(docs, labels, label, left_out, key)
-    rows = written(_featured(known, [key, "label"], "x", "array<double>",
-                             lambda x: pa.array(list(expanded(x)), pa.list_(pa.float64()))), "featured")
+    return fit_read(read(docs, [key]), labels, left_out, label, key)
+
+
+def fit_read(rows: DataFrame, labels: DataFrame, left_out: Column, label: str = "quality", key: str = "doc_id") -> Ranker:
+    """The same of documents that are read; labels meet a few numbers, and no text is shuffled."""
+    known = rows.select(key, "x").join(known_labels(labels, label, left_out, key), key)
+    x = F.col("x")
+    rows = written(known.select(key, "label", F.concat(
+        x, F.transform(x, lambda v: v * v), F.transform(x, lambda v: F.log(v + 0.002))).alias("x")), "featured")
     n, good, *moments = rows.agg(
         F.count(F.lit(1)), F.sum("label"),
         *[f(F.get("x", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(3 * len(FEATURES))]).head()
@@ -146,5 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "qual
 
 def score(df: DataFrame, ranker: Ranker, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, ``score`` between 0 and 1, and ``predicted`` (1 from one half up)."""
-    found = _featured(df, keep, "score", "double", lambda x: pa.array(ranker.scores(x)), text)
+    return score_read(read(df, keep, text), ranker, keep)
+
+
+def score_read(rows: DataFrame, ranker: Ranker, keep: list[str]) -> DataFrame:
+    """The same of documents that are read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ranker.scores(x))], [*keep, "score"])
+
+    found = rows.select("x", *[F.col(f"`{k}`") for k in keep]).mapInArrow(run, schema_with(rows, keep, score="double"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -209,6 +209,36 @@ def test_labels_are_learned_from_the_right_rows(spark):
         assert r.out == (zlib.crc32(("null" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0)
 
 
+def test_disguised_words_are_found_at_once_in_long_runs():
+    import random
+    import re
+    plain = re.compile(r"[^\W\d_]+(?:[0-9@$!|*.\-_+]+[^\W\d_]+)+|[@$0-9]+[^\W\d_]{2,}")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("aBcé_ß1 2@$!|*.-+9 ñ\n#x٣") for _ in range(rng.randint(0, 25)))
+        assert toxicity._DISGUISED.findall(text) == plain.findall(text)
+        assert toxicity.disguised(text) == [w.translate(toxicity._PLAIN) for w in plain.findall(text.lower())]
+        assert toxicity.plain(text) == f" {toxicity._WORDS.sub(' ', text.lower()).strip()} "
+    for run in ("x" * 300_000 + " 1a", "1" * 300_000 + " 1a", "a" * 300_000 + "." * 300_000):  # quadratic before
+        assert toxicity.disguised(run) == []
+
+
+def test_one_reading_serves_fit_and_scores(spark):
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "vile1y", "n4sty"]
+    rows = [(i, " ".join(words[(i * k) % 5 + (2 if i % 3 == 0 else 0)] for k in range(1, 9)) + "!" * (i % 3 == 0)) for i in range(300)]
+    docs = frame(spark, rows + [(300, None), (301, ""), (None, "lorem"), (5, "lorem ipsum")])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 0)) for i in range(0, 300, 2)] + [(4, None, None)],
+                                   "doc_id bigint, toxic int, quality int")
+    found = lambda df: sorted((repr(r.doc_id), round(r.score, 9), r.predicted) for r in df.collect())
+    twice = toxicity.score(docs, toxicity.fit(docs, labels, held_out(5, 0)), ["doc_id"])
+    once = found(toxicity.scored(docs, labels, held_out(5, 0)))
+    assert len(once) == 304 and once == found(twice)
+    read = quality.read(docs, ["doc_id"])
+    assert read.columns == ["doc_id", "x"]
+    once = found(quality.score_read(read, quality.fit_read(read, labels, held_out(3, 1)), ["doc_id"]))
+    assert len(once) == 304 and once == found(quality.score(docs, quality.fit(docs, labels, held_out(3, 1)), ["doc_id"]))
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 def test_pipeline(spark, folder):
