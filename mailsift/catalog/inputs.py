@@ -9,7 +9,7 @@ from mailsift.functions import addresses, seeded
 from mailsift.operators import cleaning, features
 from mailsift.operators.prep import standardise
 from mailsift.session import cut_lineage, use_utc
-from mailsift.sources import emails, table
+from mailsift.sources import emails, table, tasks_for
 
 MODELS = {"a": 0.2, "b": 0.35, "c": 0.45}  # how much of the score comes from the label
 
@@ -91,7 +91,7 @@ VECTORS = (
 
 def app_features(spark: SparkSession, folder: str) -> DataFrame:
     """Upload features without the texts, stored once: fits read them many times."""
-    df = features.app_features(emails(spark, folder))
+    df = features.app_features(emails(spark, folder, tasks_for(spark, folder)))
     return cut_lineage(df.select("email_id", "label", *fixed.APP_FEATURES))
 
 

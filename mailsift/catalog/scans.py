@@ -11,7 +11,7 @@ from mailsift.catalog.registry import B, S, columns, query, r, rounded, with_ema
 from mailsift.operators import features, models, scoring
 from mailsift.functions import seeded
 from mailsift.session import cut_lineage, scratch_path, use_utc
-from mailsift.sources import emails, sinks, table
+from mailsift.sources import emails, sinks, table, tasks_for
 from mailsift.streaming import (
     hourly_counts, last_by_sender, read_emails, read_output, run_to_table, running_totals, score_stream, sender_totals,
     write_outputs, write_scans)
@@ -68,16 +68,21 @@ def _(spark, folder):
     return scoring.scans_by_hour(scans(spark, folder)).na.fill(-1, ["hour"])  # -1: no date
 
 
+def _dealt(spark, folder):
+    """The mails, dealt to all cores where their file is not."""
+    return emails(spark, folder, tasks_for(spark, folder))
+
+
 def _scorer(spark, folder):
     """Trained on the features that scoring computes, all of them."""
-    rows = features.single_features(emails(spark, folder)).select("email_id", "label", *fixed.APP_FEATURES)
+    rows = features.single_features(_dealt(spark, folder)).select("email_id", "label", *fixed.APP_FEATURES)
     data = models.Prepared(cut_lineage(rows), fixed.APP_FEATURES, profile="single")
     return data.pipeline(models.fit_classifier("Logistic Regression", data.train))
 
 
 @query("score_batch")
 def _(spark, folder):
-    return scoring.score(emails(spark, folder), _scorer(spark, folder), "Logistic Regression")
+    return scoring.score(_dealt(spark, folder), _scorer(spark, folder), "Logistic Regression")
 
 
 @query("score_features", with_emails(f", single AS (SELECT *, {columns(SINGLE_SQL)} FROM emails) SELECT email_id, "
@@ -87,7 +92,7 @@ def _(spark, folder):
     path = scratch_path(spark, "scorer")
     sinks.save_model(_scorer(spark, folder), path)
     kept = scoring.trained_with(sinks.load_model(path))
-    return features.PROFILES[kept.getProfile()](scoring.scannable(emails(spark, folder))).select("email_id", *kept.getColumns())
+    return features.PROFILES[kept.getProfile()](scoring.scannable(_dealt(spark, folder))).select("email_id", *kept.getColumns())
 
 
 # --- streams -----------------------------------------------------------------------------
@@ -116,7 +121,7 @@ def _(spark, folder):
     """The mails, written once as files, scored as a stream into the scan log."""
     model = _scorer(spark, folder)
     source, sink = scratch_path(spark, "mail-in"), scratch_path(spark, "scan-log")
-    mails = emails(spark, folder)
+    mails = _dealt(spark, folder)
     mails.write.parquet(source)
     found = score_stream(read_emails(spark, source, mails.schema), model, "Logistic Regression")
     write_scans(found, sink, f"{sink}-state").awaitTermination()

@@ -8,7 +8,7 @@ The same text runs in Spark and in the SQL twin, where it becomes leading CTEs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift.session import use_utc
 from mailsift.sources.readers import table
@@ -50,6 +50,19 @@ LABEL_ROWS = "SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id
 PARTITIONS = "mailsift.emails.partitions"
 
 
+#: Below so many documents dealing them costs more than it saves.
+FEW = 2_000
+
+
+def tasks_for(spark: SparkSession, folder: str) -> int | None:
+    """``partitions`` for :func:`emails` where much is derived from each text: as many as cores if a task
+    would read more than twice its share of the documents, as of a file that is one row group; else none."""
+    rows = table(spark, folder, "documents").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = rows.agg(F.max("n"), F.sum("n")).head()
+    cores = spark.sparkContext.defaultParallelism
+    return cores if total and total >= FEW and largest * cores > 2 * total else None
+
+
 def emails(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
     """``partitions`` deals the documents by id before anything is derived from them.
 
