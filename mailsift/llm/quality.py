@@ -115,10 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, left_out: Column, label: str = "qual
 
 def fit_read(rows: DataFrame, labels: DataFrame, left_out: Column, label: str = "quality", key: str = "doc_id") -> Ranker:
     """The same of documents that are read; labels meet a few numbers, and no text is shuffled."""
-    known = rows.select(key, "x").join(known_labels(labels, label, left_out, key), key)
-    x = F.col("x")
-    rows = written(known.select(key, "label", F.concat(
-        x, F.transform(x, lambda v: v * v), F.transform(x, lambda v: F.log(v + 0.002))).alias("x")), "featured")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(expanded(x)), pa.list_(pa.float64()))], [key, "label", "x"])
+
+    known = rows.select(key, "x").join(known_labels(labels, label, left_out, key), key).select(key, "label", "x")
+    rows = written(known.mapInArrow(run, known.schema), "featured")
     n, good, *moments = rows.agg(
         F.count(F.lit(1)), F.sum("label"),
         *[f(F.get("x", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(3 * len(FEATURES))]).head()
