@@ -109,3 +109,18 @@ def test_words_of_uploads_are_those_of_the_cleaned_text(spark):
     assert out.where(F.size(F.split("clean_content", " ")) - (F.col("clean_content") == "").cast("int") != F.col("body_word_count")).isEmpty()
     plan = out.select("body_word_count")._jdf.queryExecution().optimizedPlan().toString()
     assert "clean_content" not in plan and "contains" in plan.lower()
+
+
+def test_mails_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    from mailsift.sources import emails, tasks_for
+    folder = str(tmp_path)
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "concat('t', id) AS text", "'web' AS source").write.parquet(f"{folder}/documents.parquet")
+    spark.range(3000, numPartitions=1).selectExpr("id AS event_id", "id % 7 AS user_id", "timestamp_seconds(id) AS ts").write.parquet(f"{folder}/events.parquet")
+    spark.range(0).selectExpr("id AS doc_id", "CAST(1 AS INT) AS quality").write.parquet(f"{folder}/labels.parquet")
+    assert tasks_for(spark, folder) == (cores if cores > 2 else None)
+    rows = emails(spark, folder, cores).collect()
+    assert len(rows) == 3000 and sorted(map(repr, rows)) == sorted(map(repr, emails(spark, folder).collect()))
+    few = str(tmp_path / "few")
+    spark.range(10).selectExpr("id AS doc_id", "'t' AS text").write.parquet(f"{few}/documents.parquet")
+    assert tasks_for(spark, few) is None
