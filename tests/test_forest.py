@@ -50,6 +50,20 @@ def test_driver_holds_upper_levels_only(rows, large, tmp_path):
     assert scores(PipelineModel.load(str(tmp_path / "m")), rows) == got
 
 
+def test_leaves_of_one_partition_are_dealt_out(rows, large):
+    """Folds hold small tables in one partition; their leaves are grown by many tasks all the same."""
+    fitted = models.fit_classifier("Random Forest", rows.coalesce(1).persist())
+    assert len(fitted.stages[-1].subtrees(rows.sparkSession).inputFiles()) > 1
+
+
+@pytest.mark.parametrize("width", [1, 7, 8, 13, 17])
+def test_distinct_byte_rows(width):
+    rng = np.random.default_rng(width)
+    rows = rng.integers(0, 2, (300, width)).astype(np.uint8) * rng.choice([1, 128, 255], width).astype(np.uint8)
+    got, want = forest.distinct_rows(rows), np.unique(rows, axis=0, return_counts=True)
+    assert all((g == w).all() for g, w in zip(got, want)) and got[0].dtype == np.uint8
+
+
 def test_repeated_and_null_keys_are_scored_as_rows(rows, large):
     fitted = models.fit_classifier("Random Forest", rows)
     twice = rows.limit(50).withColumn("email_id", F.lit(None).cast("bigint"))

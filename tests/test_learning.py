@@ -112,6 +112,28 @@ def test_cross_validation(data):
     assert 0.8 < r["mean"] <= 1 and 0 <= r["spread"] < 0.2
 
 
+def test_folds_leave_the_training_part_alone(table, monkeypatch):
+    """Folds scale and balance their own rows, so the balanced training part is not made for them."""
+    made, asked = [], prep.balance_by_synthesis
+    monkeypatch.setattr(prep, "balance_by_synthesis", lambda *a, **k: made.append(1) or asked(*a, **k))
+    data = models.Prepared(table, ["a", "b", "c"])
+    assert not made
+    assert models.cross_validate(data, ["Logistic Regression"], 2).count() == 1 and len(made) == 2
+    assert data.train.count() and len(made) == 3 and data.train is data.train
+
+
+def test_stages_after_a_fit_read_held_rows(data, monkeypatch):
+    """The curve on the margins is fitted without going through cosines and machine again; scores are those of a pipeline."""
+    held, keep = [], models.keep
+    monkeypatch.setattr(models, "keep", lambda df: held.append(df.columns) or keep(df))
+    stages = models.rbf_svm(data.train, data.train.count())
+    whole = models.Pipeline(stages=stages).fit(data.train)
+    ours = models.fit_classifier("SVM", data.train)
+    assert held == [["label", "margin"]]
+    got, want = ({r["email_id"]: r["probability"] for r in models.predict(m, data.part("val"), "SVM").collect()} for m in (ours, whole))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_noise_differs_within_an_order(spark, folder):
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", F.lit(0.0).alias("v"))
