@@ -15,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mailsift.functions import seeded
-from mailsift.session import keep
+from mailsift.operators import tiles
+from mailsift.session import keep, written
 
 BLOCK = 2048          # rows per side of a task
 CELLS = 1 << 22       # entries of a distance matrix that a task holds at once
@@ -43,30 +45,38 @@ def _pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray)
     return np.sqrt(total)
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+def _squares(a: np.ndarray, b: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, float]:
     """Squared distances by one matrix product, and a bound of their rounding errors. Not finite where a point is not."""
     with np.errstate(all="ignore"):
         middle = b.mean(axis=0)
         a, b = a - middle, b - middle
         an, bn = (a * a).sum(axis=1), (b * b).sum(axis=1)
-        out = a @ b.T
-        out *= -2.0
-        out += an[:, None]
-        out += bn[None, :]
+        left = np.column_stack([-2.0 * a, an, np.ones(len(a))]).astype(kind)
+        right = np.column_stack([b, np.ones(len(b)), bn]).astype(kind)
+        out = left @ right.T
         size = an.max() + bn.max() + (middle * middle).max()
-    return out, 8 * (a.shape[1] + 8) * np.finfo(float).eps * size
+        slack = 8 * (a.shape[1] + 8) * float(np.finfo(kind).eps) * size
+    return out, slack if size < 1e30 else np.inf
+
+
+def _against(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, float]:
+    """``_squares`` in single precision where its rounding errors are small beside the squared distance ``limit``."""
+    sq, slack = _squares(a, b, np.float32)
+    if slack > 1e-3 * limit:
+        return _squares(a, b)
+    return sq, slack + 1e-6 * limit
 
 
 def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     """``distances(a, b) <= eps``: a product settles most pairs, those too close to call are compared by differences."""
     if not len(a) or not len(b) or eps < 0:
         return distances(a, b) <= eps
-    sq, slack = _squares(a, b)
+    sq, slack = _against(a, b, eps * eps)
     if not np.isfinite(slack):
         return distances(a, b) <= eps
-    sq -= eps * eps
-    near, margin = sq <= 0, slack + 1e-12 * eps * eps
-    i, j = np.nonzero(np.abs(sq, out=sq) <= margin)
+    margin = slack + 1e-12 * eps * eps
+    near = sq <= eps * eps - margin
+    i, j = np.nonzero(near != (sq <= eps * eps + margin))
     if len(i) > near.size // 8:
         return distances(a, b) <= eps
     near[i, j] = _pair_distances(a, b, i, j) <= eps
@@ -145,9 +155,10 @@ def divide(merged: DataFrame) -> Parts:
     def home(batches):
         for pdf in batches:
             for lot in lots(pdf, m):
-                d = distances(matrix(lot["x"]), pivots)
-                part = d.argmin(axis=1)
-                yield lot.assign(part=part.astype("int32"), to_pivot=d[np.arange(len(lot)), part])
+                x = matrix(lot["x"])
+                sq, slack = _squares(x, pivots)
+                part = (sq if np.isfinite(slack) else distances(x, pivots)).argmin(axis=1)  # any part will do, with its distance
+                yield lot.assign(part=part.astype("int32"), to_pivot=_pair_distances(x, pivots, np.arange(len(lot)), part))
 
     schema = f"{_ddl(merged)}, part int, to_pivot double"
     placed = keep(merged.mapInPandas(home, schema))
@@ -240,18 +251,36 @@ def block_join(queries: DataFrame, home: DataFrame, home_rows: dict[int, int], k
 
 def neighbour_counts(parts: Parts, eps: float) -> DataFrame:
     """(pid, n): weighted points within ``eps``, the point itself included."""
-    def kernel(q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(h):
-            return pd.DataFrame({"pid": [], "n": []})
-        near = within(matrix(q["x"]), matrix(h["x"]), eps)
-        return pd.DataFrame({"pid": q["pid"].to_numpy(), "n": near @ h["w"].to_numpy()})
-
-    queries = route(parts.points.select("pid", "x", "part"), parts, reach=eps)
-    found = block_join(queries, parts.points.select("pid", "x", "w", "part"), parts.rows, kernel,
-                       "pid bigint, n bigint")
+    def fold(q: tiles.Rows):
+        n = np.zeros(q.size, dtype=np.int64)
+
+        def step(h: tiles.Rows):
+            middle, radius = tiles.ball(h.x)
+            d = tiles.apart(q.x, middle)
+            whole = d + radius <= eps * (1 - SLACK)
+            n[whole] += h.w.sum()
+            for rows in tiles.tiles(np.flatnonzero(~whole & ~(d - radius > eps * (1 + SLACK) + SLACK))):
+                n[rows] += weigh(within(q.x[rows], h.x, eps), h.w)
+            yield from ()
+
+        def finish():
+            yield from tiles.batches_of({"pid": pa.array(q.pid), "n": pa.array(n)})
+        return step, finish
+
+    found = tiles.stream(parts.points.select("pid", "x", "part"), parts.points.select("pid", "x", "w", "part"), parts.rows, parts.rows,
+                         fold, "pid bigint, n bigint", BLOCK, point_bytes(parts))
     return found.groupBy("pid").agg(F.sum("n").alias("n"))
 
 
+def weigh(near: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weight of the marked points of each row."""
+    return np.count_nonzero(near, axis=1) if (w == 1).all() else near @ w
+
+
+def point_bytes(parts: Parts) -> int:
+    return 8 * (parts.pivots.shape[1] if parts.rows else 0) + 64
+
+
 def _components(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Component number of each row and column of a bipartite adjacency matrix (-1: no link)."""
     rows, cols = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
@@ -288,32 +317,90 @@ def _best(k: int, coordinates: bool):
     return kernel
 
 
-def _merge_near(found: DataFrame, k: int) -> DataFrame:
-    """The k best of all parts of a point; tasks pass on k of them at most, however many blocks were visited."""
-    rows = found.select("pid", "x", "part", F.explode("near").alias("e"))
-    place = F.row_number().over(Window.partitionBy("pid").orderBy("e"))
-    return rows.withColumn("_place", place).where(F.col("_place") <= k).groupBy("pid").agg(
-        F.first("x").alias("x"), F.first("part").alias("part"), F.array_sort(F.collect_list("e")).alias("near"))
+def _best_fold(need: int, coordinates: bool):
+    """The ``need`` nearest of all points by distance and id. The worst of those found so far rules chunks and pairs out."""
+    def fold(q: tiles.Rows):
+        dist, ids = np.full((q.size, need), np.inf), np.full((q.size, need), np.iinfo(np.int64).max)
+        weight, place = np.zeros((q.size, need), dtype=np.int64), np.full(q.size, np.inf)
+        where = np.zeros((q.size, need, q.x.shape[1])) if coordinates else None
+
+        def take_in(rows: np.ndarray, i: np.ndarray, d: np.ndarray, j: np.ndarray, h: tiles.Rows) -> None:
+            """Found points ``j`` at distance ``d`` of the queries ``rows[i]``, beside those known."""
+            at, row = np.unique(i, return_inverse=True)
+            old = rows[at]
+            own = np.repeat(np.arange(len(at)), need)
+            r, dd = np.concatenate([own, row]), np.concatenate([dist[old].ravel(), d])
+            order = np.lexsort((np.concatenate([ids[old].ravel(), h.pid[j]]), dd, r))
+            first = np.searchsorted(r[order], np.arange(len(at)))
+            best = order[first[:, None] + np.arange(need)[None]]
+            if coordinates:
+                where[old] = np.concatenate([where[old].reshape(-1, h.x.shape[1]), h.x[j]])[best]
+            ids[old], weight[old] = np.concatenate([ids[old].ravel(), h.pid[j]])[best], np.concatenate([weight[old].ravel(), h.w[j]])[best]
+            dist[old] = dd[best]
+            place[old] = np.where((weight[old, -1] > 0) & ~np.isnan(dist[old, -1]), dist[old, -1], np.inf)
+
+        def step(h: tiles.Rows):
+            far = lambda rows, x: tiles.least_apart(q.x[rows], x) > place[rows] * (1 + SLACK) + SLACK
+            rows = np.arange(q.size)
+            rows = rows[~far(rows, h.x)]
+            new = np.isinf(place[rows])
+            for some in tiles.tiles(rows[new]):
+                j, exact = closest(q.x[some], h.x, h.pid, min(need, h.size))
+                take_in(some, np.repeat(np.arange(len(some)), j.shape[1]), exact.ravel(), j.ravel(), h)
+            rows = rows[~new]
+            wanted = [rows[~far(rows, h.x[at])] for at in tiles.nests(h)]
+            if 2 * sum(map(len, wanted)) > len(wanted) * len(rows):
+                compare(rows, h, slice(0, h.size))
+            else:
+                for some, at in zip(wanted, tiles.nests(h)):
+                    compare(some, h, at)
+            yield from ()
+
+        def compare(wanted: np.ndarray, h: tiles.Rows, at: slice) -> None:
+            b = h.x[at]
+            for rows in tiles.tiles(wanted):
+                a, limit = q.x[rows], place[rows] ** 2
+                sq, slack = _against(a, b, float(np.median(limit)))
+                if not np.isfinite(slack):
+                    j, exact = closest(a, b, h.pid[at], min(need, len(b)))
+                    take_in(rows, np.repeat(np.arange(len(rows)), j.shape[1]), exact.ravel(), j.ravel() + at.start, h)
+                    continue
+                i, j = np.nonzero(sq <= (limit * (1 + 1e-6) + 2 * slack).astype(sq.dtype)[:, None])
+                exact = _pair_distances(a, b, i, j)
+                closer = ~(exact > place[rows][i])
+                if closer.any():
+                    take_in(rows, i[closer], exact[closer], j[closer] + at.start, h)
+
+        def finish():
+            for start in range(0, q.size, tiles.ROWS_OUT):
+                cut = slice(start, start + tiles.ROWS_OUT)
+                found = weight[cut] > 0
+                n = int(found.sum())
+                x = pa.nulls(n, pa.list_(pa.float64()))
+                if coordinates:
+                    x = tiles.lists(where[cut][found].ravel(), np.full(n, q.x.shape[1]))
+                near = pa.StructArray.from_arrays([pa.array(dist[cut][found]), pa.array(ids[cut][found]), pa.array(weight[cut][found]), x],
+                                                  names=["dist", "id", "w", "x"])
+                mine = q.x[cut]
+                yield pa.RecordBatch.from_pydict({
+                    "pid": pa.array(q.pid[cut]), "x": tiles.lists(mine.ravel(), np.full(*mine.shape)), "near": tiles.lists(near, found.sum(axis=1))})
+        return step, finish
+    return fold
 
 
 def nearest(points: DataFrame, k: int, with_self: bool = True, coordinates: bool = False) -> DataFrame:
     """(id, near): the ``k`` nearest points in order of distance and id, exact; their x on request.
 
     With ``with_self`` a point is its own first neighbour. The own part gives each point a first
-    reach; only parts that may hold something closer are visited afterwards.
+    reach; of the others only what may hold something closer is compared. What is found is stored: it may be read often.
     """
     need = k if with_self else k + 1
     parts = divide(merge_copies(points))
-    home = parts.points.select("pid", "x", "w", "part")
-    schema = f"pid bigint, x array<double>, part int, {NEAR}"
-    asked = parts.points.select("pid", "x", "part", F.col("part").alias("home_part"))
-    own = keep(_merge_near(block_join(asked, home, parts.rows, _best(need, coordinates), schema), need))
-    enough = F.aggregate("near", F.lit(0).cast("bigint"), lambda s, e: s + e["w"]) >= need
-    reach = F.when(enough, F.array_max(F.transform("near", lambda e: e["dist"])))
-    asked = own.select("pid", "x", "part", F.col("part").alias("home_part"), reach.alias("reach"))
-    others = block_join(route(asked, parts, None, need, skip_own=True), home, parts.rows, _best(need, coordinates), schema)
-    merged = _merge_near(own.unionByName(others), need)
-    return _with_copies(points, merged, k, with_self)
+    room = point_bytes(parts) + need * (32 + (point_bytes(parts) if coordinates else 0))
+    found = tiles.stream(
+        parts.points.select("pid", "x", "part"), parts.points.select("pid", "x", "w", "part"), parts.rows, parts.rows,
+        _best_fold(need, coordinates), f"pid bigint, x array<double>, {NEAR}", BLOCK, room)
+    return _with_copies(points, written(found, "nearest"), k, with_self)
 
 
 def _with_copies(points: DataFrame, merged: DataFrame, k: int, with_self: bool) -> DataFrame:
@@ -447,23 +534,37 @@ def distance_sums(points: DataFrame, asked: DataFrame | None = None) -> DataFram
     within a cluster are merged first; only sums per cluster leave a task. With ``asked`` (pid, x, cluster) only
     these points are asked for, and the work is their number times that of the distinct points.
     """
-    def kernel(q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(h):
-            return pd.DataFrame({"pid": [], "to_cluster": [], "total": []})
-        d = far_distances(matrix(q["x"]), matrix(h["x"]))
-        names, place = np.unique(h["cluster"].to_numpy(), return_inverse=True)
-        weights = np.zeros((len(h), len(names)))
-        weights[np.arange(len(h)), place] = h["w"].to_numpy()
-        sums = d @ weights
-        return pd.DataFrame({
-            "pid": np.repeat(q["pid"].to_numpy(), len(names)),
-            "to_cluster": np.tile(names, len(q)), "total": sums.ravel()})
+    def fold(q: tiles.Rows):
+        names, totals = np.zeros(0, dtype=np.int64), np.zeros((q.size, 0))
+
+        def step(h: tiles.Rows):
+            nonlocal names, totals
+            mine, place = np.unique(h.cluster, return_inverse=True)
+            wider = np.union1d(names, mine)
+            if len(wider) > len(names):
+                grown = np.zeros((q.size, len(wider)))
+                grown[:, np.searchsorted(wider, names)] = totals
+                names, totals = wider, grown
+            weights = np.zeros((h.size, len(mine)))
+            weights[np.arange(h.size), place] = h.w
+            at = np.searchsorted(names, mine)
+            for rows in tiles.tiles(np.arange(q.size)):
+                totals[rows[:, None], at] += far_distances(q.x[rows], h.x) @ weights
+            yield from ()
+
+        def finish():
+            if len(names):
+                yield from tiles.batches_of({
+                    "pid": pa.array(np.repeat(q.pid, len(names))), "to_cluster": pa.array(np.tile(names, q.size), pa.int32(), from_pandas=True),
+                    "total": pa.array(totals.ravel())})
+        return step, finish
 
     merged = keep(merge_copies(points, "cluster"))
-    all_in_one = merged.withColumn("part", F.lit(0))
+    n, wide = merged.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).head()
     queries = merged.select("pid", "x", "cluster", "w") if asked is None else asked.withColumn("w", F.lit(1))
-    found = block_join(queries.select("pid", "x", F.lit(0).alias("part")), all_in_one, {0: merged.count()}, kernel,
-                       "pid bigint, to_cluster int, total double")
+    together = F.lit(0).alias("part")
+    found = tiles.stream(queries.select("pid", "x", together), merged.select("pid", "x", "w", "cluster", together), {0: n if asked is None else asked.count()},
+                         {0: n}, fold, "pid bigint, to_cluster int, total double", BLOCK, 8 * wide + 256)
     sums = found.groupBy("pid", "to_cluster").agg(F.sum("total").alias("total"))
     return queries.select("pid", "w", "cluster").join(sums, "pid")
 
